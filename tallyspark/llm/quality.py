@@ -9,6 +9,7 @@ all documents on: of ``LEVELS`` quantiles the one that the training labels bear
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -88,28 +89,56 @@ def best_cut(levels: np.ndarray, good: np.ndarray, bad: np.ndarray) -> float:
     return float((levels[run[0]] + levels[run[-1]]) / 2)
 
 
-def rank_quality(docs: DataFrame, labels: DataFrame, train: Column | None = None, text: str = "text") -> DataFrame:
-    """``docs`` less ``text``, with score (0 to 1; from 0.5 on the document is accepted) and predicted, replacing columns of these names.
+class Ranking(NamedTuple):
+    """A fitted ranking: weights of the measures, the strength from which documents are accepted, and the unit of strength."""
+
+    weights: list[float]
+    cut: float
+    unit: float
+
+    def score(self, measures: str = "_measures") -> Column:
+        """0 to 1, from 0.5 on for accepted documents."""
+        strength = _strength(self.weights, measures)
+        return 1 / (1 + F.exp(F.least(F.greatest((self.cut - strength) / self.unit, F.lit(-700.0)), F.lit(700.0))))
+
+
+def _strength(weights: list[float], measures: str) -> Column:
+    return F.aggregate(F.zip_with(measures, F.array(*map(F.lit, weights)), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+
+
+def fit_ranking(measured: DataFrame, labels: DataFrame, train: Column | None = None) -> Ranking:
+    """Fits the ranking to labelled rows of ``measured`` (doc_id, _measures), its cut to all rows.
 
     ``labels`` has doc_id and quality (0 or 1; other values and null ids are left out); only its rows where ``train`` holds are used, each
-    class up to ``LABELLED`` rows of the lowest hash of the id. A null text is scored as empty. Rows with null ids are scored; repeated rows
-    count as often as they occur. Without documents the result is empty; without labels of either class every score is 0.5.
+    class up to ``LABELLED`` rows of the lowest hash of the id. Without labels of either class everything is accepted with 0.5.
     """
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
     rows = (rows if train is None else rows.where(train)).select("doc_id", "quality").dropDuplicates()
-    held = keep(with_measures(docs.drop("score", "predicted"), text, "_measures").drop(text))
     fitted = {}
     for q in (1, 0):  # at most LABELLED ids, so that they can be sent to all executors
         ids = rows.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED).select("doc_id")
-        fitted[q] = np.array([r[0] for r in held.join(F.broadcast(ids), "doc_id", "left_semi").select("_measures").collect()]).reshape(-1, MEASURES)
-    w = fit_pairs(fitted[1], fitted[0])
-    strength = F.aggregate(F.zip_with("_measures", F.array(*map(F.lit, map(float, w))), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    levels = held.agg(F.percentile_approx(strength, [i / LEVELS for i in range(LEVELS + 1)], 10_000)).first()[0]
-    good, bad = fitted[1] @ w, fitted[0] @ w
-    cut = best_cut(np.array(levels or []), good, bad)
-    scale = max(float(np.concatenate([good, bad]).std()), 1e-9) / 4 if len(good) + len(bad) else 1.0
-    score = 1 / (1 + F.exp(F.least(F.greatest((cut - strength) / scale, F.lit(-700.0)), F.lit(700.0))))
-    return held.withColumn("score", score).withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop("_measures")
+        fitted[q] = np.array([r[0] for r in measured.join(F.broadcast(ids), "doc_id", "left_semi").select("_measures").collect()]).reshape(-1, MEASURES)
+    weights = list(map(float, fit_pairs(fitted[1], fitted[0])))
+    levels = measured.agg(F.percentile_approx(_strength(weights, "_measures"), [i / LEVELS for i in range(LEVELS + 1)], 10_000)).first()[0]
+    good, bad = fitted[1] @ weights, fitted[0] @ weights
+    both = np.concatenate([good, bad])
+    return Ranking(weights, best_cut(np.array(levels or []), good, bad), max(float(both.std()), 1e-9) / 4 if len(both) else 1.0)
+
+
+def rank_quality(docs: DataFrame, labels: DataFrame, train: Column | None = None, text: str = "text") -> DataFrame:
+    """``docs`` less ``text``, with score (0 to 1; from 0.5 on the document is accepted) and predicted, replacing columns of these names.
+
+    See ``fit_ranking`` for the labels. A null text is scored as empty. Rows with null ids are scored; repeated rows count as often as they
+    occur. Without documents the result is empty.
+    """
+    held = keep(with_measures(docs.drop("score", "predicted"), text, "_measures").drop(text))
+    return held.withColumn("score", fit_ranking(held, labels, train).score()).withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop("_measures")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the ranking accepts, with their own columns; texts are measured twice, which spares a shuffle of them."""
+    ranking = fit_ranking(keep(with_measures(docs.select("doc_id", text), text, "_measures").drop(text)), labels)
+    return with_measures(docs, text, "_measures").where(ranking.score() >= 0.5).drop("_measures")
 
 
 def op7_quality_rank(spark, sf_dir):
