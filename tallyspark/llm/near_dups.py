@@ -7,11 +7,10 @@ equal to their Jaccard similarity, and the number of agreements is concentrated
 
 Banding. ``BANDS`` bands of ``ROWS`` coordinates: a pair of similarity s misses all with probability (1 - s^5)^25, under 5e-7 at 0.85.
 
-Verification without all pairs. Equal sets are one node. Every bucket has a leader, its least node; each other member is compared with
-it on full sets. Members of buckets that still hold several components are then dealt to new buckets by a prefix of their shingles,
-those that the leader lacks first: of a set of n shingles the first n - ceil(threshold * n) + 1 must meet those of any partner,
-whatever the order. Those buckets are treated in the same way, until each holds one component; leaders get larger each
-time, so that it ends. No bucket is capped, and no link between members of a bucket is lost.
+Verification without emitting all pairs. Equal sets are one node. Every bucket has a leader, its least node; each other member is compared
+with it on full sets, which settles most groups. Buckets that then still hold several components are compared within: their members are
+dealt to blocks of bounded bytes, a task counts the common shingles of two blocks by matrix products and returns only as many links as
+connect what it found linked. No bucket is capped, and no link between members of a bucket is lost.
 """
 
 from __future__ import annotations
@@ -30,8 +29,8 @@ from .components import components
 from .words import spaced_words
 
 SHINGLE, COORDINATES, BANDS, ROWS, PERCENT = 5, 125, 25, 5, 85
-#: Shingles that are sketched together.
-STEP = 1 << 20
+#: Shingles that are sketched together, bytes of a block of a bucket, shingles that are columns of a matrix at a time.
+STEP, BLOCK_BYTES, COLUMNS = 1 << 20, 4 << 20, 4096
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -127,29 +126,76 @@ def full_sets(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFra
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(lead, node, more) with linked, and for pairs with ``more`` the keys of the node's buckets among those compared with this leader."""
+    """The pairs (a, b) of (lead, node) that are linked."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead, lead_set = None, np.zeros(0, np.uint64)
         for batch in rows:
-            leads, nodes, more = (batch.column(i).to_pylist() for i in range(3))
-            linked, keys = [], []
-            for i, (x, again) in enumerate(zip(leads, more, strict=True)):
+            linked = []
+            for i, x in enumerate(batch.column(0).to_pylist()):
                 if x != lead:
-                    lead, lead_set = x, np.frombuffer(batch.column(4)[i].as_py(), "<u8")
-                own = np.frombuffer(batch.column(3)[i].as_py(), "<u8")
+                    lead, lead_set = x, np.frombuffer(batch.column(3)[i].as_py(), "<u8")
+                own = np.frombuffer(batch.column(2)[i].as_py(), "<u8")
                 at = np.minimum(np.searchsorted(lead_set, own), len(lead_set) - 1)
-                common = lead_set[at] == own
-                both = int(common.sum())
+                both = int((lead_set[at] == own).sum())
                 linked.append(100 * both >= percent * (len(own) + len(lead_set) - both))
-                prefix = len(own) + percent * len(own) // -100 + 1
-                salt = np.uint64(int.from_bytes(x[:8], "little"))
-                keys.append(mix(np.concatenate([own[~common], own[common]])[:prefix] ^ salt).view(np.int64).tolist() if again else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(linked, pa.bool_()), pa.array(keys, pa.list_(pa.int64()))], names=["lead", "node", "more", "linked", "keys"])
+            mask = pa.array(linked, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
     lead_sets = sets.select(F.col("node").alias("lead"), F.col("shingles").alias("lead_shingles"))
-    joined = pairs.join(sets, "node").join(lead_sets, "lead").select("lead", "node", "more", "shingles", "lead_shingles")
-    return keep(joined.mapInArrow(run, "lead binary, node binary, more boolean, linked boolean, keys array<bigint>"))
+    joined = pairs.join(sets, "node").join(lead_sets, "lead").select("lead", "node", "shingles", "lead_shingles")
+    return keep(joined.mapInArrow(run, "a binary, b binary"))
+
+
+def linked_within(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links that connect all sets that are linked with each other, by counts of common members over all pairs."""
+    sizes = np.array([len(s) for s in sets])
+    values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    shared = np.bincount(codes) > 1
+    column = np.cumsum(shared) - 1
+    use = shared[codes]
+    owner, codes = owner[use], column[codes[use]]
+    order = np.argsort(codes, kind="stable")
+    owner, codes = owner[order], codes[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for first in range(0, int(shared.sum()), COLUMNS):
+        a, b = np.searchsorted(codes, [first, first + COLUMNS])
+        x = np.zeros((len(sets), COLUMNS), np.float32)
+        x[owner[a:b], codes[a:b] - first] = 1
+        both += x @ x.T
+    both = both.astype(np.int64)  # counts under 2^24 are exact
+    near = np.argwhere(np.triu(100 * both >= percent * (sizes[:, None] + sizes[None, :] - both), 1))
+    parent = list(range(len(sets)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    out = []
+    for i, j in near.tolist():
+        if (x := root(i)) != (y := root(j)):
+            parent[max(x, y)] = min(x, y)
+            out.append((i, j))
+    return out
+
+
+def links_within(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) inside the given buckets (key, node), each pair of whose blocks meets in one task."""
+    held = members.join(sets, "node")
+    n_blocks = members.join(sets.select("node", F.length("shingles").alias("bytes")), "node").groupBy("key").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = held.join(n_blocks, "key").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "shingles")
+
+    def run(group: pa.Table) -> pa.Table:
+        nodes = group.column("node").to_pylist()
+        found = linked_within([np.frombuffer(x, "<u8") for x in group.column("shingles").to_pylist()])
+        return pa.table({"a": pa.array([nodes[i] for i, _ in found], pa.binary()), "b": pa.array([nodes[j] for _, j in found], pa.binary())})
+
+    return keep(dealt.groupBy("key", "low", "high").applyInArrow(run, "a binary, b binary"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -174,27 +220,21 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def link(docs: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
     """(node, root) of linked nodes."""
-    spark = docs.sparkSession
     buckets = nodes.select("node", F.explode("bands").alias("key"))
-    links = roots = sets = None
-    while True:
-        lead = buckets.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1")
-        pairs = keep(buckets.join(lead, "key").where("node <> lead").groupBy("lead", "node").agg((F.max("n") > 2).alias("more")))
-        if pairs.isEmpty():
-            break
-        if sets is None:  # further buckets hold no other nodes
-            wanted = pairs.select(F.explode(F.array("lead", "node")).alias("node")).distinct()
-            sets = full_sets(docs, nodes.select("node", "doc_id").join(wanted, "node"), text)
-        checked = verified(pairs, sets)
-        new = checked.where("linked").select(F.col("lead").alias("a"), F.col("node").alias("b"))
-        links = new if links is None else links.union(new)
-        roots = components(links)
-        open_ = checked.where("more").join(roots, "node", "left").select("lead", "node", "keys", F.coalesce("root", "node").alias("root"))
-        mixed = open_.groupBy("lead").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("lead")
-        dealt = keep(open_.join(mixed, "lead", "left_semi").select("node", "root", F.explode("keys").alias("key")))
-        apart = dealt.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-        buckets = keep(dealt.join(apart, "key", "left_semi").select("node", "key").distinct())
-    return roots if roots is not None else spark.createDataFrame([], "node binary, root binary")
+    lead = keep(buckets.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1"))
+    members = keep(buckets.join(lead, "key"))
+    pairs = keep(members.where("node <> lead").select("lead", "node").distinct())
+    wanted = pairs.select(F.explode(F.array("lead", "node")).alias("node")).distinct()
+    sets = full_sets(docs, nodes.select("node", "doc_id").join(wanted, "node"), text)
+    links = verified(pairs, sets)
+    roots = components(links)
+    placed = members.where("n > 2").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    # buckets with the same members are compared once
+    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("sum"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("xor")).where("low < high")
+    once = keep(mixed.groupBy("n", "sum", "xor").agg(F.min("key").alias("key")).select("key"))
+    if once.isEmpty():
+        return roots
+    return components(links.union(links_within(keep(placed.join(once, "key", "left_semi").select("key", "node")), sets)))
 
 
 def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
