@@ -42,7 +42,7 @@ def segment_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clicks and the purchases of the same user within two hours: an interval join. Hours are dealt to buckets, so that a busy user's rows spread out."""
-    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts", F.floor(F.unix_seconds("ts") / 7200).alias("slot"))
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 7200).alias("slot"))
     c = rows.where("event_type = 'click'").select(F.col("event_id").alias("click_id"), "user_id", F.col("ts").alias("a"), F.explode(F.array("slot", F.col("slot") + 1)).alias("slot"))
     p = rows.where("event_type = 'purchase'").select(F.col("event_id").alias("purchase_id"), "user_id", F.col("ts").alias("b"), "slot")
     return c.join(p, ["user_id", "slot"]).where("b between a and a + interval 2 hours").select("click_id", "purchase_id")
