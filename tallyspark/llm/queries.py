@@ -8,10 +8,11 @@ from .decontaminate import op2_decontamination
 from .license_scan import op1_license_scan
 from .lm_score import op10_lm_score
 from .near_dups import op8_near_duplicates
+from .oracle import SQL
 from .quality import op7_quality_rank
 from .secret_scan import op3_secret_scan
 from .token_counts import op6_token_counts
 from .toxicity import op5_toxicity
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_secret_scan, op4_nearest, op5_toxicity, op6_token_counts, op7_quality_rank, op8_near_duplicates, op9_bpe_codec, op10_lm_score)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = SQL
