@@ -31,10 +31,13 @@ class Codec:
         self.age = dict.fromkeys(v.first, -1) | {made: i for i, (_, _, made) in enumerate(v.merges)}
         self.joined = {(a, b): i for i, (a, b, _) in enumerate(v.merges)}
         self.halves = {made: (a, b) for a, b, made in v.merges}
-        self.longest = max(map(len, v.ids), default=1)
-        self.border: dict[tuple[int, int], bool] = {}
+        #: Beginnings of tokens; each one that is met becomes a state, with its number, where a further byte leads, and the tokens that it ends with.
+        self.begun = {w[:n] for w in v.ids for n in range(len(w) + 1)}
+        self.number, self.name, self.go, self.ends = {b"": 0}, [b""], [{}], [[]]
+        self.border: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
         self.led: dict[str, bytes] = {}
+        self.raw = [i.to_bytes(4, "little") for i in range(max(v.bytes_of) + 1)]
         self.bytes_of = [v.bytes_of.get(i, b"") for i in range(max(v.bytes_of) + 1)]
 
     def may_follow(self, left: int, right: int) -> bool:
@@ -43,7 +46,7 @@ class Codec:
         The tokens are taken apart, the younger one first; at each state the pair beside the border must not be due
         before the next symbol is made.
         """
-        if (known := self.border.get((left, right))) is not None:
+        if (known := self.border.get(left << 32 | right)) is not None:
             return known
         a, b, ok = left, right, True
         due_by = len(self.v.merges)  # the border pair must not merge before this time
@@ -62,28 +65,49 @@ class Codec:
                 due_by, b = age_b + 1, self.halves[b][0]
         if len(self.border) >= B.REMEMBERED:
             self.border.clear()
-        self.border[left, right] = ok
+        self.border[left << 32 | right] = ok
         return ok
 
+    def step(self, state: int, byte: int) -> int:
+        """The state of the longest suffix that begins a token, after one more byte; a new one gets its tokens, the longest first."""
+        x = self.name[state] + bytes([byte])
+        while x not in self.begun:
+            x = x[1:]
+        to = self.number.setdefault(x, len(self.name))
+        if to == len(self.name):
+            self.name.append(x)
+            self.go.append({})
+            self.ends.append([(n, self.v.ids[x[-n:]]) for n in range(len(x), 0, -1) if x[-n:] in self.v.ids])
+        self.go[state][byte] = to
+        return to
+
     def encode_words(self, words: Iterable[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """(word, its ids as little-endian unsigned 32-bit integers) of distinct words, in the order of the depth-first walk."""
-        ids, may, longest = self.v.ids, self.may_follow, self.longest
-        path, last, size = b"", [-1], [0]  # of the node at each depth: its last token and that token's length
+        go, ends, border, raw = self.go, self.ends, self.border, self.raw
+        path, last, size, states = b"", [-1], [0], [0]  # of the node at each depth: its last token, that token's length, the state
         for word in sorted(words):
             depth = shared(path, word)
-            del last[depth + 1 :], size[depth + 1 :]
-            for i in range(depth + 1, len(word) + 1):
-                for n in range(min(i, longest), 0, -1):
-                    t = ids.get(word[i - n : i])
-                    if t is not None and (n == i or may(last[i - n], t)):
+            del last[depth + 1 :], size[depth + 1 :], states[depth + 1 :]
+            state, i = states[depth], depth
+            for byte in word[depth:]:
+                i += 1
+                to = go[state].get(byte)
+                state = self.step(state, byte) if to is None else to
+                for n, t in ends[state]:
+                    if n == i:
+                        break
+                    ok = border.get(last[i - n] << 32 | t)
+                    if ok or ok is None and self.may_follow(last[i - n], t):
                         break
                 last.append(t)
                 size.append(n)
-            path, out, i = word, [], len(word)
+                states.append(state)
+            path, out = word, []
             while i:
-                out.append(last[i])
+                out.append(raw[last[i]])
                 i -= size[i]
-            yield word, np.array(out[::-1], "<u4").tobytes()
+            out.reverse()
+            yield word, b"".join(out)
 
     def learn(self, chunks: set[str], words: set[str]) -> None:
         """Puts what isn't known yet into one trie and remembers the ids."""
@@ -91,9 +115,12 @@ class Codec:
             if len(held) + len(new) > B.REMEMBERED:
                 held.clear()
         chunks, words = chunks - self.led.keys(), words - self.words.keys()
-        cut = {c: [w.encode("utf-8", "surrogatepass") for w in B.WORDS.findall(" " + c)] for c in chunks}
-        plain = {w: w.encode("utf-8", "surrogatepass") for w in words}
-        found = dict(self.encode_words({*chain.from_iterable(cut.values()), *plain.values()}))
+        utf8 = lambda w: w.encode("utf-8", "surrogatepass")
+        whole = {c: utf8(" " + c) for c in chunks if c.isalpha()}  # one word each
+        cut = {c: list(map(utf8, B.WORDS.findall(" " + c))) for c in chunks if c not in whole}
+        plain = {w: utf8(w) for w in words}
+        found = dict(self.encode_words({*chain.from_iterable(cut.values()), *whole.values(), *plain.values()}))
+        self.led |= {c: found[b] for c, b in whole.items()}
         self.led |= {c: b"".join([found[w] for w in ws]) for c, ws in cut.items()}
         self.words |= {w: found[b] for w, b in plain.items()}
 
@@ -109,7 +136,7 @@ class Codec:
             return self.encode(texts[: len(texts) // 2]) + self.encode(texts[len(texts) // 2 :])
         self.learn(chunks, words)
         led, word = self.led.__getitem__, self.words.__getitem__
-        mark = {s: np.array([i], "<u4").tobytes() for s, i in self.v.special.items()}
+        mark = {s: self.raw[i] for s, i in self.v.special.items()}
         return [
             b"".join(chain(map(word, head), map(led, cut[1]))) if cut else b"".join(mark[x] if s else b"".join(map(word, x)) for x, s in rest or [])
             for cut, head, rest in zip(cuts, heads, rough, strict=True)
