@@ -52,11 +52,25 @@ def test_base_scores_and_totals(spark):
 
 def test_decisions_spell_words():
     """The probabilities of all one-byte continuations sum to one, since decisions are a binary code."""
-    pairs = np.zeros((256, 256))
-    pairs[32, 97:123] = np.arange(1, 27)
-    code = mixing_model.Code(pairs)
-    total = sum(2.0 ** -int(code.size[32 * 256 + b]) for b in range(256))
-    assert math.isclose(total, 1.0)
+    singles, after_th = np.zeros((256, 256)), np.zeros(256)
+    singles[32, 97:123] = np.arange(1, 27)
+    after_th[[97, 101, 105]] = 5, 20, 3
+    code = mixing_model.Code(singles, {ord("t") * 256 + ord("h"): after_th})
+    for tree in (32, 256):
+        assert math.isclose(sum(2.0 ** -int(code.size[tree * 256 + b]) for b in range(256)), 1.0)
+    assert code.tree[ord("t") * 256 + ord("h")] == 256 and code.tree[ord("s") * 256 + ord("h")] == ord("h")
+
+
+def test_shares_of_own_words():
+    """Equal to counting from the document's beginning."""
+    docs = [[1, 2, 1, 2, 3, 1, 2], [2], [1, 1, 1, 2, 1, 1]]
+    _, shares = mixing_model.OwnWords().shares(np.array(sum(docs, [])), np.array([len(d) for d in docs]))
+    expected = []
+    for d in docs:
+        for i, w in enumerate(d):
+            followed = [d[j] for j in range(1, i) if d[j - 1] == d[i - 1]] if i else []
+            expected.append((d[:i].count(w) / max(i, 1), followed.count(w) / max(len(followed), 1)))
+    assert np.allclose(shares, expected)
 
 
 def test_odd_texts_are_scored(odd_docs, no_docs):
