@@ -5,7 +5,8 @@ least value. Rounds go on until all bins are filled, so that a large set needs a
 round COORDINATES + j puts every shingle into bin j, so that no bin stays empty. Two sets agree in each coordinate with a probability
 equal to their Jaccard similarity, and the number of agreements is concentrated as for independent draws.
 
-Banding. ``BANDS`` bands of ``ROWS`` coordinates: a pair of similarity s misses all with probability (1 - s^5)^25, under 5e-7 at 0.85.
+Banding. ``BANDS`` bands of ``ROWS`` coordinates: a pair of similarity s misses all with probability (1 - s^5)^25, under 5e-7 at 0.85
+and under 5e-5 at 0.80.
 
 Verification without emitting all pairs. Equal sets are one node. Every bucket has a leader, its least node; each other member is compared
 with it on full sets, which settles most groups. Buckets that then still hold several components are compared within: their members are
@@ -182,7 +183,7 @@ def linked_within(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[
     return out
 
 
-def links_within(members: DataFrame, sets: DataFrame) -> DataFrame:
+def links_within(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) inside the given buckets (key, node), each pair of whose blocks meets in one task."""
     held = members.join(sets, "node")
     n_blocks = members.join(sets.select("node", F.length("shingles").alias("bytes")), "node").groupBy("key").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
@@ -192,16 +193,16 @@ def links_within(members: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(group: pa.Table) -> pa.Table:
         nodes = group.column("node").to_pylist()
-        found = linked_within([np.frombuffer(x, "<u8") for x in group.column("shingles").to_pylist()])
+        found = linked_within([np.frombuffer(x, "<u8") for x in group.column("shingles").to_pylist()], percent)
         return pa.table({"a": pa.array([nodes[i] for i, _ in found], pa.binary()), "b": pa.array([nodes[j] for _, j in found], pa.binary())})
 
     return keep(dealt.groupBy("key", "low", "high").applyInArrow(run, "a binary, b binary"))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs``.
 
-    Documents with 100 * intersection >= 85 * union of their sets of distinct five-word shingles are linked; component_id is the smallest
+    Documents with 100 * intersection >= percent * union of their sets of distinct five-word shingles are linked; component_id is the smallest
     doc_id reachable and kept says whether it is the document's own. Null and empty texts and texts without words are linked with
     nothing. A row with a null id is linked with nothing either: its component_id is null and it is kept. Rows that repeat an id belong to one
     component only if their texts are alike; all of them are kept or none. An empty table gives an empty result.
@@ -209,7 +210,7 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     batches(docs.sparkSession)
     signed = keep(signatures(docs, text))
     nodes = keep(signed.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
-    roots = link(docs, nodes, text)
+    roots = link(docs, nodes, text, percent)
     placed = nodes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_node = keep(placed.join(least, "root").select("node", "component_id"))
@@ -218,7 +219,7 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     return result.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def link(docs: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
+def link(docs: DataFrame, nodes: DataFrame, text: str, percent: int = PERCENT) -> DataFrame:
     """(node, root) of linked nodes."""
     buckets = nodes.select("node", F.explode("bands").alias("key"))
     lead = keep(buckets.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1"))
@@ -226,7 +227,7 @@ def link(docs: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
     pairs = keep(members.where("node <> lead").select("lead", "node").distinct())
     wanted = pairs.select(F.explode(F.array("lead", "node")).alias("node")).distinct()
     sets = full_sets(docs, nodes.select("node", "doc_id").join(wanted, "node"), text)
-    links = verified(pairs, sets)
+    links = verified(pairs, sets, percent)
     roots = components(links)
     placed = members.where("n > 2").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     # buckets with the same members are compared once
@@ -234,12 +235,12 @@ def link(docs: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
     once = keep(mixed.groupBy("n", "sum", "xor").agg(F.min("key").alias("key")).select("key"))
     if once.isEmpty():
         return roots
-    return components(links.union(links_within(keep(placed.join(once, "key", "left_semi").select("key", "node")), sets)))
+    return components(links.union(links_within(keep(placed.join(once, "key", "left_semi").select("key", "node")), sets, percent)))
 
 
-def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row of ``docs`` for each component, that of the component's id; rows without an id stay."""
-    kept = near_duplicates(docs, text).where("kept and doc_id is not null").select("doc_id").distinct()
+    kept = near_duplicates(docs, text, percent).where("kept and doc_id is not null").select("doc_id").distinct()
     once = Window.partitionBy("doc_id").orderBy(F.length(text).desc_nulls_last())
     rows = docs.join(kept, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(once)).where("_nth = 1").drop("_nth")
     return rows.select(docs.columns).unionByName(docs.where("doc_id is null"))
