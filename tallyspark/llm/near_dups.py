@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from .common import batches, keep, slices, table, texts_of
 from .components import components
@@ -93,6 +94,13 @@ def digest(shingles: np.ndarray) -> bytes:
     return md5(shingles.tobytes(), usedforsecurity=False).digest()
 
 
+@F.arrow_udf(BinaryType())
+def node_of(texts: pa.Array) -> pa.Array:
+    """The digest of a text's shingle set, empty without words."""
+    sets = (shingle_set(t or "") for t in texts.to_pylist())
+    return pa.array([digest(s) if len(s) else b"" for s in sets], pa.binary())
+
+
 def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, node, bands): node is a digest of the shingle set, null without words."""
     batches(docs.sparkSession)
@@ -207,11 +215,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT)
     nothing. A row with a null id is linked with nothing either: its component_id is null and it is kept. Rows that repeat an id belong to one
     component only if their texts are alike; all of them are kept or none. An empty table gives an empty result.
     """
-    batches(docs.sparkSession)
-    signed = keep(signatures(docs, text))
-    nodes = keep(signed.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
-    roots = link(docs, nodes, text, percent)
-    placed = nodes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
+    signed, placed = grouped(docs, text, percent)
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_node = keep(placed.join(least, "root").select("node", "component_id"))
     result = signed.drop("bands").join(of_node, "node", "left")
@@ -219,6 +223,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT)
     return result.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def grouped(docs: DataFrame, text: str, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The signatures, and (node, doc_id, root) of all nodes; doc_id is the least that has the node."""
+    batches(docs.sparkSession)
+    signed = keep(signatures(docs, text))
+    nodes = keep(signed.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
+    roots = link(docs, nodes, text, percent)
+    return signed, nodes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
+
+
 def link(docs: DataFrame, nodes: DataFrame, text: str, percent: int = PERCENT) -> DataFrame:
     """(node, root) of linked nodes."""
     buckets = nodes.select("node", F.explode("bands").alias("key"))
@@ -239,10 +252,17 @@ def link(docs: DataFrame, nodes: DataFrame, text: str, percent: int = PERCENT) -
 
 
 def deduplicated(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """One row of ``docs`` for each component, that of the component's id; rows without an id stay."""
-    kept = near_duplicates(docs, text, percent).where("kept and doc_id is not null").select("doc_id").distinct()
-    once = Window.partitionBy("doc_id").orderBy(F.length(text).desc_nulls_last())
-    rows = docs.join(kept, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(once)).where("_nth = 1").drop("_nth")
+    """One row of ``docs`` for each component; rows without an id stay.
+
+    It has the component's smallest id, and among the texts that the component has under this id the least shingle set and the longest text. An
+    id stays with several rows if its texts belong to several components. Rows without words are linked with nothing; one stays for each id.
+    """
+    signed, placed = grouped(docs, text, percent)
+    chosen = placed.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("c")).select(F.col("c.doc_id").alias("_id"), F.col("c.node").alias("_node"))
+    wordless = signed.where("node is null and doc_id is not null").select(F.col("doc_id").alias("_id"), F.lit(b"").alias("_node")).distinct()
+    once = Window.partitionBy("_id", "_node").orderBy(F.length(text).desc_nulls_last(), F.xxhash64(text))
+    rows = docs.where("doc_id is not null").withColumns({"_id": F.col("doc_id").cast("bigint"), "_node": node_of(text)})
+    rows = rows.withColumn("_nth", F.row_number().over(once)).where("_nth = 1").join(chosen.unionByName(wordless), ["_id", "_node"], "left_semi")
     return rows.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 

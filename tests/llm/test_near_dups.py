@@ -31,3 +31,11 @@ def test_deduplicated_at_a_percentage(spark):
     df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
     kept = {p: {r.doc_id for r in near_dups.deduplicated(df, percent=p).collect()} for p in (80, 85)}
     assert kept == {p: least_of_each(sets, p) for p in (80, 85)} and len(kept[80]) < len(kept[85])
+
+
+def test_texts_under_one_id(spark):
+    a = " ".join(f"a{i}" for i in range(30))
+    b = " ".join(f"b{i}" for i in range(60))
+    df = spark.createDataFrame([(5, a), (5, b), (3, b), (5, b.upper()), (7, a), (5, ""), (5, None), (None, a)], "doc_id bigint, text string")
+    got = sorted(((r.doc_id, r.text) for r in near_dups.deduplicated(df).collect()), key=repr)
+    assert got == sorted([(3, b), (5, a), (5, ""), (None, a)], key=repr)
