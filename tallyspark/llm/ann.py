@@ -1,12 +1,13 @@
 """Approximate nearest neighbours by inner product, with score-aware anisotropic quantisation.
 
-Vectors are cut into pairs of components; each pair is coded by one of 16 centres, four bits. Codes and centres are fitted to the
+Every component of a vector is coded by one of 16 centres of its own, four bits; two codes make a byte. Codes and centres are fitted to the
 loss  ``PARALLEL`` * |residual along the vector|^2 + |residual across it|^2,  since it is the part along the vector that distorts large inner
-products. Vectors are also dealt to lists around centroids. A query scans the codes of the lists nearest to it with a table of its products with all
-centres, and the best of each block are ranked anew by exact products of the original vectors.
+products. A query turns into tables of its products with all pairs of centres, in 8 bits; a scan adds, for each row, the table entries that
+its bytes name. The best ``RERANKED`` rows are then ranked by exact products of the original vectors.
 
-Lists are stored as blocks that each task builds from its own rows, so that indexing shuffles nothing and no list meets in one task; queries
-travel to the blocks of the lists that they look at.
+At scale: codes are an eighth of single-precision vectors, and it is only they that travel to the queries. Queries are dealt to chunks, and a task takes a
+chunk past all blocks of codes (past some of them while there are fewer chunks than cores), with a running list of the best rows of each query. So
+a task's memory is bounded, and what it returns grows with the queries, not with the blocks.
 """
 
 from __future__ import annotations
@@ -15,17 +16,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, keep, table
 
-#: Rows of the lowest hash on which lists and centres are fitted, weight of the parallel residual, components and centres of a code.
-SAMPLE, PARALLEL, WIDTH, CENTRES = 8192, 4.0, 2, 16
-#: Rows in a block, queries in a chunk, candidates that a block ranks exactly for a query.
-BLOCK_ROWS, CHUNK_ROWS, RERANKED = 4096, 128, 100
-#: A query looks at lists until they hold so many rows, and this share of all; vectors without clusters, as in isotropic noise, need a large share.
-LEAST_ROWS, SHARE = 4096, 0.75
+#: Rows of the lowest hash on which centres are fitted (fewer of long vectors, so that they hold SAMPLE * 64 components at most), weight of the parallel residual, centres of a code.
+SAMPLE, PARALLEL, CENTRES = 8192, 4.0, 16
+#: Rows in a block, queries in a chunk on average, rows that a task gives back for each query to be ranked exactly.
+BLOCK_ROWS, CHUNK_QUERIES, RERANKED = 8192, 192, 100
+#: Partitions of a scan, at most.
+MOST_PARTS = 20_000
 
 
 def usable(df: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -34,75 +35,124 @@ def usable(df: DataFrame, vector: str = "embedding") -> DataFrame:
     fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = df.where(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False)))
     common = rows.groupBy(F.size(v).alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size(v) == (common.n if common else 0)).select("vec_id", v.cast("array<double>").alias("vector"))
+    return rows.where(F.size(v) == (common.n if common else 0)).select(F.col("vec_id").cast("bigint").alias("vec_id"), v.cast("array<double>").alias("vector"))
 
 
 class Quantiser:
-    """List centroids and code centres fitted to a sample."""
+    """Centres of each component, fitted to a sample."""
 
-    def __init__(self, sample: np.ndarray, n_rows: int, seed: int = 3) -> None:
+    def __init__(self, sample: np.ndarray, rounds: int = 6) -> None:
         self.dim = sample.shape[1]
-        self.codes = -(-self.dim // WIDTH)
-        draw = np.random.default_rng(seed)
-        n_lists = int(min(1024, max(1, round(n_rows**0.5 / 4)), len(sample)))
-        self.lists = lloyd(sample, n_lists, draw)
-        padded = self.pad(sample)
-        parts = padded.reshape(len(sample), self.codes, WIDTH)
-        self.centres = np.stack([lloyd(parts[:, m], CENTRES, draw, exact=CENTRES) for m in range(self.codes)])
-        for _ in range(4):
-            self.refit(padded, self.encode(sample))
-
-    def pad(self, x: np.ndarray) -> np.ndarray:
-        return np.pad(x, ((0, 0), (0, self.codes * WIDTH - self.dim)))
+        places = (np.arange(CENTRES) + 0.5) / CENTRES
+        self.centres = np.quantile(sample, places, axis=0).T.copy()
+        code = self.encode(sample, sweeps=0)
+        for _ in range(rounds):
+            self.refit(sample, code)
+            code = self.encode(sample)
 
     def encode(self, x: np.ndarray, sweeps: int = 2) -> np.ndarray:
-        """Codes that minimise the anisotropic loss, one code after the other with the rest held."""
-        x = self.pad(x)
-        parts = x.reshape(len(x), self.codes, WIDTH)
-        unit = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).reshape(parts.shape)
-        square = np.stack([((parts[:, m, None] - self.centres[m][None]) ** 2).sum(axis=2) for m in range(self.codes)], axis=1)
-        along = np.einsum("nmd,nmd->nm", parts, unit)[:, :, None] - np.einsum("nmd,mkd->nmk", unit, self.centres)
-        code = square.argmin(axis=2)
-        total = np.take_along_axis(along, code[:, :, None], 2)[:, :, 0].sum(axis=1)
-        rows = np.arange(len(x))
+        """Codes that minimise the anisotropic loss, one after the other with the rest held."""
+        unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        code = np.abs(x[:, :, None] - self.centres[None]).argmin(axis=2)
+        along = ((x - self.decoded(code)) * unit).sum(axis=1)
         for _ in range(sweeps):
-            for m in range(self.codes):
-                rest = total - along[rows, m, code[:, m]]
-                best = (square[:, m] + (PARALLEL - 1) * (rest[:, None] + along[:, m]) ** 2).argmin(axis=1)
-                code[:, m], total = best, rest + along[rows, m, best]
-        return code.astype(np.uint8)
+            for m in range(self.dim):
+                residual = x[:, m, None] - self.centres[m]
+                part = residual * unit[:, m, None]
+                rest = along - np.take_along_axis(part, code[:, m, None], 1)[:, 0]
+                best = (residual**2 + (PARALLEL - 1) * (rest[:, None] + part) ** 2).argmin(axis=1)
+                code[:, m], along = best, rest + np.take_along_axis(part, best[:, None], 1)[:, 0]
+        return code
+
+    def decoded(self, code: np.ndarray) -> np.ndarray:
+        return self.centres[np.arange(self.dim), code]
 
     def refit(self, x: np.ndarray, code: np.ndarray) -> None:
-        """Centres that minimise the loss for given codes: one linear system over all of them."""
-        n, size = len(x), self.codes * CENTRES * WIDTH
+        """Centres that minimise the loss for given codes, one component after the other; a centre without rows stays."""
         unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        at = ((np.arange(self.codes) * CENTRES + code)[:, :, None] * WIDTH + np.arange(WIDTH)).reshape(n, -1)
-        placed, target = np.zeros((n, size)), np.zeros(size)
-        np.put_along_axis(placed, at, unit, 1)
-        np.add.at(target, at.ravel(), (x + (PARALLEL - 1) * np.einsum("nd,nd->n", x, unit)[:, None] * unit).ravel())
-        system = (PARALLEL - 1) * placed.T @ placed
-        system[np.diag_indices(size)] += np.bincount(at.ravel(), minlength=size) + 1e-6
-        used = np.bincount(at.ravel(), minlength=size) > 0
-        solved = np.linalg.solve(system, target)
-        self.centres = np.where(used, solved, self.centres.ravel()).reshape(self.centres.shape)
+        along = ((x - self.decoded(code)) * unit).sum(axis=1)
+        for m in range(self.dim):
+            u, c = unit[:, m], code[:, m]
+            rest = along - (x[:, m] - self.centres[m, c]) * u
+            up = np.bincount(c, weights=x[:, m] + (PARALLEL - 1) * u * (rest + x[:, m] * u), minlength=CENTRES)
+            down = np.bincount(c, weights=1 + (PARALLEL - 1) * u**2, minlength=CENTRES)
+            self.centres[m] = np.where(down > 0, up / np.maximum(down, 1e-300), self.centres[m])
+            along = rest + (x[:, m] - self.centres[m, c]) * u
+
+    @staticmethod
+    def packed(code: np.ndarray) -> np.ndarray:
+        """Two codes a byte; a last code without a partner has the partner 0."""
+        code = np.pad(code, ((0, 0), (0, code.shape[1] % 2))).astype(np.uint8)
+        return code[:, ::2] << 4 | code[:, 1::2]
 
     def tables(self, q: np.ndarray) -> np.ndarray:
-        """Products of each query's parts with all centres: queries x codes x centres."""
-        return np.einsum("qmd,mkd->qmk", self.pad(q).reshape(len(q), self.codes, WIDTH), self.centres).astype(np.float32)
-
-    def nearest_list(self, x: np.ndarray) -> np.ndarray:
-        return (x @ self.lists.T - 0.5 * (self.lists**2).sum(axis=1)).argmax(axis=1)
-
-
-def lloyd(x: np.ndarray, k: int, draw: np.random.Generator, rounds: int = 12, exact: int = 0) -> np.ndarray:
-    """k-means; with ``exact`` so many centres are returned even if fewer rows are there."""
-    centres = x[draw.permutation(len(x))[:k]].copy()
-    for _ in range(rounds):
-        near = (x @ centres.T - 0.5 * (centres**2).sum(axis=1)).argmax(axis=1)
-        n = np.bincount(near, minlength=len(centres))
-        sums = np.stack([np.bincount(near, weights=x[:, d], minlength=len(centres)) for d in range(x.shape[1])], axis=1)
-        centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
-    return np.resize(centres, (max(exact, len(centres)), x.shape[1]))
+        """For each byte and each of its values what it adds for every query: bytes x 256 x queries, as whole steps of the query's own scale."""
+        parts = np.einsum("qm,mk->mkq", q, self.centres)
+        parts = np.concatenate([parts, np.zeros((self.dim % 2, CENTRES, len(q)))])
+        pairs = (parts[::2, :, None] + parts[1::2, None]).reshape(-1, CENTRES * CENTRES, len(q))
+        pairs -= pairs.min(axis=1, keepdims=True)
+        most = min(255, 65_000 // len(pairs))  # sums fit 16 bits
+        step = np.maximum(pairs.max(axis=(0, 1)), 1e-300) / most
+        return np.rint(pairs / step).astype(np.uint8)
+
+
+class Scan:
+    """The running best rows of each query of a chunk."""
+
+    def __init__(self, quantiser: Quantiser, ids: np.ndarray, vectors: np.ndarray, most: int) -> None:
+        self.ids, self.most, self.tables = ids, most, quantiser.tables(vectors)
+        self.query, self.score, self.found = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.least = np.zeros(len(ids), np.uint16)  # the score of the last of ``most`` rows; 1 is the lowest of a row
+
+    def look(self, ids: np.ndarray, codes: np.ndarray) -> None:
+        total = np.ones((len(ids), len(self.ids)), np.uint16)
+        for m, byte_table in enumerate(self.tables):
+            total += byte_table.take(codes[:, m], axis=0)
+        at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+        own = np.flatnonzero(self.ids[at] == ids)
+        total[own, at[own]] = 0
+        if len(ids) > self.most and not self.least.all():  # no row below the block's own best can be among the best
+            self.least = np.maximum(self.least, np.partition(total, len(ids) - self.most, axis=0)[len(ids) - self.most])
+        row, query = np.nonzero(total >= np.maximum(self.least, 1))
+        query, score, found = np.concatenate([self.query, query]), np.concatenate([self.score, total[row, query]]), np.concatenate([self.found, ids[row]])
+        order = np.lexsort((found, -score.astype(np.int64), query))
+        query, score, found = query[order], score[order], found[order]
+        n = np.bincount(query, minlength=len(self.ids))
+        ends = np.cumsum(n)
+        nth = np.arange(len(query)) - np.repeat(ends - n, n)
+        full = n >= self.most
+        self.least[full] = score[(ends - n)[full] + self.most - 1]
+        best = nth < self.most
+        self.query, self.score, self.found = query[best], score[best], found[best]
+
+    def rows(self, chunk: int) -> pa.RecordBatch:
+        """(chunk, vec_id, places of the queries that want it)."""
+        order = np.lexsort((self.query, self.found))
+        found, starts = np.unique(self.found[order], return_index=True)
+        wanted = pa.ListArray.from_arrays(pa.array(np.append(starts, len(order)), pa.int32()), pa.array(self.query[order], pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), chunk), pa.int64()), pa.array(found, pa.int64()), wanted], names=["chunk", "vec_id", "wanted"])
+
+
+class Ranks:
+    """The running k best exact products of each query of a chunk."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int) -> None:
+        self.ids, self.vectors, self.k = ids, vectors, k
+        self.best = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+        self.nth = np.zeros(0, np.int64)
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray, row: np.ndarray, query: np.ndarray) -> None:
+        exact = np.einsum("nd,nd->n", vectors[row], self.vectors[query])
+        query, score, found = (np.concatenate(x) for x in zip(self.best, (query, exact, ids[row]), strict=True))
+        order = np.lexsort((found, -score, query))
+        n = np.bincount(query, minlength=len(self.ids))
+        nth = np.arange(len(order)) - np.repeat(np.cumsum(n) - n, n)
+        order, self.nth = order[nth < self.k], nth[nth < self.k]
+        self.best = query[order], score[order], found[order]
+
+    def rows(self) -> pa.RecordBatch:
+        query, score, found = self.best
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[query], pa.int64()), pa.array(self.nth + 1, pa.int32()), pa.array(found, pa.int64()), pa.array(score)], names=["query_id", "rank", "vec_id", "score"])
 
 
 def rows_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -110,111 +160,125 @@ def rows_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return ids, batch.column(1).flatten().to_numpy().reshape(len(ids), -1)
 
 
-def packed(buffers: dict[int, list], size: int, every: bool, make) -> Iterator[pa.RecordBatch]:
-    """Rows of buffers that are full, or of all."""
-    for key in [k for k, v in buffers.items() if every or len(v) >= size]:
-        held = buffers.pop(key)
-        for i in range(0, len(held), size):
-            yield make(key, held[i : i + size])
+def queries_of(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids, ascending, and vectors of the chunk of queries in row i."""
+    rows = batch.column(batch.schema.get_field_index("queries"))[i].values
+    ids = rows.field(0).to_numpy()
+    return ids, rows.field(1).flatten().to_numpy().reshape(len(ids), -1)
 
 
 def build_index(vectors: DataFrame, quantiser) -> DataFrame:
-    """Blocks (list, ids, codes, vectors) of all usable vectors."""
+    """Blocks (ids, codes) of all usable vectors; rows of a block ascend by id."""
 
-    def block(key: int, rows: list) -> pa.RecordBatch:
-        rows.sort(key=lambda r: r[0])
-        ids, codes, x = (b"".join(parts) for parts in zip(*((np.int64(i).tobytes(), c, v) for i, c, v in rows), strict=True))
-        return pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), *(pa.array([v], pa.binary()) for v in (ids, codes, x))], names=["list", "ids", "codes", "vectors"])
+    def block(ids: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(ids, kind="stable")
+        return pa.RecordBatch.from_arrays([pa.array([ids[order].astype("<i8").tobytes()], pa.binary()), pa.array([codes[order].tobytes()], pa.binary())], names=["ids", "codes"])
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, held = quantiser.value, {}
+        q, ids, codes, held = quantiser.value, [], [], 0
         for batch in batches_:
             if batch.num_rows:
-                ids, x = rows_of(batch)
-                for key, i, c, v in zip(q.nearest_list(x).tolist(), ids.tolist(), q.encode(x), x, strict=True):
-                    held.setdefault(key, []).append((i, c.tobytes(), v.tobytes()))
-                yield from packed(held, BLOCK_ROWS, False, block)
-        yield from packed(held, BLOCK_ROWS, True, block)
-
-    return keep(vectors.mapInArrow(run, "list int, ids binary, codes binary, vectors binary"))
-
-
-def chunks(queries: DataFrame, quantiser, sizes: np.ndarray, share: float) -> DataFrame:
-    """Chunks (list, q_ids, q_vectors) of the queries, for every list that they look at."""
+                i, x = rows_of(batch)
+                ids.append(i)
+                codes.append(q.packed(q.encode(x)))
+                held += len(i)
+                if held >= BLOCK_ROWS:
+                    yield block(np.concatenate(ids), np.concatenate(codes))
+                    ids, codes, held = [], [], 0
+        if held:
+            yield block(np.concatenate(ids), np.concatenate(codes))
+
+    return keep(vectors.mapInArrow(run, "ids binary, codes binary"))
+
+
+def candidates(blocks: DataFrame, asked: DataFrame, quantiser, n_chunks: int, most: int) -> DataFrame:
+    """(chunk, vec_id, wanted): for each query the best rows by the scan of the codes, ``most`` for each task that saw some of the blocks."""
+    groups = max(1, -(-2 * blocks.sparkSession.sparkContext.defaultParallelism // n_chunks))
+    parts = min(n_chunks * groups, MOST_PARTS)
+    cell = lambda group: (F.col("chunk") * groups + group).alias("cell")
+    heads = asked.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select(cell(F.col("group")), "chunk", "queries", F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("binary").alias("codes"))
+    copies = blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))))
+    tails = copies.select(cell(F.pmod(F.xxhash64("ids"), F.lit(groups))), F.col("chunk").cast("bigint").alias("chunk"), F.lit(None).cast(asked.schema["queries"].dataType).alias("queries"), "ids", "codes")
+    # a cell's queries come first, then its blocks
+    dealt = heads.unionByName(tails).repartitionById(parts, (F.col("cell") % parts).cast("int")).sortWithinPartitions("cell", F.col("queries").isNull())
 
-    def chunk(key: int, rows: list) -> pa.RecordBatch:
-        ids, x = (b"".join(parts) for parts in zip(*((np.int64(i).tobytes(), v) for i, v in rows), strict=True))
-        return pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([ids], pa.binary()), pa.array([x], pa.binary())], names=["list", "q_ids", "q_vectors"])
+    def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, scan, chunk = quantiser.value, None, 0
+        for batch in batches_:
+            chunks, ids, codes = (batch.column(batch.schema.get_field_index(c)) for c in ("chunk", "ids", "codes"))
+            for i in range(batch.num_rows):
+                if not ids[i].is_valid:
+                    if scan is not None:
+                        yield scan.rows(chunk)
+                    scan, chunk = Scan(q, *queries_of(batch, i), most), chunks[i].as_py()
+                else:
+                    of = np.frombuffer(ids[i].as_py(), "<i8")
+                    scan.look(of, np.frombuffer(codes[i].as_py(), np.uint8).reshape(len(of), -1))
+        if scan is not None:
+            yield scan.rows(chunk)
+
+    return dealt.mapInArrow(run, "chunk bigint, vec_id bigint, wanted array<int>")
+
+
+def ranked(found: DataFrame, vectors: DataFrame, asked: DataFrame, n_chunks: int, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score) by exact products of the candidates' vectors."""
+    parts = min(n_chunks, MOST_PARTS)
+    once = found.groupBy("vec_id", "chunk").agg(F.array_distinct(F.flatten(F.collect_list("wanted"))).alias("wanted"))
+    tails = once.join(vectors, "vec_id").select("chunk", "vec_id", "vector", "wanted", F.lit(None).cast(asked.schema["queries"].dataType).alias("queries"))
+    heads = asked.select("chunk", F.lit(None).cast("bigint").alias("vec_id"), F.lit(None).cast("array<double>").alias("vector"), F.lit(None).cast("array<int>").alias("wanted"), "queries")
+    dealt = heads.unionByName(tails).repartitionById(parts, (F.col("chunk") % parts).cast("int")).sortWithinPartitions("chunk", F.col("queries").isNull())
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, held, enough = quantiser.value, {}, max(LEAST_ROWS, share * sizes.sum())
+        ranks = None
         for batch in batches_:
-            if batch.num_rows:
-                ids, x = rows_of(batch)
-                order = np.argsort(-(x @ q.lists.T), axis=1)
-                before = np.cumsum(sizes[order], axis=1) - sizes[order]
-                for i, v, keys, held_before in zip(ids.tolist(), x, order, before, strict=True):
-                    for key in keys[(held_before < enough) & (sizes[keys] > 0)].tolist():
-                        held.setdefault(key, []).append((i, v.tobytes()))
-                yield from packed(held, CHUNK_ROWS, False, chunk)
-        yield from packed(held, CHUNK_ROWS, True, chunk)
-
-    return queries.mapInArrow(run, "list int, q_ids binary, q_vectors binary")
-
-
-def scan_block(q: Quantiser, r: dict, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of a block for each query of a chunk: query ids, vector ids, exact products."""
-    ids, codes = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["codes"], np.uint8).reshape(-1, q.codes)
-    x, q_ids = np.frombuffer(r["vectors"]).reshape(len(ids), -1), np.frombuffer(r["q_ids"], np.int64)
-    qx = np.frombuffer(r["q_vectors"]).reshape(len(q_ids), -1)
-    tables = q.tables(qx)
-    rough = np.zeros((len(q_ids), len(ids)), np.float32)
-    for m in range(q.codes):
-        rough += tables[:, m][:, codes[:, m]]
-    rough[q_ids[:, None] == ids[None, :]] = -np.inf
-    some = np.argsort(-rough, axis=1, kind="stable")[:, : max(RERANKED, 2 * k)]  # ids ascend, so that ties go to the smaller
-    exact = np.einsum("qd,qrd->qr", qx, x[some])
-    exact[np.take_along_axis(rough, some, 1) == -np.inf] = -np.inf
-    found = ids[some]
-    best = np.lexsort((found, -exact), axis=1)[:, :k]
-    scores = np.take_along_axis(exact, best, 1)
-    fine = scores > -np.inf
-    return np.repeat(q_ids, best.shape[1])[fine.ravel()], np.take_along_axis(found, best, 1)[fine], scores[fine]
-
-
-def nearest(df: DataFrame, queries: DataFrame, k: int = 20, vector: str = "embedding", share: float = SHARE) -> DataFrame:
+            heads = [i for i, x in enumerate(batch.column(1).is_null().to_pylist()) if x]
+            for a, b in zip([-1, *heads], [*heads, batch.num_rows], strict=True):
+                if a >= 0:
+                    if ranks is not None:
+                        yield ranks.rows()
+                    ranks = Ranks(*queries_of(batch, a), k)
+                if b > a + 1:
+                    part = batch.slice(a + 1, b - a - 1)
+                    vectors_, wanted = part.column(2), part.column(3)
+                    x = vectors_.flatten().to_numpy().reshape(len(part), -1)
+                    row = np.repeat(np.arange(len(part)), wanted.value_lengths().to_numpy())
+                    ranks.add(part.column(1).to_numpy(), x, row, wanted.flatten().to_numpy())
+        if ranks is not None:
+            yield ranks.rows()
+
+    return dealt.mapInArrow(run, "query_id bigint, rank int, vec_id bigint, score double")
+
+
+def nearest(df: DataFrame, queries: DataFrame, k: int = 20, vector: str = "embedding", reranked: int = RERANKED) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows of ``df`` found for each row of ``queries`` but its own, by inner product.
 
     Both tables have vec_id and the vector. Rows whose vector is null, empty, zero, holds null or non-finite components or has not the commonest
-    length of ``df`` take no part, nor do null ids. Scores are in double precision; ties go to the smaller vec_id. A repeated query id is one
-    query; a repeated row of ``df`` is found as often. With fewer candidates than k all are returned; an empty table gives none.
+    length of ``df`` take no part, nor do null ids; further columns aren't read. Scores are in double precision; ties go to the smaller vec_id. A
+    repeated query id is one query (with the least of its vectors); a repeated row of ``df`` is found as often. With fewer candidates than k all are
+    returned; an empty table gives none. ``reranked`` rows (2 k at least) are ranked exactly for each query and scanning task: with as many as
+    ``df`` has rows the search is exact.
     """
     spark = df.sparkSession
     batches(spark)
     vectors = usable(df, vector)
-    n = vectors.count()
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()  # bounded by SAMPLE
-    if not sample:
+    first = vectors.select(F.size("vector")).first()
+    if not first:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    quantiser = spark.sparkContext.broadcast(Quantiser(np.array([r.vector for r in sample]), n))
+    dim = first[0]
+    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(1024, min(SAMPLE, SAMPLE * 64 // dim))).collect()  # bounded by SAMPLE
+    quantiser = spark.sparkContext.broadcast(Quantiser(np.array([r.vector for r in sample])))
     blocks = build_index(vectors, quantiser)
-    sizes = np.zeros(len(quantiser.value.lists))
-    for r in blocks.groupBy("list").agg(F.sum(F.length("ids") / 8).alias("n")).collect():
-        sizes[r.list] = r.n  # one row for each list, at most 1024
-    asked = usable(queries, vector).where(F.size("vector") == quantiser.value.dim).dropDuplicates(["vec_id"])
-    pairs = blocks.join(chunks(asked, quantiser, sizes, share), "list")
-
-    def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_:
-            for r in batch.to_pylist():
-                q_ids, ids, scores = scan_block(quantiser.value, r, k)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids, pa.int64()), pa.array(ids, pa.int64()), pa.array(scores)], names=["query_id", "vec_id", "score"])
-
-    found = pairs.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    single = keep(usable(queries, vector).where(F.size("vector") == dim).groupBy("vec_id").agg(F.min("vector").alias("vector")))
+    n_queries = single.count()
+    if not n_queries:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    n_chunks = -(-n_queries // CHUNK_QUERIES)
+    chunk = F.pmod(F.xxhash64("vec_id"), F.lit(n_chunks)).cast("bigint")
+    asked = keep(single.groupBy(chunk.alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "vector"))).alias("queries")))
+    return ranked(candidates(blocks, asked, quantiser, n_chunks, max(reranked, 2 * k)), vectors, asked, n_chunks, k)
 
 
 def op4_nearest(spark, sf_dir):
+    """The 20 nearest of each embedding whose vec_id is divisible by 20; unusable vectors and null ids take no part, ties go to the smaller vec_id, an empty table gives no rows."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return nearest(vectors, vectors.where("vec_id % 20 = 0"))
