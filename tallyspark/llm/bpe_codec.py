@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from hashlib import sha256
 from itertools import chain
 
 import numpy as np
@@ -37,6 +36,7 @@ class Codec:
         self.border: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
         self.led: dict[str, bytes] = {}
+        self.letters = 0  # of all words and chunks that are remembered
         self.raw = [i.to_bytes(4, "little") for i in range(max(v.bytes_of) + 1)]
         self.bytes_of = [v.bytes_of.get(i, b"") for i in range(max(v.bytes_of) + 1)]
 
@@ -111,10 +111,12 @@ class Codec:
 
     def learn(self, chunks: set[str], words: set[str]) -> None:
         """Puts what isn't known yet into one trie and remembers the ids."""
-        for held, new in ((self.led, chunks), (self.words, words)):
-            if len(held) + len(new) > B.REMEMBERED:
-                held.clear()
+        if len(self.led) + len(self.words) + len(chunks) + len(words) > B.REMEMBERED or self.letters > B.REMEMBERED_LETTERS:
+            self.led.clear()
+            self.words.clear()
+            self.letters = 0
         chunks, words = chunks - self.led.keys(), words - self.words.keys()
+        self.letters += sum(map(len, chunks)) + sum(map(len, words))
         utf8 = lambda w: w.encode("utf-8", "surrogatepass")
         whole = {c: utf8(" " + c) for c in chunks if c.isalpha()}  # one word each
         cut = {c: list(map(utf8, B.WORDS.findall(" " + c))) for c in chunks if c not in whole}
@@ -170,21 +172,25 @@ def with_columns(df: DataFrame, added: dict[str, str]) -> tuple[DataFrame, str]:
     return base, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), *(f"`{k}` {t}" for k, t in added.items())])
 
 
-def encode(docs: DataFrame, vocab_path: str | None = None, text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, vocab_path: str | None = None, text: str = "text", decoded: bool = False) -> DataFrame:
     """``docs`` with ``ids`` (binary: little-endian unsigned 32-bit token ids) and n_tokens added, replacing columns of these names.
 
-    A null text is encoded as the empty text: no ids. Special strings inside texts become their own token. Null ids, repeated rows and
-    further columns pass through; an empty table gives an empty result. The text column stays.
+    With ``decoded`` a column of that name has what ``decode`` makes of the ids, in the same pass. A null text is encoded as the empty text: no ids.
+    Special strings inside texts become their own token. Null ids, repeated rows and further columns pass through; an empty table gives an
+    empty result. The text column stays.
     """
     batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(B.read_vocab(vocab_path or B.default_path()))
-    base, schema = with_columns(docs, {"ids": "binary", "n_tokens": "bigint"})
+    base, schema = with_columns(docs, {"ids": "binary", "n_tokens": "bigint"} | ({"decoded": "string"} if decoded else {}))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(held.value)
         for batch in rows:
             ids = c.encode(texts_of(batch, text))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], names=[*batch.schema.names, "ids", "n_tokens"])
+            added = [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+            if decoded:
+                added.append(pa.array(map(c.decode, ids), pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "ids", "n_tokens", "decoded"][: batch.num_columns + len(added)])
 
     return base.mapInArrow(run, schema)
 
@@ -204,10 +210,7 @@ def decode(encoded: DataFrame, vocab_path: str | None = None, ids: str = "ids")
     return base.mapInArrow(run, schema)
 
 
-def digest_ids(data: bytes) -> str:
-    return sha256(data).hexdigest()
-
-
 def op9_bpe_codec(spark, sf_dir):
-    docs = encode(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
-    return decode(docs).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """Digests of the ids of every text and of their decoding; null and empty texts have no ids, rows with null or repeated ids are coded row by row."""
+    coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded=True)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

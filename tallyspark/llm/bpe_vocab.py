@@ -14,8 +14,8 @@ WORDS = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]
 #: Where a space touches other white space, cutting at single spaces would differ from the pattern.
 CROWDED = regex.compile(r"\s |\s$|^\s| \s")
 MOST_BYTES = 64 << 20
-#: Words that a worker remembers; beyond that it starts anew, so that its memory stays bounded.
-REMEMBERED = 1 << 19
+#: Words that a worker remembers, and their letters; beyond that it starts anew, so that its memory stays bounded.
+REMEMBERED, REMEMBERED_LETTERS = 1 << 19, 1 << 23
 
 
 def default_path() -> str:

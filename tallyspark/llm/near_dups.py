@@ -10,8 +10,9 @@ and under 5e-5 at 0.80.
 
 Verification without emitting all pairs. Equal sets are one node. Every bucket has a leader, its least node; each other member is compared
 with it on full sets, which settles most groups. Buckets that then still hold several components are compared within: their members are
-dealt to blocks of bounded bytes, a task counts the common shingles of two blocks by matrix products and returns only as many links as
-connect what it found linked. No bucket is capped, and no link between members of a bucket is lost.
+dealt to blocks of bounded bytes and sets, a task counts the common shingles of two blocks by matrix products and returns only as many links as
+connect what it found linked; members of a bucket's most frequent component meet only the rest. No bucket is capped, and no link that would join
+two components is lost.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from hashlib import md5
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
@@ -31,8 +32,8 @@ from .components import components
 from .words import spaced_words
 
 SHINGLE, COORDINATES, BANDS, ROWS, PERCENT = 5, 125, 25, 5, 85
-#: Shingles that are sketched together, bytes of a block of a bucket, shingles that are columns of a matrix at a time.
-STEP, BLOCK_BYTES, COLUMNS = 1 << 20, 4 << 20, 4096
+#: Shingles that are sketched together, bytes and sets of a block of a bucket, shingles that are columns of a matrix at a time, members that a leader meets at a time.
+STEP, BLOCK_BYTES, BLOCK_SETS, COLUMNS, PORTION = 1 << 20, 4 << 20, 1024, 4096, 256
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -135,29 +136,42 @@ def full_sets(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFra
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) of (lead, node) that are linked."""
+    """The pairs (a, b) of (lead, node) that are linked.
+
+    Members of a leader are dealt to portions of about ``PORTION``; the leader's set goes once to each portion, ahead of its members.
+    """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead, lead_set = None, np.zeros(0, np.uint64)
         for batch in rows:
-            linked = []
-            for i, x in enumerate(batch.column(0).to_pylist()):
-                if x != lead:
-                    lead, lead_set = x, np.frombuffer(batch.column(3)[i].as_py(), "<u8")
-                own = np.frombuffer(batch.column(2)[i].as_py(), "<u8")
+            a, b = [], []
+            leads, nodes, shingles = (batch.column(batch.schema.get_field_index(c)) for c in ("lead", "node", "shingles"))
+            for i in range(batch.num_rows):
+                own = np.frombuffer(shingles[i].as_py(), "<u8")
+                if not nodes[i].is_valid:
+                    lead, lead_set = leads[i].as_py(), own
+                    continue
                 at = np.minimum(np.searchsorted(lead_set, own), len(lead_set) - 1)
                 both = int((lead_set[at] == own).sum())
-                linked.append(100 * both >= percent * (len(own) + len(lead_set) - both))
-            mask = pa.array(linked, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+                if 100 * both >= percent * (len(own) + len(lead_set) - both):
+                    a.append(lead)
+                    b.append(nodes[i].as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    portions = keep(pairs.groupBy("lead").agg(F.ceil(F.count("*") / PORTION).cast("int").alias("portions")))
+    heads = portions.join(sets.withColumnRenamed("node", "lead"), "lead").select("lead", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("portion"), F.lit(None).cast("binary").alias("node"), "shingles")
+    tails = pairs.join(portions, "lead").select("lead", F.pmod(F.xxhash64("node"), F.col("portions")).cast("int").alias("portion"), "node").join(sets, "node")
+    dealt = heads.unionByName(tails.select(*heads.columns)).repartition("lead", "portion").sortWithinPartitions("lead", "portion", F.col("node").isNotNull())
+    return keep(dealt.mapInArrow(run, "a binary, b binary"))
 
-    lead_sets = sets.select(F.col("node").alias("lead"), F.col("shingles").alias("lead_shingles"))
-    joined = pairs.join(sets, "node").join(lead_sets, "lead").select("lead", "node", "shingles", "lead_shingles")
-    return keep(joined.mapInArrow(run, "a binary, b binary"))
 
+def linked_between(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links (i, j) that connect all sets linked across ``left`` and ``right`` (within ``left`` if ``right`` is None), by counts of common members over all such pairs.
 
-def linked_within(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links that connect all sets that are linked with each other, by counts of common members over all pairs."""
+    A right set has the number len(left) + its place. Memory is one count for each pair and strips of ``COLUMNS`` members.
+    """
+    sets = left if right is None else left + right
+    n = len(left)
     sizes = np.array([len(s) for s in sets])
     values, codes = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(len(sets)), sizes)
@@ -167,14 +181,17 @@ def linked_within(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[
     owner, codes = owner[use], column[codes[use]]
     order = np.argsort(codes, kind="stable")
     owner, codes = owner[order], codes[order]
-    both = np.zeros((len(sets), len(sets)), np.float32)
-    for first in range(0, int(shared.sum()), COLUMNS):
-        a, b = np.searchsorted(codes, [first, first + COLUMNS])
+    first = 0 if right is None else n
+    both = np.zeros((n, len(sets) - first), np.int32)
+    for low in range(0, int(shared.sum()), COLUMNS):
+        a, b = np.searchsorted(codes, [low, low + COLUMNS])
         x = np.zeros((len(sets), COLUMNS), np.float32)
-        x[owner[a:b], codes[a:b] - first] = 1
-        both += x @ x.T
-    both = both.astype(np.int64)  # counts under 2^24 are exact
-    near = np.argwhere(np.triu(100 * both >= percent * (sizes[:, None] + sizes[None, :] - both), 1))
+        x[owner[a:b], codes[a:b] - low] = 1
+        both += (x[:n] @ x[first:].T).astype(np.int32)  # a strip's counts are at most COLUMNS, so exact
+    least = (sizes[:n, None] + sizes[None, first:]) * percent / (100 + percent)
+    near = both >= least - 0.5  # the exact test follows, on few
+    i, j = np.nonzero(np.triu(near, 1) if right is None else near)
+    exact = (100 + percent) * both[i, j].astype(np.int64) >= percent * (sizes[i] + sizes[first + j])
     parent = list(range(len(sets)))
 
     def root(i: int) -> int:
@@ -184,7 +201,7 @@ def linked_within(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[
         return i
 
     out = []
-    for i, j in near.tolist():
+    for i, j in zip(i[exact].tolist(), (first + j[exact]).tolist(), strict=True):
         if (x := root(i)) != (y := root(j)):
             parent[max(x, y)] = min(x, y)
             out.append((i, j))
@@ -192,17 +209,41 @@ def linked_within(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[
 
 
 def links_within(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) inside the given buckets (key, node), each pair of whose blocks meets in one task."""
-    held = members.join(sets, "node")
-    n_blocks = members.join(sets.select("node", F.length("shingles").alias("bytes")), "node").groupBy("key").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = held.join(n_blocks, "key").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "shingles")
+    """Links (a, b) that connect the components of the given buckets (key, node, root).
+
+    Members of a bucket's most frequent component needn't be compared with each other, only with the rest; so blocks of the rest meet all blocks,
+    and blocks of that component meet the blocks of the rest. Each such pair of blocks is one task's work.
+    """
+    sized = keep(members.join(sets.select("node", F.length("shingles").alias("bytes")), "node"))
+    main = sized.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    sided = sized.join(main, "key").select("key", "node", "bytes", (F.col("root") != F.col("main")).alias("rest"))
+    n_blocks = lambda rest: F.ceil(F.greatest(F.sum(F.when(rest, F.col("bytes"))) / BLOCK_BYTES, F.sum(F.when(rest, 1)) / BLOCK_SETS, F.lit(1))).cast("int")
+    blocks = keep(sided.groupBy("key").agg(n_blocks(F.col("rest")).alias("rests"), n_blocks(~F.col("rest")).alias("mains")))
+    own = F.pmod(F.xxhash64("node", F.lit(3)), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("mains"))).cast("int")
+    pair = lambda low, high, left: F.struct(low.alias("low"), high.alias("high"), F.lit(left).alias("is_left"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    # blocks of the rest are numbered from 0, those of the main component from -1 downwards
+    of_rest = F.concat(
+        F.transform(upto(F.col("rests")), lambda o: F.when(o >= F.col("own"), pair(F.col("own"), o, True)).otherwise(pair(o, F.col("own"), False))),
+        F.transform(upto(F.col("mains")), lambda o: pair(F.col("own"), -1 - o, True)),
+    )
+    of_main = F.transform(upto(F.col("rests")), lambda o: pair(o, -1 - F.col("own"), False))
+    placed = sided.join(blocks, "key").withColumn("own", own).select("key", "node", F.explode(F.when(F.col("rest"), of_rest).otherwise(of_main)).alias("p")).select("key", "node", "p.*")
+    dealt = placed.join(sets, "node")
 
     def run(group: pa.Table) -> pa.Table:
-        nodes = group.column("node").to_pylist()
-        found = linked_within([np.frombuffer(x, "<u8") for x in group.column("shingles").to_pylist()], percent)
-        return pa.table({"a": pa.array([nodes[i] for i, _ in found], pa.binary()), "b": pa.array([nodes[j] for _, j in found], pa.binary())})
+        group = group.sort_by("node")
+        one_block = group.column("low")[0] == group.column("high")[0]
+        left = group.column("is_left").to_pylist()
+        nodes, shingles = group.column("node").to_pylist(), [np.frombuffer(x, "<u8") for x in group.column("shingles").to_pylist()]
+        a = [i for i, x in enumerate(left) if x]
+        b = [i for i, x in enumerate(left) if not x]
+        if not a or (not b and not one_block):
+            found, names = [], []
+        else:
+            found = linked_between([shingles[i] for i in a], None if one_block else [shingles[i] for i in b], percent)
+            names = [nodes[i] for i in a + b]
+        return pa.table({"a": pa.array([names[i] for i, _ in found], pa.binary()), "b": pa.array([names[j] for _, j in found], pa.binary())})
 
     return keep(dealt.groupBy("key", "low", "high").applyInArrow(run, "a binary, b binary"))
 
@@ -248,23 +289,28 @@ def link(docs: DataFrame, nodes: DataFrame, text: str, percent: int = PERCENT) -
     once = keep(mixed.groupBy("n", "sum", "xor").agg(F.min("key").alias("key")).select("key"))
     if once.isEmpty():
         return roots
-    return components(links.union(links_within(keep(placed.join(once, "key", "left_semi").select("key", "node")), sets, percent)))
+    return components(links.union(links_within(keep(placed.join(once, "key", "left_semi")), sets, percent)))
 
 
 def deduplicated(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """One row of ``docs`` for each component; rows without an id stay.
+    """One row of ``docs``, with all its columns, for each component; rows without an id stay.
 
-    It has the component's smallest id, and among the texts that the component has under this id the least shingle set and the longest text. An
-    id stays with several rows if its texts belong to several components. Rows without words are linked with nothing; one stays for each id.
+    It has the component's smallest id, and among the texts that the component has under this id the least shingle set; of rows with both alike the
+    longest text, then the largest hash of the text and of the row's other columns. An id stays with several rows if its texts belong to several
+    components. Rows without words (null and empty texts among them) are linked with nothing; one stays for each id. An empty table gives an empty result.
     """
     signed, placed = grouped(docs, text, percent)
-    chosen = placed.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("c")).select(F.col("c.doc_id").alias("_id"), F.col("c.node").alias("_node"))
-    wordless = signed.where("node is null and doc_id is not null").select(F.col("doc_id").alias("_id"), F.lit(b"").alias("_node")).distinct()
-    once = Window.partitionBy("_id", "_node").orderBy(F.length(text).desc_nulls_last(), F.xxhash64(text))
-    rows = docs.where("doc_id is not null").withColumns({"_id": F.col("doc_id").cast("bigint"), "_node": node_of(text)})
-    rows = rows.withColumn("_nth", F.row_number().over(once)).where("_nth = 1").join(chosen.unionByName(wordless), ["_id", "_node"], "left_semi")
-    return rows.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    chosen = placed.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("c")).select(F.col("c.doc_id").alias("id"), F.col("c.node").alias("node"))
+    wordless = signed.where("node is null and doc_id is not null").select(F.col("doc_id").alias("id"), F.lit(b"").alias("node")).distinct()
+    whole = F.struct(*docs.columns)
+    others = F.to_json(F.struct(*(c for c in docs.columns if c != text)))
+    order = F.struct(F.coalesce(F.length(text), F.lit(-1)), F.xxhash64(text), F.xxhash64(others))
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("id"), node_of(text).alias("node"), whole.alias("whole"), order.alias("order"))
+    # repeated rows meet before the shuffle already
+    once = rows.groupBy("id", "node").agg(F.max_by("whole", "order").alias("whole")).join(chosen.unionByName(wordless), ["id", "node"], "left_semi")
+    return once.select("whole.*").unionByName(docs.where("doc_id is null"))
 
 
 def op8_near_duplicates(spark, sf_dir):
+    """Components of documents at 85 percent; nulls, ties, repeated rows and empty tables as in ``near_duplicates``."""
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bpe_codec import with_columns
 from .common import batches, bucket, keep, table, texts_of
@@ -47,6 +48,16 @@ def measures(text: str) -> list[float]:
     ]
 
 
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def measured(texts: pa.Array) -> pa.Array:
+    """The measures of each text; null counts as empty."""
+    return lists([measures(t or "") for t in texts.to_pylist()])
+
+
+def lists(rows: list[list[float]]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(range(0, MEASURES * len(rows) + 1, MEASURES), pa.int32()), pa.array([x for r in rows for x in r], pa.float64()))
+
+
 def with_measures(docs: DataFrame, text: str = "text", name: str = "measures") -> DataFrame:
     """``docs`` with the measures of each text; null counts as empty."""
     batches(docs.sparkSession)
@@ -54,8 +65,7 @@ def with_measures(docs: DataFrame, text: str = "text", name: str = "measures") -
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            flat = [x for t in texts_of(batch, text) for x in measures(t)]
-            out = pa.ListArray.from_arrays(pa.array(range(0, MEASURES * batch.num_rows + 1, MEASURES), pa.int32()), pa.array(flat, pa.float64()))
+            out = lists([measures(t) for t in texts_of(batch, text)])
             yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, name])
 
     return base.mapInArrow(run, schema)
@@ -96,13 +106,13 @@ class Ranking(NamedTuple):
     cut: float
     unit: float
 
-    def score(self, measures: str = "_measures") -> Column:
+    def score(self, measures: str | Column = "_measures") -> Column:
         """0 to 1, from 0.5 on for accepted documents."""
         strength = _strength(self.weights, measures)
         return 1 / (1 + F.exp(F.least(F.greatest((self.cut - strength) / self.unit, F.lit(-700.0)), F.lit(700.0))))
 
 
-def _strength(weights: list[float], measures: str) -> Column:
+def _strength(weights: list[float], measures: str | Column) -> Column:
     return F.aggregate(F.zip_with(measures, F.array(*map(F.lit, weights)), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
 
 
@@ -136,9 +146,13 @@ def rank_quality(docs: DataFrame, labels: DataFrame, train: Column | None = None
 
 
 def accepted(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the ranking accepts, with their own columns; texts are measured twice, which spares a shuffle of them."""
+    """The rows of ``docs`` that the ranking accepts, with their own columns.
+
+    Null and empty texts are ranked by the measures of the empty text; rows with null or repeated ids are ranked row by row; without labels of either
+    class all rows stay. Texts are measured twice, which spares a shuffle of them, and nothing but texts and measures passes through Python.
+    """
     ranking = fit_ranking(keep(with_measures(docs.select("doc_id", text), text, "_measures").drop(text)), labels)
-    return with_measures(docs, text, "_measures").where(ranking.score() >= 0.5).drop("_measures")
+    return docs.where(ranking.score(measured(F.col(text))) >= 0.5)
 
 
 def op7_quality_rank(spark, sf_dir):

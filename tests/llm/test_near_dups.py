@@ -39,3 +39,38 @@ def test_texts_under_one_id(spark):
     df = spark.createDataFrame([(5, a), (5, b), (3, b), (5, b.upper()), (7, a), (5, ""), (5, None), (None, a)], "doc_id bigint, text string")
     got = sorted(((r.doc_id, r.text) for r in near_dups.deduplicated(df).collect()), key=repr)
     assert got == sorted([(3, b), (5, a), (5, ""), (None, a)], key=repr)
+
+
+def test_blocks_and_portions(spark, monkeypatch):
+    """Many small blocks and portions find the same components as one."""
+    monkeypatch.setattr(near_dups, "BLOCK_SETS", 7)
+    monkeypatch.setattr(near_dups, "PORTION", 3)
+    draw = np.random.default_rng(5)
+    docs = {}
+    for g in range(3):
+        base = [f"g{g}_{j}" for j in range(120)]
+        for i in range(40):
+            w = list(base)
+            for j in draw.choice(120, int(draw.integers(0, 4)), replace=False):
+                w[j] = f"v{g}_{i}_{j}"
+            docs[1000 * g + i] = " ".join(w)
+    sets = {i: shingles(t) for i, t in docs.items()}
+    got = near_dups.near_duplicates(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").repartition(4), percent=80)
+    assert {r.component_id for r in got.collect()} == least_of_each(sets, 80)
+
+
+def test_links_across_two_lists():
+    draw = np.random.default_rng(6)
+    pool = np.unique(draw.integers(0, 2**63, 60).astype(np.uint64))
+    sets = [np.sort(draw.choice(pool, int(draw.integers(40, 60)), replace=False)) for _ in range(40)]
+    linked = lambda i, j: 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))
+    for right in (None, sets[15:]):
+        left = sets if right is None else sets[:15]
+        found = near_dups.linked_between(left, right, 80)
+        assert all(linked(i, j) for i, j in found)
+        pairs = [(i, j) for i in range(40) for j in range(i + 1, 40) if linked(i, j) and (right is None or (i < 15) != (j < 15))]
+        root = list(range(40))
+        for i, j in found:
+            a, b = sorted((root[i], root[j]))
+            root = [a if r == b else r for r in root]
+        assert pairs and all(root[i] == root[j] for i, j in pairs)

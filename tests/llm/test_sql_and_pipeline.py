@@ -33,7 +33,7 @@ def test_stages(spark):
     assert np.mean([(i in kept) == (q == 1) for i, q in labels.items()]) >= 0.95
 
     single = step("near_duplicates", good)
-    groups = components({i: shingles(t) for i, t in texts(good).items()})
+    groups = components({i: shingles(t) for i, t in texts(good).items()}, percent=80)
     assert set(texts(single)) == set(groups.values()) and single.columns == docs.columns
 
     clean = step("decontamination", single)
@@ -51,3 +51,25 @@ def test_stages(spark):
     want = texts(masked)
     assert {r.doc_id for r in final} == set(want) and all(r.lossless for r in final)
     assert all(np.frombuffer(r.ids, "<u4").tolist() == t.encode(want[r.doc_id], add_special_tokens=False).ids for r in final)
+
+
+def test_stages_on_odd_tables(spark, odd_docs, no_docs):
+    """Nulls, empty and long texts, repeated rows, clashing names: each stage keeps clean rows, their columns, and what its docstring says."""
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = odd_docs.withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text"), "_nth": F.lit(1), "hash": F.lit(2), "whole": F.lit(3), "_measures": F.lit(4), "id": F.lit(5)})
+    ids = lambda d: Counter(r.doc_id for r in d.collect())
+    for name, stage in stages.items():
+        out = stage(spark, docs, SF)
+        assert name == "tokens" or out.columns == docs.columns
+        assert stage(spark, docs.where("false"), SF).isEmpty()
+        if name in ("secrets", "tokens", "decontamination"):
+            assert ids(out) == ids(docs)
+    assert ids(stages["near_duplicates"](spark, docs, SF)) == {1: 1, 2: 1, 3: 1, 4: 1, None: 1, 6: 1, 7: 1, 8: 1}
+    item = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").collect() if r.text and len(r.text.split()) >= 10)
+    more = spark.createDataFrame([(None, item), (1, item), (9, "x y " + item), (None, None)], "doc_id bigint, text string")
+    both = docs.select("doc_id", "text").unionByName(more)
+    assert ids(stages["decontamination"](spark, both, SF)) == ids(docs) + Counter({None: 1})

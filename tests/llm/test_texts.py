@@ -88,7 +88,7 @@ def test_phrases_in_blocks_and_near(spark, odd_docs, no_docs, monkeypatch):
     assert decontaminate.contamination(odd_docs, bench.where("false")).where("size(hits) > 0").isEmpty()
 
 
-def components(sets):
+def components(sets, percent=85):
     parent, inverted = {i: i for i in sets}, defaultdict(list)
 
     def root(x):
@@ -101,7 +101,7 @@ def components(sets):
         for x in sets[i]:
             inverted[x].append(i)
         for j, n in common.items():
-            if 100 * n >= 85 * (len(sets[i]) + len(sets[j]) - n):
+            if 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n):
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
     return {i: root(i) for i in sets}
