@@ -20,7 +20,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe_vocab as B
-from .common import batches, table, texts_of
+from .common import batches, slices, table, texts_of
+
+
+#: Words that a worker remembers in each of two generations, beside those of the batch at hand, their letters, and borders that it remembers; bytes of texts that are coded together.
+RECENT, RECENT_LETTERS, BORDERS, AT_ONCE = 1 << 16, 1 << 20, 1 << 18, 1 << 20
+
+
+class Recent(dict):
+    """Words with their ids. When there are too many, they become the old generation, and those that are asked for again come back from it."""
+
+    def __init__(self) -> None:
+        self.old: dict[str, bytes] = {}
+        self.letters = 0
+
+    def missing(self, words: set[str]) -> set[str]:
+        """Those of ``words`` that are in neither generation; the others are in the present one afterwards."""
+        if len(self) > RECENT or self.letters > RECENT_LETTERS:
+            self.old = dict(self)
+            self.clear()
+            self.letters = 0
+        new = words - self.keys()
+        self.letters += sum(map(len, new))
+        self |= {w: self.old[w] for w in new & self.old.keys()}
+        return new - self.old.keys()
 
 
 class Codec:
@@ -34,9 +57,7 @@ class Codec:
         self.begun = {w[:n] for w in v.ids for n in range(len(w) + 1)}
         self.number, self.name, self.go, self.ends = {b"": 0}, [b""], [{}], [[]]
         self.border: dict[int, bool] = {}
-        self.words: dict[str, bytes] = {}
-        self.led: dict[str, bytes] = {}
-        self.letters = 0  # of all words and chunks that are remembered
+        self.words, self.led = Recent(), Recent()
         self.raw = [i.to_bytes(4, "little") for i in range(max(v.bytes_of) + 1)]
         self.bytes_of = [v.bytes_of.get(i, b"") for i in range(max(v.bytes_of) + 1)]
 
@@ -63,7 +84,7 @@ class Codec:
                 due_by, a = age_a, self.halves[a][1]
             else:
                 due_by, b = age_b + 1, self.halves[b][0]
-        if len(self.border) >= B.REMEMBERED:
+        if len(self.border) >= BORDERS:
             self.border.clear()
         self.border[left << 32 | right] = ok
         return ok
@@ -109,14 +130,14 @@ class Codec:
             out.reverse()
             yield word, b"".join(out)
 
+    def forget(self) -> None:
+        """Drops what is remembered of texts, so that an idle worker holds the vocabulary only."""
+        self.words, self.led = Recent(), Recent()
+        self.border.clear()
+
     def learn(self, chunks: set[str], words: set[str]) -> None:
-        """Puts what isn't known yet into one trie and remembers the ids."""
-        if len(self.led) + len(self.words) + len(chunks) + len(words) > B.REMEMBERED or self.letters > B.REMEMBERED_LETTERS:
-            self.led.clear()
-            self.words.clear()
-            self.letters = 0
-        chunks, words = chunks - self.led.keys(), words - self.words.keys()
-        self.letters += sum(map(len, chunks)) + sum(map(len, words))
+        """Puts what isn't known yet into one trie and remembers the ids; afterwards all given ones are known."""
+        chunks, words = self.led.missing(chunks), self.words.missing(words)
         utf8 = lambda w: w.encode("utf-8", "surrogatepass")
         whole = {c: utf8(" " + c) for c in chunks if c.isalpha()}  # one word each
         cut = {c: list(map(utf8, B.WORDS.findall(" " + c))) for c in chunks if c not in whole}
@@ -132,10 +153,7 @@ class Codec:
         rough = [None if c else [(p, s) if s else (B.WORDS.findall(p), s) for p, s in B.parts(t, self.v)] for t, c in zip(texts, cuts, strict=True)]
         heads = [B.WORDS.findall(c[0][0]) if c else [] for c in cuts]
         words = set(chain.from_iterable(heads)).union(*(x for r in rough if r for x, s in r if not s))
-        # A batch with more new words than may be remembered goes in halves; single texts always fit at once.
         chunks = set(chain.from_iterable(c[1] for c in cuts if c))
-        if len(texts) > 1 and len(chunks) + len(words) > B.REMEMBERED // 2:
-            return self.encode(texts[: len(texts) // 2]) + self.encode(texts[len(texts) // 2 :])
         self.learn(chunks, words)
         led, word = self.led.__getitem__, self.words.__getitem__
         mark = {s: self.raw[i] for s, i in self.v.special.items()}
@@ -186,11 +204,13 @@ def encode(docs: DataFrame, vocab_path: str | None = None, text: str = "text", d
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(held.value)
         for batch in rows:
-            ids = c.encode(texts_of(batch, text))
+            texts = texts_of(batch, text)
+            ids = [x for a, b in slices(texts, list(map(len, texts)), AT_ONCE) for x in c.encode(texts[a:b])]
             added = [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
             if decoded:
                 added.append(pa.array(map(c.decode, ids), pa.string()))
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "ids", "n_tokens", "decoded"][: batch.num_columns + len(added)])
+        c.forget()
 
     return base.mapInArrow(run, schema)
 

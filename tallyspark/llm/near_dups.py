@@ -33,7 +33,7 @@ from .words import spaced_words
 
 SHINGLE, COORDINATES, BANDS, ROWS, PERCENT = 5, 125, 25, 5, 85
 #: Shingles that are sketched together, bytes and sets of a block of a bucket, shingles that are columns of a matrix at a time, members that a leader meets at a time.
-STEP, BLOCK_BYTES, BLOCK_SETS, COLUMNS, PORTION = 1 << 20, 4 << 20, 1024, 4096, 256
+STEP, BLOCK_BYTES, BLOCK_SETS, COLUMNS, PORTION = 1 << 18, 4 << 20, 1024, 4096, 256
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
