@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterable
 from math import log, sqrt
 
@@ -24,6 +24,7 @@ class Automaton:
             self._insert(s)
         self.bound = sqrt(0.5 * log(2 / alpha))
         self._merge_states()
+        self.moves = [{c: (to, log(n / self.total[i])) for c, (to, n) in edges.items()} for i, edges in enumerate(self.next)]
 
     def _insert(self, string: str) -> None:
         at = 0
@@ -99,12 +100,37 @@ class Automaton:
 
     def log_likelihood(self, string: str) -> float:
         """Log-probability of the string with its end; unseen characters cost UNSEEN and leave the state as it is."""
-        at = score = 0
+        at, score = self.walk(string)
+        return score + (log(self.ends[at] / self.total[at]) if self.ends[at] else UNSEEN)
+
+    def walk(self, string: str) -> tuple[int, float]:
+        """The state after the string, and the log-probability of its characters."""
+        at, score, moves = 0, 0.0, self.moves
         for c in string:
-            edge = self.next[at].get(c)
-            if edge is None:
+            move = moves[at].get(c)
+            if move is None:
                 score += UNSEEN
             else:
-                score += log(edge[1] / self.total[at])
-                at = edge[0]
-        return score + (log(self.ends[at] / self.total[at]) if self.ends[at] else UNSEEN)
+                at = move[0]
+                score += move[1]
+        return at, score
+
+
+class Format:
+    """An automaton for the characters of strings, and the distribution of their lengths, which merging would blur.
+
+    Lengths that no example has share the weight of ``OTHER`` examples, n having 1 / (n * (n + 1)) of it.
+    """
+
+    OTHER = 0.5
+
+    def __init__(self, strings: Iterable[str]) -> None:
+        strings = list(strings)
+        self.automaton = Automaton(strings)
+        self.lengths = Counter(map(len, strings))
+        self.n = len(strings)
+
+    def log_likelihood(self, string: str) -> float:
+        n = len(string)
+        length = log((self.lengths.get(n) or self.OTHER / (n * (n + 1) or 1)) / (self.n + self.OTHER))
+        return self.automaton.walk(string)[1] + length

@@ -1,13 +1,14 @@
 """License scans: TF-IDF cosine of notices and licence files to templates, and inheritance from the nearest ancestor directory.
 
-Candidates are the lines that mention a licence, and whole licence files. Their terms are weighted by tf * idf, idf being taken over all
-candidates, and compared with the templates' vectors; only shared terms meet, in a join. A file without a notice of its own takes the licence of the
+Candidates are the lines that mention a licence, and whole texts with such a line. Their terms are weighted by tf * idf, idf being taken over all
+candidates, and compared with the templates' vectors; only shared terms meet, in a join with the fixed templates. A licence file is a text that as a whole
+is close to a template, whatever its length, or one that is named as such. A file without a notice of its own takes the licence of the
 nearest directory above it that holds a licence file, found by joining the ancestors of each directory with the directories that have one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep, table
@@ -41,23 +42,21 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
-def scan(files: DataFrame, path: str = "path", text: str = "text", is_license_file: Column | None = None) -> DataFrame:
-    """``files`` less ``text``, with license, cosine, license_from and license_source, replacing columns of these names.
+def directory(path: Column) -> Column:
+    """The directory of a path, '' for the root."""
+    return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise("")
 
-    license_source says whether the licence comes from the text itself ('header'), from a licence file in the nearest directory at or above the
-    file's own ('directory'; license_from is the directory, '' the root) or is unknown ('none', the rest null). ``is_license_file`` tells
-    licence files (by name, if not given). Null texts have no notice; a null path is a file of its own without a directory, and has no
-    licence but from its text if that is a header under no path, that is 'none'. Rows that repeat a path are one file. Ties go to the higher
-    cosine, then the name of the licence. An empty table gives an empty result. Cosines are rounded to 6 places.
+
+def cosines(noted: DataFrame) -> DataFrame:
+    """(path, named, whole, license, cosine) of the pieces of each noted text (path, named, text) and each template that they are close to.
+
+    Pieces are the lines with a notice, and the whole text. idf is taken over all pieces.
     """
-    own = is_license_file if is_license_file is not None else F.col(path).rlike(FILE_NAME)
-    base = files.drop("license", "cosine", "license_from", "license_source")
-    spark = files.sparkSession
-    noted = base.where(F.col(path).isNotNull() & F.col(text).rlike(CUE)).select(F.col(path).alias("_path"), F.coalesce(own, F.lit(False)).alias("whole"), F.col(text).alias("_text"))
-    lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(CUE))
-    pieces = noted.select("_path", "whole", F.posexplode(F.when(F.col("whole"), F.array_union(lines, F.array("_text"))).otherwise(lines)).alias("nth", "piece"))
-    tf = keep(pieces.select("_path", "whole", "nth", F.explode(terms(F.col("piece"))).alias("term")).groupBy("_path", "whole", "nth", "term").agg(F.count("*").alias("tf")))
-    n = tf.select("_path", "nth").distinct().count()
+    spark = noted.sparkSession
+    lines = F.transform(F.filter(F.split("text", "\n"), lambda x: x.rlike(CUE)), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("piece")))
+    pieces = noted.select("path", "named", F.posexplode(F.concat(lines, F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("piece"))))).alias("nth", "p"))
+    tf = keep(pieces.select("path", "named", "p.whole", "nth", F.explode(terms(F.col("p.piece"))).alias("term")).groupBy("path", "named", "whole", "nth", "term").agg(F.count("*").alias("tf")))
+    n = tf.groupBy("path", "nth").agg(F.lit(1)).count()
     known = spark.createDataFrame([(i, *t) for i, t in enumerate(TEMPLATES)], "template int, license string, text string")
     known = known.select("template", "license", F.explode(terms(F.col("text"))).alias("term")).groupBy("template", "license", "term").agg(F.count("*").alias("t_tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
@@ -66,28 +65,47 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", is_license_fi
     # the templates are fixed, so that their vectors may be sent to all executors
     vectors = F.broadcast(keep(weighted.join(weighted.groupBy("template").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("t_norm")), "template").select("template", "license", "term", "w", "t_norm")))
     spread = tf.join(df, "term").withColumn("x", F.col("tf") * idf(F.col("df")))
-    norms = spread.groupBy("_path", "nth").agg(F.sqrt(F.sum(F.col("x") ** 2)).alias("norm"))
-    dots = spread.join(vectors, "term").groupBy("_path", "whole", "nth", "license", "template", "t_norm").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
-    scored = dots.join(norms, ["_path", "nth"]).select("_path", "whole", "license", F.round(F.col("dot") / (F.col("norm") * F.col("t_norm")), 6).alias("cosine")).where(F.col("cosine") >= LEAST_COSINE)
+    norms = spread.groupBy("path", "nth").agg(F.sqrt(F.sum(F.col("x") ** 2)).alias("norm"))
+    dots = spread.join(vectors, "term").groupBy("path", "named", "whole", "nth", "license", "template", "t_norm").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
+    scored = dots.join(norms, ["path", "nth"]).select("path", "named", "whole", "license", F.round(F.col("dot") / (F.col("norm") * F.col("t_norm")), 6).alias("cosine"))
+    return scored.where(F.col("cosine") >= LEAST_COSINE)
+
+
+def scan(files: DataFrame, path: str = "path", text: str = "text", is_license_file: Column | None = None) -> DataFrame:
+    """``files`` less ``text``, with license, cosine, license_from and license_source, replacing columns of these names.
+
+    license_source says whether the licence comes from the text itself ('header'), from a licence file in the nearest directory at or above the
+    file's own ('directory'; license_from is the directory, '' the root) or is unknown ('none', the rest null). Licence files are texts that as a whole have
+    the least cosine to a template, and those that ``is_license_file`` tells (by name, if not given), by their closest notice. Null and empty texts have no notice;
+    a null path has no directory and its text isn't read: that is 'none'. Rows that repeat a path are one file with all their notices. Ties go to the higher
+    cosine, then the name of the licence. An empty table gives an empty result. Cosines are rounded to 6 places.
+    """
+    own = is_license_file if is_license_file is not None else F.col(path).rlike(FILE_NAME)
+    base = files.drop("license", "cosine", "license_from", "license_source")
+    noted = base.where(F.col(path).isNotNull() & F.col(text).rlike(CUE)).select(F.col(path).alias("path"), F.coalesce(own, F.lit(False)).alias("named"), F.col(text).alias("text"))
+    scored = keep(cosines(noted))
     best = lambda rows, *by: rows.groupBy(*by).agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b"))
-    header = best(scored, "_path").select("_path", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"))
-    directory = lambda p: F.when(F.instr(p, "/") > 0, F.regexp_replace(p, "/[^/]*$", "")).otherwise("")
-    licensed = best(scored.where("whole").withColumn("at", directory(F.col("_path"))), "at").select("at", F.col("b.license").alias("d_license"), (-F.col("b.c")).alias("d_cosine"))
-    placed = base.drop(text).withColumn("_path", F.col(path)).withColumn("_dir", directory(F.col(path)))
-    parts = F.split("_dir", "/")
+    header = best(scored, "path").select("path", F.struct(F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine")).alias("header"))
+    licensed = best(scored.where("named or whole").withColumn("at", directory(F.col("path"))), "at").select("at", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"))
+    # further columns travel as one, so that their names can't clash
+    placed = base.select(F.col(path).alias("path"), directory(F.col(path)).alias("dir"), F.struct(*(c for c in base.columns if c != text)).alias("row"))
+    parts = F.split("dir", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-    dirs = placed.where("_dir is not null").select("_dir").distinct().select("_dir", F.explode(F.array_distinct(F.concat(above, F.array("_dir")))).alias("at"))
-    inherited = dirs.join(licensed, "at").groupBy("_dir").agg(F.max_by(F.struct("at", "d_license", "d_cosine"), F.length("at")).alias("d"))
-    joined = placed.join(header, "_path", "left").join(inherited, "_dir", "left")
-    has = F.col("license").isNotNull()
+    dirs = placed.where("path is not null").select("dir").distinct().select("dir", F.explode(F.array_distinct(F.concat(above, F.array("dir")))).alias("at"))
+    inherited = dirs.join(licensed, "at").groupBy("dir").agg(F.max_by(F.struct("at", "license", "cosine"), F.length("at")).alias("above"))
+    joined = placed.join(header, "path", "left").join(inherited.withColumnRenamed("dir", "of"), (F.col("dir") == F.col("of")) & F.col("path").isNotNull(), "left")
     return joined.select(
-        *base.drop(text).columns, F.coalesce("license", "d.d_license").alias("license"), F.coalesce("cosine", "d.d_cosine").alias("cosine"),
-        F.when(has, F.col("_path")).otherwise(F.col("d.at")).alias("license_from"),
-        F.when(has, "header").when(F.col("d").isNotNull(), "directory").otherwise("none").alias("license_source"),
+        "row.*", F.coalesce("header.license", "above.license").alias("license"), F.coalesce("header.cosine", "above.cosine").alias("cosine"),
+        F.when(F.col("header").isNotNull(), F.col("path")).otherwise(F.col("above.at")).alias("license_from"),
+        F.when(F.col("header").isNotNull(), "header").when(F.col("above").isNotNull(), "directory").otherwise("none").alias("license_source"),
     )
 
 
 def op1_license_scan(spark, sf_dir):
-    """Documents as files: the directories are their source and language; a text of up to 80 characters with a notice is a licence file."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", F.coalesce("source", F.lit("_")), F.coalesce("lang", F.lit("_")), F.coalesce(F.col("doc_id").cast("string"), F.lit("_"))).alias("path"))
-    return scan(docs, is_license_file=F.length("text") <= 80)
+    """Documents as files, whose directories are their source and language; a text that as a whole is close to a template is a licence file.
+
+    Documents with null ids share one path in their directory. Null and empty texts have no notice; an empty table gives an empty result.
+    """
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("_"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", part("source"), part("lang"), part("doc_id")).alias("path"))
+    return scan(docs, is_license_file=F.lit(False))

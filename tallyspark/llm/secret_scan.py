@@ -1,10 +1,11 @@
 """Secret scans: base patterns, and formats inferred from what they find.
 
-The base patterns label credentials of three kinds. From a bounded sample of each kind (``LABELLED`` values of the lowest hash, their
-first ``LONGEST`` characters) a probabilistic automaton is inferred; another one is inferred from as many ordinary runs of the same
-characters. Every run of ``SHORTEST`` or more such characters, with letters and digits, in every text is then scored: it is a secret
-if some kind's automaton explains it better than the ordinary one by ``MARGIN`` nats a character. Base spans always stay; a run
-that overlaps one adds nothing.
+The base patterns label credentials of three kinds. From a bounded sample of each kind (at most ``LABELLED`` whole values of the lowest hash) a
+probabilistic automaton is inferred, with the distribution of lengths; others are inferred from as many ordinary runs of the same characters of each
+make-up (letters, digits, both, with signs). Every run of ``SHORTEST`` or more such characters in every text is then a candidate, credentials that the
+base patterns found included: its margin is the log-likelihood of the best kind less that of the best ordinary automaton. A run outside base spans is a
+secret if its margin reaches a cut that hardly any ordinary run kept back from learning reaches, and ``MARGIN`` nats at least. Base spans always stay; a
+run that overlaps one adds nothing.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from heapq import nsmallest
+from math import log
 
 import pyarrow as pa
 import xxhash
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .automata import Automaton
+from .automata import Format
 from .bpe_codec import with_columns
 from .common import batches, keep, table, texts_of
 
@@ -29,9 +31,10 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ASSIGN_HINTS = ("passw", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-LABELLED, LONGEST, SHORTEST, MARGIN = 400, 64, 16, 0.75
+#: Examples of each kind and make-up at most, least length of a run, least margin in nats, share of the ordinary runs kept back that the cut leaves out, margins that a worker remembers.
+LABELLED, SHORTEST, MARGIN, LEFT_OUT, REMEMBERED = 400, 6, 15.0, 0.995, 1 << 16
+EVEN = -log(67)  # of each character of a run
 RUN = re.compile(rf"[A-Za-z0-9+/_.=-]{{{SHORTEST},}}")
-DIGIT, LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 
 Span = tuple[int, int, int]  # start, number of the kind, end
 
@@ -52,32 +55,49 @@ def base_spans(text: str) -> Iterator[tuple[Span, str]]:
 
 
 def candidates(text: str, base: list[Span]) -> Iterator[tuple[int, int, str]]:
-    """Runs that may be a secret and overlap no base span."""
+    """Runs, less full stops at their end, that overlap none of the base spans (in order of their starts)."""
+    i = reached = 0
     for m in RUN.finditer(text):
-        if DIGIT.search(m[0]) and LETTER.search(m[0]) and not any(s < m.end() and m.start() < e for s, _, e in base):
-            yield m.start(), m.end(), m[0]
+        start, value = m.start(), m[0].rstrip(".")
+        end = start + len(value)
+        while i < len(base) and base[i][0] < end:
+            reached = max(reached, base[i][2])
+            i += 1
+        if reached <= start and len(value) >= SHORTEST:
+            yield start, end, value
+
+
+def make_up(value: str) -> int:
+    """Letters only, digits only, letters and digits, or with other signs."""
+    return 0 if value.isalpha() else 1 if value.isdigit() else 2 if value.isalnum() else 3
 
 
 def labelled(docs: DataFrame, text: str = "text", most: int = LABELLED) -> dict[int, list[str]]:
-    """At most ``most`` credentials of each kind, and under 3 ordinary runs: those of the lowest hash in the whole table."""
+    """Credentials of each kind, at most ``most``, and under 3 ordinary runs, at most 2 * ``most`` of each make-up: those of the lowest hash in the whole table."""
+    bound = {k: most if k < 3 else 2 * most for k in range(7)}
 
     def sample(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least: dict[int, dict[str, int]] = {k: {} for k in range(4)}
+        least: dict[int, dict[str, int]] = {k: {} for k in bound}
+        highest = dict.fromkeys(bound, 1 << 63)
         for batch in rows:
+            new: dict[int, set[str]] = {k: set() for k in bound}
             for t in texts_of(batch, text):
-                found = list(base_spans(t))
+                found = sorted(base_spans(t))
                 for (_, kind, _), value in found:
-                    least[kind][value[:LONGEST]] = 0
+                    new[kind].add(value.rstrip("."))
                 for _, _, value in candidates(t, [s for s, _ in found]):
-                    least[3][value[:LONGEST]] = 0
-            for kind, values in least.items():
-                if len(values) > most:
-                    least[kind] = dict.fromkeys(nsmallest(most, values, key=rank), 0)
-        data = [(k, v, rank(v)) for k, values in least.items() for v in values]
+                    new[3 + make_up(value)].add(value)
+            for kind, values in new.items():
+                least[kind] |= {v: r for v in values if (r := rank(v)) < highest[kind]}
+                if len(least[kind]) > bound[kind]:
+                    least[kind] = dict(nsmallest(bound[kind], least[kind].items(), key=lambda x: (x[1], x[0])))
+                    highest[kind] = max(least[kind].values())
+        data = [(k, v, r) for k, values in least.items() for v, r in values.items()]
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in data], pa.int32()), pa.array([x[1] for x in data], pa.string()), pa.array([x[2] for x in data], pa.int64())], names=["kind", "value", "rank"])
 
     drawn = keep(docs.select(text).mapInArrow(sample, "kind int, value string, rank bigint").distinct())
-    return {k: [r.value for r in drawn.where(F.col("kind") == k).orderBy("rank", "value").limit(most).collect()] for k in range(4)}
+    taken = {k: [r.value for r in drawn.where(F.col("kind") == k).orderBy("rank", "value").limit(n).collect()] for k, n in bound.items()}
+    return {k: taken[k] for k in range(3)} | {3: [v for k in range(3, 7) for v in taken[k]]}
 
 
 def rank(value: str) -> int:
@@ -85,23 +105,47 @@ def rank(value: str) -> int:
 
 
 class Formats:
-    """The automata of the kinds that have examples, and the ordinary one."""
+    """What is inferred from examples: the formats of the kinds (0 to 2), of ordinary runs of each make-up (those under 3), and the cut.
 
-    def __init__(self, examples: dict[int, list[str]]) -> None:
-        self.kinds = [Automaton(v) for k, v in sorted(examples.items()) if k < 3 and len(v) >= 8]
-        self.ordinary = Automaton(examples.get(3) or [])
+    Runs without context may hold unlabelled credentials: those that have a length of some kind and that it explains better by ``margin`` nats than characters
+    drawn evenly don't count as ordinary. Every second ordinary run is kept back from learning, to set the cut. A kind without examples has no format;
+    without any kind nothing is inferred.
+    """
+
+    def __init__(self, examples: dict[int, list[str]], margin: float = MARGIN) -> None:
+        self.kinds = [Format(v) for k, v in sorted(examples.items()) if k < 3 and v]
+        ordinary: dict[int, list[str]] = {}
+        suspect = lambda v: any(len(v) in f.lengths and f.log_likelihood(v) - len(v) * EVEN >= margin for f in self.kinds)
+        for v in [v for v in examples.get(3, ()) if not suspect(v)] or [""]:
+            ordinary.setdefault(make_up(v), []).append(v)
+        self.ordinary = [Format(v[::2]) for _, v in sorted(ordinary.items())]
+        self.known: dict[str, float] = {}
+        kept_back = sorted(self.margin(x) for v in ordinary.values() for x in v[1::2])
+        self.cut = max([margin, *kept_back[int(len(kept_back) * LEFT_OUT) :][:1]])
 
     def margin(self, value: str) -> float:
-        """Nats a character by which the best kind explains the run better than the ordinary automaton."""
+        """Nats by which the best kind explains the run better than the best ordinary format, and than characters drawn evenly."""
+        if (known := self.known.get(value)) is not None:
+            return known
         if not self.kinds:
             return float("-inf")
-        return (max(a.log_likelihood(value) for a in self.kinds) - self.ordinary.log_likelihood(value)) / len(value)
+        found = max(f.log_likelihood(value) for f in self.kinds) - max(len(value) * EVEN, *(f.log_likelihood(value) for f in self.ordinary))
+        if len(value) <= 32:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[value] = found
+        return found
 
     def spans(self, text: str) -> tuple[list[Span], list[Span]]:
         """Base spans, and all spans, in order of start and kind."""
-        base = sorted(s for s, _ in base_spans(text))
-        more = [(s, 3, e) for s, e, v in candidates(text, base) if self.margin(v) >= MARGIN]
-        return base, sorted(base + more)
+        found = self.scored(text)
+        return [s for s, _ in found if s[1] < 3], [s for s, _ in found]
+
+    def scored(self, text: str) -> list[tuple[Span, float]]:
+        """All spans in order of start and kind, with the margin of the credential in each."""
+        base = sorted(base_spans(text))
+        runs = ((s, e, self.margin(v)) for s, e, v in candidates(text, [s for s, _ in base]))
+        return sorted([*((s, self.margin(v.rstrip("."))) for s, v in base), *(((s, 3, e), m) for s, e, m in runs if m >= self.cut)])
 
 
 def learn_formats(docs: DataFrame, text: str = "text") -> Formats:
@@ -110,20 +154,20 @@ def learn_formats(docs: DataFrame, text: str = "text") -> Formats:
 
 
 def scan(docs: DataFrame, formats: Formats | None = None, text: str = "text") -> DataFrame:
-    """``docs`` with ``secrets``, an array of (kind, start, end, base), replacing a column of that name.
+    """``docs`` with ``secrets``, an array of (kind, start, end, base, margin), replacing a column of that name.
 
-    Offsets are code points, the end exclusive; spans of the kind ``format`` are the inferred ones (base false). A null or empty text has
-    no secrets. Null ids, repeated rows and further columns pass through; an empty table gives an empty result, without inferred
-    formats. With under 8 examples of a kind nothing is inferred for it.
+    Offsets are code points, the end exclusive; spans of the kind ``format`` are the inferred ones (base false); margin is how much likelier the
+    credential is as one of a learnt format than as an ordinary run, in nats. A null or empty text has no secrets. Null ids, repeated rows and further columns
+    pass through; an empty table gives an empty result. Where the base patterns find no credentials, no format is inferred and all margins are minus infinity.
     """
     batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(formats or learn_formats(docs, text))
-    base, schema = with_columns(docs, {"secrets": "array<struct<kind:string,start:int,end:int,base:boolean>>"})
-    kind_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
+    base, schema = with_columns(docs, {"secrets": "array<struct<kind:string,start:int,end:int,base:boolean,margin:double>>"})
+    kind_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("margin", pa.float64())]))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            out = [[{"kind": KINDS[k], "start": s, "end": e, "base": k < 3} for s, k, e in held.value.spans(t)[1]] for t in texts_of(batch, text)]
+            out = [[{"kind": KINDS[k], "start": s, "end": e, "base": k < 3, "margin": m} for (s, k, e), m in held.value.scored(t)] for t in texts_of(batch, text)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind_type)], names=[*batch.schema.names, "secrets"])
 
     return base.mapInArrow(run, schema)
@@ -154,8 +198,10 @@ def without(text: str, spans: list[Span], mark: str) -> str:
 
 
 def op3_secret_scan(spark, sf_dir):
+    """Secrets of every text; null and empty texts have none, rows with null or repeated ids are scanned row by row. Beyond the contract: n_format, and n_likely, the spans whose margin is positive."""
     found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("secrets", lambda s: s["base"])
     count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
-    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(line(base), 256).alias("base_sha256"), line(F.col("secrets")).alias("spans"))
+    likely = F.size(F.filter("secrets", lambda s: s["margin"] > 0)).cast("bigint").alias("n_likely")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(line(base), 256).alias("base_sha256"), line(F.col("secrets")).alias("spans"), count("format"), likely)
