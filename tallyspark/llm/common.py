@@ -26,9 +26,14 @@ def batches(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder name below spark.checkpoint.dir, which every executor sees; a local one where that is unset."""
+    """A new folder name below spark.checkpoint.dir, which every executor sees.
+
+    Where that is unset a session on one machine gets a temporary folder; on a cluster it is an error, as executors share no local folder.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tallyspark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"

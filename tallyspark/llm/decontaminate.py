@@ -274,6 +274,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
 
 
 def op2_decontamination(spark, sf_dir):
+    """Benchmark passages in every text; null and empty texts have no words, rows with null or repeated ids are searched row by row."""
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     items = F.array_sort(F.array_distinct(F.transform("passages", lambda p: p["item_id"])))
     n_hit = F.aggregate("hits", F.lit(0).cast("bigint"), lambda n, h: n + h["end"] - h["start"])

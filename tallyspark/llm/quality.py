@@ -21,7 +21,7 @@ from .bpe_codec import with_columns
 from .common import batches, bucket, keep, table, texts_of
 from .words import DIGITS, LOWER, UPPER, alnum_words
 
-#: Labelled rows of each class that the fit takes at most (those of the lowest hash of their id), and opponents of each row.
+#: Default of the labelled rows of each class that the fit takes at most (those of the lowest hash of their id), and opponents of each row.
 LABELLED, OPPONENTS = 10_000, 8
 LEVELS = 512
 #: Frequent function words of the four languages.
@@ -116,18 +116,18 @@ def _strength(weights: list[float], measures: str | Column) -> Column:
     return F.aggregate(F.zip_with(measures, F.array(*map(F.lit, weights)), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
 
 
-def fit_ranking(measured: DataFrame, labels: DataFrame, train: Column | None = None) -> Ranking:
+def fit_ranking(measured: DataFrame, labels: DataFrame, train: Column | None = None, labelled: int = LABELLED) -> Ranking:
     """Fits the ranking to labelled rows of ``measured`` (doc_id, _measures), its cut to all rows.
 
     ``labels`` has doc_id and quality (0 or 1; other values and null ids are left out); only its rows where ``train`` holds are used, each
-    class up to ``LABELLED`` rows of the lowest hash of the id. Without labels of either class everything is accepted with 0.5.
+    class up to ``labelled`` ids of the lowest hash; of an id with several texts the least measures count. Without labels of either class everything is accepted with 0.5.
     """
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
     rows = (rows if train is None else rows.where(train)).select("doc_id", "quality").dropDuplicates()
     fitted = {}
-    for q in (1, 0):  # at most LABELLED ids, so that they can be sent to all executors
-        ids = rows.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED).select("doc_id")
-        fitted[q] = np.array([r[0] for r in measured.join(F.broadcast(ids), "doc_id", "left_semi").select("_measures").collect()]).reshape(-1, MEASURES)
+    for q in (1, 0):  # at most ``labelled`` ids, so that they can be sent to all executors, and as many rows come back
+        ids = rows.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).select("doc_id")
+        fitted[q] = np.array([r.m for r in measured.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("_measures").alias("m")).orderBy("doc_id").collect()]).reshape(-1, MEASURES)
     weights = list(map(float, fit_pairs(fitted[1], fitted[0])))
     levels = measured.agg(F.percentile_approx(_strength(weights, "_measures"), [i / LEVELS for i in range(LEVELS + 1)], 10_000)).first()[0]
     good, bad = fitted[1] @ weights, fitted[0] @ weights
@@ -135,14 +135,14 @@ def fit_ranking(measured: DataFrame, labels: DataFrame, train: Column | None = N
     return Ranking(weights, best_cut(np.array(levels or []), good, bad), max(float(both.std()), 1e-9) / 4 if len(both) else 1.0)
 
 
-def rank_quality(docs: DataFrame, labels: DataFrame, train: Column | None = None, text: str = "text") -> DataFrame:
+def rank_quality(docs: DataFrame, labels: DataFrame, train: Column | None = None, text: str = "text", labelled: int = LABELLED) -> DataFrame:
     """``docs`` less ``text``, with score (0 to 1; from 0.5 on the document is accepted) and predicted, replacing columns of these names.
 
     See ``fit_ranking`` for the labels. A null text is scored as empty. Rows with null ids are scored; repeated rows count as often as they
     occur. Without documents the result is empty.
     """
     held = keep(with_measures(docs.drop("score", "predicted"), text, "_measures").drop(text))
-    return held.withColumn("score", fit_ranking(held, labels, train).score()).withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop("_measures")
+    return held.withColumn("score", fit_ranking(held, labels, train, labelled).score()).withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop("_measures")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
@@ -156,6 +156,7 @@ def accepted(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFram
 
 
 def op7_quality_rank(spark, sf_dir):
+    """Scores of every text; null and empty texts are scored by the measures of the empty text, rows with null or repeated ids row by row."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     ranked = rank_quality(docs.select("doc_id", "text"), labels, bucket("doc_id", 3) != 1)
     return ranked.select("doc_id", (bucket("doc_id", 3) == 1).alias("held_out"), "score", "predicted")

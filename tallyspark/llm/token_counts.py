@@ -103,6 +103,7 @@ def token_counts(docs: DataFrame, vocab_path: str | None = None, limit: int = 10
 
 
 def op6_token_counts(spark, sf_dir):
+    """Token counts of every text; null and empty texts count 0, rows with null or repeated ids are counted row by row."""
     from .common import table
 
     return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")

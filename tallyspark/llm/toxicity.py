@@ -18,12 +18,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .bpe_codec import with_columns
 from .common import batches, bucket, table, texts_of
 from .words import alnum_words
 
-#: Documents of the lowest hash of their id that the fit takes at most: confirmed ones and unlabelled ones.
+#: Defaults: documents of the lowest hash of their id that the fit takes at most, confirmed ones and unlabelled ones.
 POSITIVES, UNLABELLED = 4_000, 8_000
 #: Words are hashed to so many places. A place gets a weight if so many documents of the sample have it and the shares of positive and of
 #: unlabelled documents that have it differ by so many standard errors: chance passes fewer than one place in ten thousand.
@@ -43,11 +43,11 @@ class Places(dict):
         return p
 
 
-def sampled(docs: DataFrame, positive_ids: DataFrame, text: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """The word places of the positives and of the unlabelled sample."""
+def sampled(docs: DataFrame, positive_ids: DataFrame, text: str, positives: int, unlabelled: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The word places of the positives and of the unlabelled sample; of an id with several texts the least one counts."""
     batches(docs.sparkSession)
     lowest = lambda ids, most: ids.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    chosen = lowest(positive_ids, POSITIVES).withColumn("positive", F.lit(True)).union(lowest(docs, UNLABELLED).withColumn("positive", F.lit(False)))
+    chosen = lowest(positive_ids, positives).withColumn("positive", F.lit(True)).union(lowest(docs, unlabelled).withColumn("positive", F.lit(False)))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Places()
@@ -55,8 +55,9 @@ def sampled(docs: DataFrame, positive_ids: DataFrame, text: str) -> tuple[list[n
             sets = [np.fromiter({known[w] for w in alnum_words(t)}, "<i4").tobytes() for t in texts_of(batch, text)]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("positive")), pa.array(sets, pa.binary())], names=["positive", "places"])
 
-    # the two limits bound what is broadcast and collected
-    found = docs.select("doc_id", text).join(F.broadcast(chosen), "doc_id").mapInArrow(run, "positive boolean, places binary").collect()
+    # the two limits bound what is broadcast and, as ids come once, what is collected
+    once = docs.select("doc_id", text).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "positive").agg(F.min(text).alias(text))
+    found = once.orderBy("doc_id").mapInArrow(run, "positive boolean, places binary").collect()
     return tuple([np.frombuffer(r.places, "<i4") for r in found if r.positive is kind] for kind in (True, False))
 
 
@@ -114,21 +115,22 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     return w, float(bias)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column | None = None, text: str = "text") -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column | None = None, text: str = "text", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> DataFrame:
     """``docs`` less ``text``, with score (0 to 1) and predicted (1 from 0.5 on), replacing columns of these names.
 
     ``labels`` has doc_id and toxic; of its rows where ``train`` holds, those with toxic 1 are the positives and the share of 1 among 0
-    and 1 is the class prior (all of them are counted). A null text is scored as empty, by the bias alone. Rows with null ids are scored but not
+    and 1 is the class prior (all of them are counted). At most ``positives`` of them and ``unlabelled`` documents, labelled or not, are fitted: those of the lowest
+    hash of the id. A null text is scored as empty, by the bias alone. Rows with null ids are scored but not
     learnt from. Empty tables give an empty result; without positives every score is the prior (0.001 without labels).
     """
     batches(docs.sparkSession)
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
     rows = rows if train is None else rows.where(train)
     prior = rows.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
-    w, bias = fit_nnpu(*sampled(docs, rows.where("toxic = 1"), text), prior)
+    w, bias = fit_nnpu(*sampled(docs, rows.where("toxic = 1"), text, positives, unlabelled), prior)
     held = docs.sparkSession.sparkContext.broadcast(w.astype(np.float32))
-    base, schema = with_columns(docs, {"score": "double", "predicted": "int"})
-    base_schema = ", ".join(x for x in schema.split(", ") if not x.startswith(f"`{text}`"))
+    base = docs.drop("score", "predicted")
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in base.schema if f.name != text), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, known = held.value, Places()
@@ -139,10 +141,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column | None = No
             rest = [i for i in range(batch.num_columns) if i != at]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*(batch.schema.names[i] for i in rest), "score", "predicted"])
 
-    return base.mapInArrow(run, base_schema)
+    return base.mapInArrow(run, schema)
 
 
 def op5_toxicity(spark, sf_dir):
+    """Scores of every text; null and empty texts are scored by the bias, rows with null or repeated ids row by row."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = score_toxicity(docs.select("doc_id", "text"), labels, bucket("doc_id", 5) != 0)
     return scored.select("doc_id", (bucket("doc_id", 5) == 0).alias("held_out"), "score", "predicted")

@@ -18,6 +18,40 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.mean([r.predicted == r.toxic for r in rows]) >= 0.9
 
 
+def test_toxic_documents_are_told_apart(spark):
+    """Held-out recall and precision, which an answer of all zeros would fail; the same when an id repeats."""
+    sf = "/root/testdata/sf0.1"
+    rows = queries.QUERIES["op5_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
+    toxic, called = {r.doc_id for r in rows if r.toxic == 1}, {r.doc_id for r in rows if r.predicted == 1 and r.toxic is not None}
+    assert len(toxic & called) >= 0.75 * len(toxic) > 50 and len(toxic & called) >= 0.95 * len(called)
+
+
+def test_samples_are_bounded(spark):
+    """An id that repeats counts once."""
+    docs = spark.createDataFrame([(1, "bad words")] * 50 + [(i, "good words") for i in range(2, 30)], "doc_id bigint, text string")
+    positive, unlabelled = toxicity.sampled(docs, docs.where("doc_id = 1"), "text", 5, 10)
+    assert len(positive) == 1 and len(unlabelled) == 10
+
+
+def test_cut_is_the_best_level():
+    draw = np.random.default_rng(3)
+    for _ in range(20):
+        good, bad = draw.normal(1, 1, 30), draw.normal(-1, 1, 40)
+        levels = np.sort(draw.normal(0, 1.5, 50))
+        cut = quality.best_cut(levels, good, bad)
+        wrong = lambda c: int((good < c).sum() + (bad >= c).sum())
+        assert min(wrong(x) for x in levels) == min(wrong(x) for x in levels[np.argsort(abs(levels - cut))[:2]])
+
+
+def test_pairs_reach_the_least_loss():
+    """No step in any direction betters the mean logistic loss over the pairs by much."""
+    draw = np.random.default_rng(4)
+    good, bad = draw.normal(0.3, 1, (60, quality.MEASURES)), draw.normal(0, 1, (60, quality.MEASURES))
+    w = quality.fit_pairs(good, bad)
+    loss = lambda w: np.logaddexp(0, -(good @ w)[:, None] + (bad @ w)[None, :]).mean()
+    assert loss(w) < loss(np.zeros_like(w)) and all(loss(w + s * e) > loss(w) - 2e-3 for e in np.eye(len(w)) for s in (0.05, -0.05))
+
+
 def test_quality_on_held_out_rows(spark):
     rows = queries.QUERIES["op7_quality_rank"](spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("held_out").collect()
     assert np.mean([r.predicted == r.quality for r in rows]) >= 0.95
