@@ -73,14 +73,14 @@ def direction(residual: C) -> Column:
 
 def on_rounding_step(settled: C, expected: C, exponent: C, t: Thresholds = DEFAULTS) -> Column:
     """Settled too little, on a whole step, and by less than one step."""
-    step = (t.causes.rounding_step_major * F.pow(F.lit(10.0), col(exponent))).cast("bigint")
+    step = (t.rounding_step_major * F.pow(F.lit(10.0), col(exponent))).cast("bigint")
     short = col(expected) - col(settled)
     return F.coalesce((short > 0) & (col(settled) % step == 0) & (short < step), F.lit(False))
 
 
 def likely_cause(t: Thresholds = DEFAULTS) -> Column:
     """The first rule that fits a row of the fact."""
-    c, r, pct = t.causes, F.col("residual"), F.col("residual_pct")
+    c, r, pct = t, F.col("residual"), F.col("residual_pct")
     under, short = r < 0, -pct
     one_item_less = F.col("expected_settled") * (F.col("item_count") - 1) / F.col("item_count")
     rules = [

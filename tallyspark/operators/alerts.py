@@ -132,19 +132,62 @@ def group_peers(alerts: DataFrame, least: int = 3) -> DataFrame:
     return marked.where("not _wide").select(FIELDS).unionByName(one)
 
 
-def evaluate(frame: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    """All rules of all weeks with their status and the week since which they are open."""
+def last_closed(fct: DataFrame) -> DataFrame:
+    """One row: the index of the last week that is closed at the ledger's own time."""
+    end = F.date_sub(X.last_closed_end("as_of"), 6)
+    return marts.as_of_of(fct).select((F.datediff(end, F.lit("1970-01-05").cast("date")) / 7).cast("int").alias("closed"))
+
+
+def evaluate(frame: DataFrame, closed: DataFrame | None = None, t: Thresholds = DEFAULTS) -> DataFrame:
+    """All rules of all closed weeks: status, the week since which they are open, key, period, owner, message, in order of severity, rule and segment.
+
+    ``closed`` is one row with the last closed week; without it the frame's last week is. Weeks after it aren't judged, but what is pending is.
+    """
     frame = frame.persist()  # a few hundred rows a week that every rule reads
-    cells = cells_by_week(frame, ["psp", "country"]).persist()
-    rules = [peer_rule(cells, t=t), change_rule(cells, t=t), settle_lag_rule(frame, t=t), money_leak_rule(frame, t), large_rows_rule(frame).select(FIELDS), pending_aging_rule(frame, t=t)]
-    return with_status(group_peers(reduce(DataFrame.unionByName, rules)))
+    closed = frame.select(F.max(week_index()).alias("closed")) if closed is None else closed
+    past = frame.crossJoin(F.broadcast(closed)).where(week_index() <= F.col("closed")).drop("closed")
+    cells = cells_by_week(past, ["psp", "country"]).persist()
+    large = large_rows_rule(past)
+    open_now = pending_aging_rule(frame, t=t).drop("week_idx").crossJoin(F.broadcast(closed.select(F.col("closed").alias("week_idx")))).select(FIELDS)
+    rules = [peer_rule(cells, t=t), change_rule(cells, t=t), settle_lag_rule(past, t=t), money_leak_rule(past, t), large.select(FIELDS), open_now]
+    told = with_status(group_peers(reduce(DataFrame.unionByName, rules)), closed)
+    details = large.select("merchant_id", "rule", "week_idx", "details")
+    return in_order(described(told.join(details, ["merchant_id", "rule", "week_idx"], "left")))
+
+
+#: Fixed values.
+OWNERS = {"peer": "PSP ops", "change": "PSP ops", "money_leak": "Finance", "large_rows": "PSP ops", "pending_aging": "PSP ops + Finance", "settle_lag": "PSP ops"}
+SEVERITIES = ("SEV2", "SEV3", "INFO")
+CHANNELS = {"SEV2": ("outbox", "slack"), "SEV3": ("outbox", "slack")}
+
 
+def period(week: str = "week_idx") -> Column:
+    """The label YYYY-Www of a week index."""
+    return X.iso_week(F.date_add(F.lit("1970-01-05").cast("date"), F.col(week) * 7))
 
-def with_status(alerts: DataFrame) -> DataFrame:
+
+def described(alerts: DataFrame) -> DataFrame:
+    """Adds key, period, owner and message."""
+    owner = F.create_map(*(F.lit(x) for kv in OWNERS.items() for x in kv))
+    share = lambda c: F.format_string("%.1f%%", F.col(c) * 100)
+    money = F.format_string("%.2f USD in %d large rows: %s", "value", "n", F.coalesce("details", F.lit("-")))
+    text = F.when(F.col("severity") == "INFO", F.format_string("Only %d rows (< %.0f); not evaluated.", "n", "threshold")).when(F.col("rule") == "large_rows", money).otherwise(F.format_string("%s over %d rows, limit %s", share("value"), F.col("n"), share("threshold")))
+    message = F.concat(F.when(F.col("status") == "RESOLVED", "Resolved: ").otherwise(""), F.col("segment"), F.lit(" "), text)
+    return alerts.withColumns({"key": F.concat_ws("|", "rule", "segment"), "period": period(), "owner": owner[F.col("rule")], "message": message})
+
+
+def in_order(alerts: DataFrame) -> DataFrame:
+    rank = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))
+    return alerts.orderBy("merchant_id", "week_idx", rank, "rule", "segment")
+
+
+def with_status(alerts: DataFrame, closed: DataFrame | None = None) -> DataFrame:
     """NEW or ONGOING for alerts that fire, INSUFFICIENT for those that can't tell, RESOLVED for keys that fired the week before and are gone.
 
-    A key that is there with too few rows counts as present. A PSP-wide alert continues that PSP's earlier ones, which it doesn't resolve. A
-    streak is a run of weeks without a gap: the week less its number in the run is constant. pending_aging has no history.
+    A key that is there with too few rows counts as present. A PSP-wide alert continues that PSP's earlier ones, which it doesn't resolve. Alerts of the
+    last judged week (``closed``, one row; if not given, the last week with an alert) can't be resolved yet. open_since is the first week of the key's run of
+    weeks that ends with this alert, or the week before for a PSP-wide one that continues narrower ones; for RESOLVED that of the run that ended.
+    pending_aging has no history.
     """
     key = ["merchant_id", "rule", "segment"]
     fires, wide = F.col("severity") != "INFO", F.col("segment").endswith("|ALL")
@@ -153,18 +196,20 @@ def with_status(alerts: DataFrame) -> DataFrame:
     rows = alerts.withColumns({
         "_fired": F.coalesce(F.max(fires).over(own.rangeBetween(-1, -1)), F.lit(False)), "_psp_fired": F.coalesce(F.max(fires & F.col("psp").isNotNull()).over(of_psp.rangeBetween(-1, -1)), F.lit(False)),
         "_next": F.count("*").over(own.rangeBetween(1, 1)) > 0, "_wide_next": F.coalesce(F.max(fires & wide & F.col("psp").isNotNull()).over(of_psp.rangeBetween(1, 1)), F.lit(False)),
-        "_last": F.max("week_idx").over(Window.partitionBy("merchant_id")),
     })
+    last = alerts.select(F.max("week_idx").alias("_last")) if closed is None else closed.select(F.col("closed").alias("_last"))
+    rows = rows.crossJoin(F.broadcast(last))  # one row
     memory = F.col("rule") != "pending_aging"
-    status = F.when(~fires, "INSUFFICIENT").when(memory & (F.col("_fired") | (wide & F.col("_psp_fired"))), "ONGOING").otherwise("NEW")
+    run = F.when(fires, F.struct(fires.alias("fires"), (F.col("week_idx") - F.row_number().over(Window.partitionBy(*key, fires).orderBy("week_idx"))).alias("island")))
+    rows = rows.withColumn("_run", run)
+    rows = rows.withColumn("_start", F.when(fires, F.min("week_idx").over(Window.partitionBy(*key, "_run"))))
+    ongoing = memory & (F.col("_fired") | (wide & F.col("_psp_fired")))
+    status = F.when(~fires, "INSUFFICIENT").when(ongoing, "ONGOING").otherwise("NEW")
+    since = F.when(fires & ~memory, F.col("week_idx")).when(fires & ongoing & ~F.col("_fired"), F.col("week_idx") - 1).when(fires, F.col("_start"))
     ends = fires & memory & ~F.col("_next") & ~F.col("_wide_next") & (F.col("week_idx") < F.col("_last"))
-    state = lambda s, week: F.struct(s.alias("status"), week.cast("int").alias("week_idx"))
-    both = F.array(state(status, F.col("week_idx")), F.when(ends, state(F.lit("RESOLVED"), F.col("week_idx") + 1)))
-    told = rows.withColumn("_s", F.explode(F.filter(both, lambda x: x.isNotNull()))).select(*(c for c in FIELDS if c != "week_idx"), "_s.week_idx", "_s.status")
-    open_ = F.col("status").isin("NEW", "ONGOING")
-    island = F.col("week_idx") - F.row_number().over(Window.partitionBy(*key, open_).orderBy("week_idx"))
-    told = told.withColumn("_island", island)
-    return told.withColumn("open_since", F.when(open_, F.min("week_idx").over(Window.partitionBy(*key, open_, "_island")))).drop("_island")
+    state = lambda s, week, start: F.struct(s.alias("status"), week.cast("int").alias("week_idx"), start.cast("int").alias("open_since"))
+    both = F.array(state(status, F.col("week_idx"), since), F.when(ends, state(F.lit("RESOLVED"), F.col("week_idx") + 1, F.col("_start"))))
+    return rows.withColumn("_s", F.explode(F.filter(both, lambda x: x.isNotNull()))).select(*(c for c in FIELDS if c != "week_idx"), "_s.week_idx", "_s.status", "_s.open_since")
 
 
 def annotate(alerts: DataFrame, state: DataFrame) -> DataFrame:
@@ -175,14 +220,56 @@ def annotate(alerts: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def notification_plan(alerts: DataFrame) -> DataFrame:
-    """What to send: a trigger once in each streak as soon as it isn't muted, and a resolve when it ends."""
-    rows = alerts.where(F.col("severity").isin("SEV2", "SEV3") & (F.col("status") != "INSUFFICIENT") & ~F.coalesce(F.col("muted"), F.lit(False)))
-    streak = Window.partitionBy("merchant_id", "rule", "segment", "open_since").orderBy("week_idx")
-    rows = rows.withColumn("_nth", F.when(F.col("status") != "RESOLVED", F.row_number().over(streak)))
-    rows = rows.where((F.col("status") == "RESOLVED") | (F.col("_nth") == 1))
+    """What to send and where: a trigger once in each streak as soon as it isn't muted, and a resolve when it ends (unless muted).
+
+    ``alerts`` come from ``evaluate`` and ``annotate``; without a column muted none is. Severities without a channel aren't sent.
+    """
+    muted = F.coalesce(F.col("muted"), F.lit(False)) if "muted" in alerts.columns else F.lit(False)
+    channels = F.create_map(*(x for k, v in CHANNELS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))[F.col("severity")]
+    rows = alerts.withColumn("channels", channels).where(F.col("channels").isNotNull() & (F.col("status") != "INSUFFICIENT") & ~muted)
+    streak = Window.partitionBy("merchant_id", "rule", "segment", "open_since", F.col("status") == "RESOLVED").orderBy("week_idx")
+    rows = rows.withColumn("_nth", F.row_number().over(streak))
+    rows = rows.where((F.col("status").isin("RESOLVED", "NEW")) | (F.col("_nth") == 1))
     action = F.when(F.col("status") == "RESOLVED", "resolve").otherwise("trigger")
-    key = F.concat_ws("|", "rule", "segment", F.col("week_idx").cast("string"))
-    return rows.select("merchant_id", "rule", "segment", "severity", "week_idx", "status", action.alias("action"), key.alias("dedupe_key"))
+    more = [c for c in ("owner", "message", "period") if c in rows.columns]
+    return rows.select("merchant_id", "rule", "segment", "severity", "week_idx", "status", "open_since", action.alias("action"), "channels", F.concat_ws("|", "rule", "segment", F.col("week_idx").cast("string")).alias("dedupe_key"), *more)
+
+
+def slack_text(plan: DataFrame) -> DataFrame:
+    """One row for each merchant and week: the text of what goes to slack."""
+    line = F.format_string("[%s] %s %s|%s (open since week %s): %s", F.upper("action"), F.col("severity"), F.col("rule"), F.col("segment"), F.col("open_since").cast("string"), F.col("message"))
+    rows = plan.where(F.array_contains("channels", "slack"))
+    return rows.groupBy("merchant_id", "week_idx").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("severity", "rule", "segment", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
+
+
+def history_upsert(alerts: DataFrame, plan: DataFrame, path: str) -> None:
+    """Writes one line for each alert of the given weeks below ``path``; lines that these weeks had before are replaced, other weeks stay."""
+    sent = plan.select("merchant_id", "rule", "segment", "week_idx", "status", F.col("action").alias("sent"))
+    lines = alerts.join(sent, ["merchant_id", "rule", "segment", "week_idx", "status"], "left")
+    muted = F.coalesce(F.col("muted"), F.lit(False)) if "muted" in alerts.columns else F.lit(False)
+    out = lines.select("merchant_id", "rule", "segment", "severity", "status", "open_since", muted.alias("muted"), "sent", F.col("week_idx").alias("week"))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("week").parquet(path)
+
+
+def history_before(spark, path: str, week: int) -> DataFrame:
+    """Lines of earlier weeks only, in order."""
+    return spark.read.parquet(path).where(F.col("week") < week).orderBy("week", "rule", "segment")
+
+
+def open_alerts(alerts: DataFrame) -> DataFrame:
+    return alerts.where(F.col("status").isin("NEW", "ONGOING"))
+
+
+def insufficient(alerts: DataFrame) -> DataFrame:
+    return alerts.where("status = 'INSUFFICIENT'")
+
+
+def money_lines(frame: DataFrame) -> DataFrame:
+    """Under, over and net money of each week, with that of the calendar week before beside it (0 if it is absent)."""
+    weekly = frame.withColumn("week_idx", week_index()).groupBy("merchant_id", "week_idx").agg(*(X.half_up(F.sum(f"gross_{c}_usd"), 2).alias(f"{c}_usd") for c in ("under", "over")))
+    weekly = weekly.withColumn("net_usd", X.half_up(F.col("under_usd") - F.col("over_usd"), 2))
+    w = Window.partitionBy("merchant_id").orderBy("week_idx").rangeBetween(-1, -1)
+    return weekly.withColumns({f"prev_{c}": F.coalesce(F.sum(c).over(w), F.lit(0.0)) for c in ("under_usd", "over_usd", "net_usd")})
 
 
 def alert_counts(alerts: DataFrame) -> DataFrame:

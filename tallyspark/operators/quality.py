@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..config import BANNED_FIELDS, PSPS
 from ..functions import columns as X
@@ -38,6 +40,122 @@ def quality_metrics(fct: DataFrame) -> DataFrame:
     )
 
 
+#: The metric that a band is about, and its bounds as shares.
+SHARE_BANDS = {"match exactly": ("k_match", 0.60, 0.70), "small": ("k_small", 0.15, 0.20), "meaningful": ("k_meaningful", 0.10, 0.18), "large": ("k_large", 0.03, 0.05)}
+#: Check -> (metric, factor, least, most); None is no bound.
+PLAIN_CHECKS = {
+    "rows": ("rows", 1, 500, None), "months": ("months", 1, 3, 4), "psps": ("psps", 1, 3, 5), "failed rows": ("failed", 1, 1, None), "pending rows": ("pending", 1, 1, None),
+    "median settle lag": ("median_lag", 1, 1, 7), "lag outliers": ("lag_outliers", 1, 1, None), "null metadata rows": ("null_metadata", 1, 0, 0),
+}
+PATTERN_CHECKS = {"P1 flag-rate gap": ("p1_gap", 100, 2.5, None), "P2 median lag gap": ("p2_gap_days", 1, 2, None), "P3 weekend ratio": ("p3_ratio", 1, 1.2, None), "P4 rounding share": ("p4_share", 1, 0.9, 1)}
+
+
+def spec_metrics(fct: DataFrame) -> DataFrame:
+    """One row of 19 metrics of the fact, in one pass. Lists are joined by commas."""
+    s = F.col("status") == "settled"
+    count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    share = lambda flag, where: F.try_divide(count(where & F.coalesce(F.col(flag), F.lit(False))), count(where))
+    lag = lambda where: F.median(F.when(where, F.col("settle_lag_days")))
+    ar, co = s & (F.col("country") == "AR"), s & (F.col("country") == "CO")
+    names = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    category = F.col("category")
+    return fct.agg(
+        F.count("*").alias("rows"), count(s).alias("settled"), F.countDistinct("auth_month").alias("months"), names("country").alias("countries"), names("currency").alias("currencies"), F.countDistinct("psp").alias("psps"),
+        count(F.col("status") == "failed").alias("failed"), count(F.col("status") == "pending").alias("pending"), lag(s).alias("median_lag"), count(s & F.col("is_lag_outlier")).alias("lag_outliers"),
+        count(F.col("customer_id").isNull() | F.col("product_category").isNull() | F.col("amount_tier").isNull() | F.col("is_cross_border").isNull()).alias("null_metadata"),
+        count(s & category.isin("exact", "rounding")).alias("k_match"), count(s & (category == "fx_tolerance")).alias("k_small"), count(s & category.isin("meaningful", "large")).alias("k_meaningful"), count(s & (category == "large")).alias("k_large"),
+        (share("is_meaningful", ar & (F.col("psp") == "PSP_B")) - share("is_meaningful", ar & (F.col("psp") != "PSP_B"))).alias("p1_gap"), (lag(co & F.col("is_over_300")) - lag(co & ~F.col("is_over_300"))).alias("p2_gap_days"),
+        F.try_divide(share("is_meaningful", s & F.col("is_weekend")), share("is_meaningful", s & ~F.col("is_weekend"))).alias("p3_ratio"),
+        share("rounding_flag", s & (F.col("psp") == "PSP_D") & F.col("is_cross_border") & F.col("currency").isin("CLP", "COP")).alias("p4_share"),
+    )
+
+
+def checked(name: str, value: Column, low: Column | float | None, high: Column | float | None, soft: bool = False) -> Column:
+    """A check's row: PASS within the bounds, else WARN if it is soft and FAIL if not; a missing value is outside."""
+    bound = lambda x, least: F.lit(float("-inf") if least else float("inf")) if x is None else (x if isinstance(x, Column) else F.lit(float(x)))
+    value, low, high = value.cast("double"), bound(low, True), bound(high, False)
+    ok = F.coalesce((value >= low) & (value <= high), F.lit(False))
+    return F.struct(F.lit(name).alias("check_name"), value.alias("realized"), low.alias("low"), high.alias("high"), F.when(ok, "PASS").otherwise("WARN" if soft else "FAIL").alias("status"))
+
+
+def pattern_bands() -> list[Column]:
+    """Checks of shares on settled and on all rows, with bounds widened by three standard errors."""
+    out = []
+    for rows in ("settled", "rows"):
+        for name, (metric, low, high) in SHARE_BANDS.items():
+            n = F.col(rows).cast("double")
+            p = F.try_divide(F.col(metric).cast("double"), n)
+            se = F.coalesce(F.sqrt(p * (1 - p) / n), F.lit(0.0))
+            out.append(checked(f"{name} / {rows}", p, X.half_up(low - 3 * se, 4), X.half_up(high + 3 * se, 4)))
+    return out
+
+
+def validation_gate(metrics: DataFrame, full_rows: int = 10_000) -> DataFrame:
+    """(check_name, realized, low, high, status): 23 checks of the one row of ``spec_metrics``. Patterns only warn on tables under ``full_rows`` rows."""
+    plain = lambda checks, soft: [checked(k, F.col(m) * f, low, high, soft) for k, (m, f, low, high) in checks.items()]
+    lists = [checked("countries", (F.col("countries") == "AR,CL,CO,MX").cast("int"), 1, 1), checked("currencies", (F.col("currencies") == "ARS,CLP,COP,MXN").cast("int"), 1, 1)]
+    hard = [*plain(PLAIN_CHECKS, False), *lists, checked("settled share", F.try_divide("settled", "rows"), 0.5, 1), *pattern_bands()]
+    patterns = F.when(F.col("rows") >= full_rows, F.array(*plain(PATTERN_CHECKS, False))).otherwise(F.array(*plain(PATTERN_CHECKS, True)))
+    return metrics.select(F.explode(F.concat(F.array(*hard), patterns)).alias("c")).select("c.*")
+
+
+def generic_checks(df: DataFrame, unique: Sequence[Sequence[str]] = (), not_null: dict[str, Column | None] | Sequence[str] = (), accepted: dict[str, Sequence] | None = None) -> DataFrame:
+    """(check_name, n_bad) of a table: keys that must be unique (rows beyond the first of each key), columns that must not be null (where a condition holds, if one is given), accepted values (null is accepted)."""
+    conditions = not_null if isinstance(not_null, dict) else dict.fromkeys(not_null)
+    checks = {f"not null {c}": F.count_if(F.col(c).isNull() if where is None else F.coalesce(where, F.lit(False)) & F.col(c).isNull()) for c, where in conditions.items()}
+    checks |= {f"accepted {c}": F.count_if(~F.col(c).isin(*v)) for c, v in (accepted or {}).items()}
+    spark, parts = df.sparkSession, []
+    if checks:
+        one = df.agg(*(c.alias(f"c{i}") for i, c in enumerate(checks.values())))
+        parts.append(one.select(F.explode(F.array(*(F.struct(F.lit(k).alias("check_name"), F.col(f"c{i}").alias("n_bad")) for i, k in enumerate(checks)))).alias("x")).select("x.*"))
+    for key in unique:
+        n = df.where(reduce(Column.__and__, (F.col(c).isNotNull() for c in key))).groupBy(*key).agg((F.count("*") - 1).alias("more"))
+        parts.append(n.agg(F.lit("unique " + ", ".join(key)).alias("check_name"), F.coalesce(F.sum("more"), F.lit(0)).alias("n_bad")))
+    return reduce(DataFrame.unionByName, parts, spark.createDataFrame([], "check_name string, n_bad bigint"))
+
+
+def contract_faults(df: DataFrame, contract: StructType) -> list[str]:
+    """What differs from an enforced contract: names, types and order of columns."""
+    have, want = [(f.name, f.dataType) for f in df.schema], [(f.name, f.dataType) for f in contract]
+    out = [f"missing {n}" for n, _ in want if n not in df.columns] + [f"unexpected {n}" for n, _ in have if n not in contract.names]
+    kinds = dict(have)
+    out += [f"{n} is {kinds[n].simpleString()}, not {t.simpleString()}" for n, t in want if n in kinds and kinds[n] != t]
+    return out or ([] if [n for n, _ in have] == contract.names else ["columns are in another order"])
+
+
+def enforced(df: DataFrame, contract: StructType) -> DataFrame:
+    """``df`` if it keeps the contract, else an error: a schema never changes in silence."""
+    if faults := contract_faults(df, contract):
+        raise ValueError("; ".join(faults))
+    return df
+
+
+def assertions(fct: DataFrame, refs: dict[str, DataFrame], n_staged: int | None = None) -> DataFrame:
+    """(check_name, n_bad) of nine statements about a built fact and its marts; n_bad counts what contradicts them."""
+    from . import marts
+
+    pct, usd, c, s = F.abs("residual_pct"), F.col("abs_residual_usd"), F.col("category"), F.col("status") == "settled"
+    bounds = ((c == "meaningful") & ((usd >= 20) | (pct > 5) | (pct <= 2))) | ((c == "large") & (usd < 20) & (pct <= 5)) | ((c == "exact") & (F.col("diff_local") != 0))
+    complete = F.col("settle_ts").isNotNull() & F.col("settled_amount").isNotNull()
+    count = lambda cond: F.count_if(F.coalesce(cond, F.lit(False)))
+    n_rows = F.lit(0).cast("bigint") if n_staged is None else F.abs(F.count("*") - n_staged)
+    one = fct.agg(count(bounds).alias("a0"), count(s & (F.col("settle_ts") < F.col("auth_ts"))).alias("a1"), count(s != complete).alias("a2"), count((F.col("fx_auth") <= 0) | (F.col("fx_settle") <= 0)).alias("a3"), n_rows.alias("a4"), count(s).alias("n"), F.sum(F.when(s, -F.col("residual_usd"))).alias("net"), F.sum(F.when(s & (c != "exact"), -F.col("residual_usd"))).alias("odd_net"), count(c == "large").alias("n_large"))
+    weekly = marts.psp_weekly(fct).agg(F.sum("n").alias("w_n"), F.sum("net_usd").alias("w_net"), count((F.col("n_flagged") > F.col("n")) | (F.col("n_large") > F.col("n_flagged"))).alias("w_bad"))
+    causes = marts.cause_mart(fct).agg(F.sum("net_usd").alias("c_net"))
+    kinds = marts.segment_rows(marts.settled(fct), marts.SEGMENTS, []).groupBy("segment_type").agg(F.count("*").alias("m")).agg(F.min("m").alias("s_min"), F.max("m").alias("s_max"))
+    outliers = marts.outliers(fct).agg(F.count("*").alias("o_n"), count(c != "large").alias("o_bad"))
+    ranges = range_overlaps(refs["fees"], "psp").select("valid_from").unionByName(range_overlaps(refs["vat"], "country").select("valid_from")).agg(F.count("*").alias("r"))
+    whole = one
+    for part in (weekly, causes, kinds, outliers, ranges):
+        whole = whole.crossJoin(F.broadcast(part))  # one row each
+    near = lambda a, b, cents: (F.abs(F.col(a) - F.col(b)) > cents).cast("bigint")
+    checks = {
+        "category boundaries": F.col("a0"), "causes reconcile and segments cover": near("odd_net", "c_net", 0.05) + (F.col("s_min") != F.col("n")).cast("bigint") + (F.col("s_max") != F.col("n")).cast("bigint"), "row count as staged": F.col("a4"), "rates above zero": F.col("a3"),
+        "outliers are the large rows": F.col("o_bad") + F.abs(F.col("o_n") - F.col("n_large")), "weeks reconcile": F.col("w_bad") + near("net", "w_net", 0.05) + (F.col("w_n") != F.col("n")).cast("bigint"), "dated ranges valid": F.col("r"), "settle after auth": F.col("a1"), "settled rows complete": F.col("a2"),
+    }
+    return whole.select(F.explode(F.array(*(F.struct(F.lit(k).alias("check_name"), v.cast("bigint").alias("n_bad")) for k, v in checks.items()))).alias("x")).select("x.*")
+
+
 def range_overlaps(dim: DataFrame, key: str) -> DataFrame:
     """Dated rows that begin before the one before them ends, or end before they begin."""
     w = Window.partitionBy(key).orderBy("valid_from")
@@ -131,6 +249,20 @@ def schema_drift(headers: DataFrame, contract: Sequence[str]) -> DataFrame:
     return rows.groupBy("psp").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("new")))).alias("new"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("missing")))).alias("missing"), F.count("*").alias("n_files"))
 
 
+def volume_check(flags: DataFrame, by: str, day: str = "day", most: int = 5) -> DataFrame:
+    """(key, status, days): WARN with the first flagged days, else PASS."""
+    nth = F.row_number().over(Window.partitionBy(by, "flagged").orderBy(day))
+    first = F.array_sort(F.collect_list(F.when(F.col("flagged") & (F.col("_n") <= most), F.col(day))))
+    out = flags.withColumn("_n", nth).groupBy(by).agg(first.alias("days"))
+    return out.select(by, F.when(F.size("days") > 0, "WARN").otherwise("PASS").alias("status"), "days")
+
+
+def quarantine_check(manifest: DataFrame) -> DataFrame:
+    """(status, n_files): WARN if any file's latest state is quarantined."""
+    n = manifest.agg(F.count_if(F.col("status") == "quarantined").alias("n_files"))
+    return n.select(F.when(F.col("n_files") > 0, "WARN").otherwise("PASS").alias("status"), "n_files")
+
+
 def overall(statuses: DataFrame) -> DataFrame:
     rank = F.array_position(F.array(F.lit("PASS"), F.lit("WARN"), F.lit("FAIL")), F.col("status"))
     return statuses.agg(F.max_by("status", rank).alias("status"))

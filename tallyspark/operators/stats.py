@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import erfc, exp, lgamma, log, sqrt
+from functools import reduce
+from math import erfc, exp, isfinite, lgamma, sqrt
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -67,21 +68,32 @@ def benjamini_hochberg(df: DataFrame, p: str, family: Sequence[str], tie: Sequen
     return df.withColumn("_s", scaled).withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.min("_s").over(ahead), F.lit(1.0)))).drop("_s")
 
 
-def tie_ranks(values: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    """Distinct values with how often they occur and their mean rank."""
-    n = values.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("ties"))
-    up_to = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return n.withColumn("rank", F.sum("ties").over(up_to) - (F.col("ties") - 1) / 2.0)
+#: Value ranges that are ranked side by side.
+RANGES = 256
+
+
+def tie_ranks(values: DataFrame, value: str, by: Sequence[str], ties: Column | None = None, rank: str = "rank") -> DataFrame:
+    """Distinct values with how often they occur (the sum of ``ties``; one a row if not given) and their mean rank.
+
+    Values are dealt to ranges by approximate quantiles; ranks are counted within a range and moved by what lies below it, so that no task sorts a whole group.
+    """
+    n = values.where(F.col(value).isNotNull()).groupBy(*by, value).agg((F.count("*") if ties is None else F.sum(ties)).alias("ties"))
+    cuts = n.groupBy(*by).agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 10_000).alias("_cuts"))
+    same = reduce(Column.__and__, (F.col(f"n.{c}").eqNullSafe(F.col(f"c.{c}")) for c in by), F.lit(True))
+    dealt = n.alias("n").join(F.broadcast(cuts.alias("c")), same).select("n.*", F.size(F.filter("_cuts", lambda x: x < F.col(f"n.{value}"))).alias("_range"))
+    sizes = dealt.groupBy(*by, "_range").agg(F.sum("ties").alias("_size"))
+    below = sizes.select(*by, "_range", (F.sum("_size").over(Window.partitionBy(*by).orderBy("_range")) - F.col("_size")).alias("_below"))  # at most RANGES rows a group
+    up_to = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = reduce(Column.__and__, (F.col(f"d.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*by, "_range")))
+    inside = dealt.withColumn("_rank", F.sum("ties").over(up_to) - (F.col("ties") - 1) / 2.0)
+    return inside.alias("d").join(F.broadcast(below.alias("b")), at).select(*(f"d.{c}" for c in (*by, value, "ties")), (F.col("_below") + F.col("_rank")).alias(rank))
 
 
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame:
-    """Rank correlation by group; null under 3 rows. Ranks are of distinct values, so that no window holds the raw rows."""
+    """Rank correlation by group; null under 3 rows."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(F.count("*").alias("n"))
     for c, r in ((x, "rx"), (y, "ry")):
-        n = rows.groupBy(*by, c).agg(F.sum("n").alias("ties"))
-        up_to = Window.partitionBy(*by).orderBy(c).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ranks = n.withColumn(r, F.sum("ties").over(up_to) - (F.col("ties") - 1) / 2.0).drop("ties")
-        rows = rows.join(ranks, [*by, c])
+        rows = rows.join(tie_ranks(rows, c, by, F.col("n"), r).drop("ties"), [*by, c])
     s = lambda e: F.sum(F.col("n") * e)
     out = rows.groupBy(*by).agg(F.sum("n").alias("n_rows"), s(F.col("rx")).alias("a"), s(F.col("ry")).alias("b"), s(F.col("rx") * F.col("ry")).alias("ab"), s(F.col("rx") ** 2).alias("aa"), s(F.col("ry") ** 2).alias("bb"))
     m = F.col("n_rows")
@@ -96,9 +108,8 @@ def upper_tail(z: pd.Series) -> pd.Series:
 
 def mann_whitney(df: DataFrame, value: str, first: Column, by: Sequence[str]) -> DataFrame:
     """One-sided p that values of ``first`` rows are greater than of the others: normal approximation with ties and continuity; 1 if a side is empty."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count_if(first).alias("k"), F.count("*").alias("ties"))
-    up_to = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranks = counts.withColumn("rank", F.sum("ties").over(up_to) - (F.col("ties") - 1) / 2.0)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count_if(first).alias("k"), F.count("*").alias("m"))
+    ranks = counts.join(tie_ranks(counts, value, by, F.col("m")), [*by, value])
     t = F.col("ties").cast("double")
     s = ranks.groupBy(*by).agg(F.sum("k").alias("n1"), F.sum(F.col("ties") - F.col("k")).alias("n2"), F.sum(F.col("k") * F.col("rank")).alias("r1"), F.sum(t * t * t - t).alias("tied"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
@@ -115,12 +126,6 @@ def compare_to_peers(seg: DataFrame, family: Sequence[str], group: Column | None
     return out.withColumns({"p": rate_test("n_flagged", "n", "peer_flagged", "peer_n"), "excess_usd": X.half_up(X.excess_loss("rate", "peer_rate", "n", "mean_loss_usd"), 2)})
 
 
-def all_tests(rates_mart: DataFrame) -> DataFrame:
-    """Every segment against its peers, with one adjustment over all tests of a merchant."""
-    group = F.when(F.col("segment_type") == "psp_country", F.split_part("segment_value", F.lit("|"), F.lit(2)))
-    return benjamini_hochberg(compare_to_peers(rates_mart, ["merchant_id", "segment_type"], group), "p", ["merchant_id"], ["segment_key"])
-
-
 def cause_psp(fct: DataFrame) -> DataFrame:
     """Share of each cause in a PSP's settled rows against all other PSPs; catch-all causes are left out."""
     rows = marts.settled(fct)
@@ -142,22 +147,37 @@ def lag_tests(fct: DataFrame, late_days: float = 7.0) -> DataFrame:
 
 
 def fit_glm(fct: DataFrame, min_cell: int = 200) -> DataFrame:
-    """Odds ratios of being flagged by tier, border, weekend and psp x country (those with enough rows), fitted to grouped cells."""
+    """Odds ratios of being flagged, by merchant: tier, border, weekend, lag bucket, and psp x country (those with enough rows), fitted to grouped cells.
+
+    If the fit fails or has no finite errors it is repeated without psp x country.
+    """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
 
-    cells = marts.settled(fct).groupBy("psp", "country", "amount_tier", "is_cross_border", "is_weekend").agg(F.count("*").cast("double").alias("n"), F.count_if("is_meaningful").alias("k"))
-    sizes = cells.groupBy("psp", "country").agg(F.sum("n").alias("m")).where(F.col("m") >= min_cell).orderBy("psp", "country").collect()  # one row for each psp and country
-    dummies = {f"tier={x}": F.col("amount_tier") == x for x in ("50-200", "200+")} | {"cross_border": F.col("is_cross_border"), "weekend": F.col("is_weekend")}
-    dummies |= {f"psp_country={r.psp}|{r.country}": (F.col("psp") == r.psp) & (F.col("country") == r.country) for r in sizes[1:]}
-    names = [f"x{i}" for i in range(len(dummies))]
-    rows = cells.select("n", (F.col("k") / F.col("n")).alias("y"), *(c.cast("double").alias(n) for n, c in zip(names, dummies.values(), strict=True)))
-    model = GeneralizedLinearRegression(family="binomial", labelCol="y", weightCol="n", regParam=0.0).fit(VectorAssembler(inputCols=names, outputCol="features").transform(rows))
-    z = X.Z95
-    errors = model.summary.coefficientStandardErrors
-    out = [(d, exp(float(b)), exp(float(b) - z * e), exp(float(b) + z * e), float(p)) for d, b, e, p in zip(dummies, model.coefficients, errors, model.summary.pValues, strict=False)]
-    return fct.sparkSession.createDataFrame(out, "term string, odds_ratio double, ci_low double, ci_high double, p double")
-
-
-def log_odds(p: float) -> float:
-    return log(p / (1 - p))
+    keys = ["psp", "country", "amount_tier", "is_cross_border", "is_weekend", "lag_bucket"]
+    cells = marts.settled(fct).groupBy("merchant_id", *keys).agg(F.count("*").cast("double").alias("n"), F.count_if("is_meaningful").alias("k")).persist()  # at most a few thousand rows for each merchant
+    fixed = {f"tier={x}": F.col("amount_tier") == x for x in ("50-200", "200+")} | {"cross_border": F.col("is_cross_border"), "weekend": F.col("is_weekend")}
+    fixed |= {f"lag={x}": F.coalesce(F.col("lag_bucket") == x, F.lit(False)) for x in ("2-3", "4-5", "6-7", "8+")}
+
+    def fit(rows: DataFrame, dummies: dict[str, Column]) -> list[tuple[str, float, float, float, float]]:
+        names = [f"x{i}" for i in range(len(dummies))]
+        made = rows.select("n", (F.col("k") / F.col("n")).alias("y"), *(c.cast("double").alias(n) for n, c in zip(names, dummies.values(), strict=True)))
+        model = GeneralizedLinearRegression(family="binomial", labelCol="y", weightCol="n", regParam=0.0).fit(VectorAssembler(inputCols=names, outputCol="features").transform(made))
+        errors, z = model.summary.coefficientStandardErrors, X.Z95
+        out = [(d, exp(float(b)), exp(float(b) - z * e), exp(float(b) + z * e), float(p)) for d, b, e, p in zip(dummies, model.coefficients, errors, model.summary.pValues, strict=False)]
+        if not all(isfinite(x) for row in out for x in row[1:]):
+            raise ArithmeticError("the fit has no finite errors")
+        return out
+
+    found = []
+    for merchant in [r[0] for r in cells.select("merchant_id").distinct().orderBy("merchant_id").collect()]:
+        own = cells.where(F.col("merchant_id").eqNullSafe(F.lit(merchant)))
+        sizes = own.groupBy("psp", "country").agg(F.sum("n").alias("m")).where(F.col("m") >= min_cell).orderBy("psp", "country").collect()  # one row for each psp and country
+        large = {f"psp_country={r.psp}|{r.country}": (F.col("psp") == r.psp) & (F.col("country") == r.country) for r in sizes[1:]}
+        try:
+            terms = fit(own, fixed | large)
+        except Exception:  # a singular system comes as an error of the solver
+            terms = fit(own, fixed)
+        found += [(merchant, *t) for t in terms]
+    cells.unpersist()
+    return fct.sparkSession.createDataFrame(found, "merchant_id string, term string, odds_ratio double, ci_low double, ci_high double, p double")

@@ -20,7 +20,7 @@ led AS (SELECT *, CASE WHEN status <> 'settled' THEN NULL WHEN h < 60 THEN ex WH
 """
 
 FACT = f"""{LEDGER},
-f1 AS (SELECT 'txn_' || lpad(CAST(k AS VARCHAR), 12, '0') AS transaction_id, 'cus_' || lpad(CAST(o_custkey AS VARCHAR), 12, '0') AS customer_id, 'casamarket' AS merchant_id, psp, country, currency, exponent, xb AS is_cross_border, status,
+f1 AS (SELECT 'txn_' || lpad(CAST(k AS VARCHAR), 12, '0') AS transaction_id, 'cus_' || lpad(CAST(o_custkey AS VARCHAR), 12, '0') AS customer_id, 'merchant_1' AS merchant_id, psp, country, currency, exponent, xb AS is_cross_border, status,
   TIMESTAMP '2026-04-01' + to_seconds(auth_s) AS auth_ts, CASE WHEN status = 'settled' THEN TIMESTAMP '2026-04-01' + to_seconds(settle_s) END AS settle_ts, a AS authorized_amount, settled_amount, items AS item_count, risk AS risk_score,
   country IN ('CO', 'MX') AS tax_recalc, fa AS fx_auth, CASE WHEN status = 'settled' THEN fs END AS fx_settle, CASE WHEN status = 'settled' THEN ex END AS expected_settled, a / pow(10.0::DOUBLE, exponent) / fa AS amount_usd,
   CASE WHEN status = 'settled' THEN {R('((settle_s - auth_s) / 86400.0::DOUBLE)', 2)} END AS settle_lag_days FROM led),

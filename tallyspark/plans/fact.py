@@ -86,6 +86,7 @@ def projected_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fact of the driver's tables, held in executors' memory and disk: a barrier, as later filters would else be pushed through every formula."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _held:
-        staged = ledger.stage_transactions(ledger.projected_ledger(spark, sf_dir))
+        # the staged ledger is a barrier too: its formulas would else be repeated in every layer of the fact
+        staged = ledger.stage_transactions(ledger.projected_ledger(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
         _held[key] = build_fact(staged, ledger.projected_fx(spark), ledger.reference_tables(spark))
     return _held[key].persist(StorageLevel.MEMORY_AND_DISK)

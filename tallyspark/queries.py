@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns as X
-from .operators import alerts, findings, incremental, marts, quality, stats
+from .operators import alerts, findings, incremental, marts, quality, questions, stats
 from .plans.fact import build_fact, projected_fact
 from .sources import ledger
 from .streaming import match
@@ -95,6 +95,14 @@ def segment_rates(f: DataFrame) -> DataFrame:
     return marts.segment_rates(marts.segment_mart(f)).select("segment_key", "n", "n_flagged", "rate", "peer_n", "peer_flagged", "peer_rate", X.half_up("ci_low", 9).alias("ci_low"), "low_sample")
 
 
+#: Filters of the registered filtered reads.
+SOME = marts.Filters(country=("MX", "AR"), xb="domestic", date_from="2026-04-10")
+
+
+def all_alerts(f: DataFrame) -> DataFrame:
+    return alerts.evaluate(alerts.alert_frame(f), alerts.last_closed(f))
+
+
 def drop_merchant(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
     return lambda fct: f(fct).drop("merchant_id")
 
@@ -133,15 +141,30 @@ QUERIES: dict[str, Query] = {
     "large_rows": of_frame(lambda a: alerts.large_rows_rule(a).select("week_idx", "n", "value", "details")),
     "pending_aging": of_frame(lambda a: alerts.pending_aging_rule(a).select("segment", "severity", "n", "value")),
     "settle_lag": of_frame(lambda a: alerts.settle_lag_rule(a).select("week_idx", "segment", "n", "severity")),
-    "alerts": of_frame(alerts.evaluate),
-    "notifications": of_frame(lambda a: alerts.notification_plan(alerts.evaluate(a).withColumn("muted", F.lit(False)))),
-    "all_tests": of_fact(lambda f: stats.all_tests(marts.segment_mart(f))),
+    "alerts": of_fact(all_alerts),
+    "notifications": of_fact(lambda f: alerts.notification_plan(all_alerts(f))),
+    "money_lines": of_frame(lambda a: alerts.money_lines(a).drop("merchant_id")),
+    "all_tests": of_fact(questions.all_tests),
+    "test_counts": of_fact(lambda f: questions.all_tests(f).select("question", "segment_type", "segment_value", "n", "n_flagged", "peer_n", "peer_flagged").where("segment_value <> 'spearman'")),
+    "fee_drift": of_fact(lambda f: questions.fee_drift(f).select("psp", "n", "n_flagged", "peer_n", "peer_flagged")),
+    "summary": of_fact(lambda f: questions.summarize(f).drop("merchant_id", "flag_rate", "non_exact_rate")),
+    "small_cells": of_fact(lambda f: questions.small_cells(f, 800).drop("merchant_id")),
+    "truth_scores": of_fact(lambda f: questions.truth_scores(marts.settled(f), f.select("transaction_id", F.when(F.col("residual") != 0, "psp_fee").alias("true_cause")))),
+    "rate_frame": of_fact(lambda f: questions.rate_frame(marts.settled(f), ["country", "amount_tier"]).select("country", "amount_tier", "n", "n_flagged", X.half_up("median_loss_usd", 2).alias("median_loss_usd"))),
+    "filtered_kpis": of_fact(lambda f: marts.kpis(f, SOME).select("auth_week", "n", "n_flagged", "net_usd", "d_net_usd")),
+    "filtered_causes": of_fact(lambda f: marts.cause_summary(f, SOME).select("likely_cause", "n", "share_of_loss")),
+    "filtered_mix": of_fact(lambda f: marts.category_mix(f, SOME).drop("merchant_id")),
+    "filtered_rates": of_fact(lambda f: marts.filtered_rates(f, "amount_tier", SOME).select("segment_key", "n", "n_flagged", "peer_n", "peer_flagged")),
+    "status_detail": of_fact(lambda f: marts.status_detail(f).select(*(F.array_join(c, ",").alias(c) for c in ("open_weeks", "provisional_weeks", "months", "full_months")))),
+    "spec_metrics": of_fact(quality.spec_metrics),
+    "validation_gate": of_fact(lambda f: quality.validation_gate(quality.spec_metrics(f)).select("check_name", "status", X.half_up("realized", 4).alias("realized"))),
+    "assertions": of_fact(lambda f: quality.assertions(f, ledger.reference_tables(f.sparkSession))),
     "cause_psp": of_fact(stats.cause_psp),
     "lag_tests": of_fact(stats.lag_tests),
     "spearman": of_fact(lambda f: stats.spearman(marts.settled(f).where("category <> 'exact'").withColumn("pct", F.abs("residual_pct")), "amount_usd", "pct", ["merchant_id"])),
     "glm": of_fact(stats.fit_glm),
-    "findings": of_fact(lambda f: findings.findings(stats.all_tests(marts.segment_mart(f)))),
-    "recommendations": of_fact(lambda f: findings.recommend(findings.findings(stats.all_tests(marts.segment_mart(f))))),
+    "findings": of_fact(lambda f: findings.findings(questions.all_tests(f), f)),
+    "recommendations": of_fact(lambda f: findings.recommend(findings.findings(questions.all_tests(f), f))),
     "as_of_snapshot": as_of_snapshot,
     "incremental_equals_full": incremental_equals_full,
     "segment_lineitem": segment_lineitem,

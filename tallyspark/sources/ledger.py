@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import EXPONENTS
+from ..config import DEFAULT_MERCHANT, EXPONENTS
 
 LEDGER = T.StructType(
     [T.StructField(n, t) for n, t in (
@@ -17,7 +17,6 @@ LEDGER = T.StructType(
     )]
 )
 FX = T.StructType([T.StructField("rate_date", T.DateType()), T.StructField("currency", T.StringType()), T.StructField("local_per_usd", T.DoubleType())])
-DEFAULT_MERCHANT = "casamarket"
 
 
 def read_ledger_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -39,7 +38,7 @@ def ledger_source(spark: SparkSession, path: str, kind: str = "csv") -> DataFram
 
 
 def reference_tables(spark: SparkSession) -> dict[str, DataFrame]:
-    """Exponents, dated VAT and dated fees. They are fixed lists of a few rows."""
+    """Exponents, dated VAT and dated fees: fixed values, lists of a few rows."""
     vat = [("AR", 21.0, False), ("CL", 19.0, False), ("CO", 19.0, True), ("MX", 16.0, True)]
     fees = [(f"PSP_{p}", 0.0, "2025-01-01", "2026-06-01" if p == "C" else None) for p in "ABCDE"] + [("PSP_C", 1.5, "2026-06-01", None)]
     dated = lambda df: df.withColumns({c: F.col(c).cast("date") for c in ("valid_from", "valid_to")})
