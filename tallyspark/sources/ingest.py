@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import quality
-from .ledger import LEDGER
+from ..operators import incremental, quality
+from .ledger import LEDGER, read_staged, stage_transactions
 
 
 @dataclass(frozen=True)
@@ -63,13 +64,16 @@ def new_files(found: DataFrame, manifest: DataFrame | None) -> DataFrame:
 def read_files(spark: SparkSession, root: str, fmt: Format = STANDARD) -> DataFrame:
     """All rows as text with their file, source, date and line (the header is line 1; the order is that of the file).
 
-    Files hold no line breaks inside values. The number comes from Spark's row id within a file that is read whole by one task, which
-    holds as long as files are smaller than a partition; larger ones get ascending but not consecutive numbers.
+    Files hold no line breaks inside values. A file larger than a partition is read in pieces: rows are numbered within each piece, and pieces are
+    moved by the rows of the pieces before them.
     """
     rows = spark.read.option("header", True).option("sep", fmt.sep).option("basePath", root).option("enforceSchema", False).csv(root)
-    rows = decode(rows, fmt).withColumn("file", F.col("_metadata.file_path")).withColumn("_id", F.monotonically_increasing_id())
-    first = rows.groupBy("file").agg(F.min("_id").alias("_first"))
-    return rows.join(F.broadcast(first), "file").withColumn("line", F.col("_id") - F.col("_first") + 2).drop("_id", "_first")
+    piece = F.col("_metadata.file_block_start")
+    rows = decode(rows, fmt).withColumns({"file": F.col("_metadata.file_path"), "_piece": piece}).withColumn("_id", F.monotonically_increasing_id())
+    pieces = rows.groupBy("file", "_piece").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("file").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    moved = pieces.select("file", "_piece", "_first", before.alias("_before"))
+    return rows.join(moved, ["file", "_piece"]).withColumn("line", F.col("_id") - F.col("_first") + F.col("_before") + 2).drop("_id", "_first", "_piece", "_before")
 
 
 CONTRACT = {
@@ -93,7 +97,129 @@ def write_staged(good: DataFrame, root: str) -> None:
     typed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("settle_month", "file_psp", "file_date").parquet(root)
 
 
-def append_manifest(files: DataFrame, rows: DataFrame, reasons: DataFrame, path: str) -> None:
+def file_inventory(rows: DataFrame) -> DataFrame:
+    """(file, source, date, rows, settled, columns) of files as ``read_files`` gives them; columns are those of the contract that the files have."""
+    held = [c for c in CONTRACT if c in rows.columns]
+    n = rows.groupBy("file", "source", "date").agg(F.count("*").alias("rows"), F.count_if(F.lower(F.trim("status")) == "settled").alias("settled"))
+    return n.withColumn("columns", F.array(*map(F.lit, held)).cast("array<string>"))
+
+
+def in_range(files: DataFrame, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
+    """Files whose date lies in the range, both ends included and either end open; used to process them again."""
+    day = F.col("date").cast("date")
+    low = F.lit(True) if date_from is None else day >= F.lit(date_from).cast("date")
+    high = F.lit(True) if date_to is None else day <= F.lit(date_to).cast("date")
+    return files.where(low & high)
+
+
+def dated(found: DataFrame) -> DataFrame:
+    """Files with their source and date, from the folders that they lie in."""
+    part = lambda name: F.nullif(F.regexp_extract("file", f"/{name}=([^/]+)/", 1), F.lit(""))
+    return found.withColumns({"source": part("source"), "date": part("date").cast("date")})
+
+
+def write_quarantine(bad: DataFrame, reasons: DataFrame, root: str) -> None:
+    """Rows of bad files (without banned columns) and the reasons, by source and date; a file delivered again replaces what it brought before."""
+    keys = bad.select("file", "source", "date").distinct()
+    rows = quality.redact(bad)
+    put = lambda df, name: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "date").parquet(f"{root}/{name}")
+    put(rows, "rows")
+    put(reasons.join(F.broadcast(keys), "file"), "reasons")  # one row for each bad file
+
+
+def cleared(spark: SparkSession, root: str, name: str, keys: DataFrame, source: str, date: str) -> None:
+    """Empties the partitions of a stored table that ``keys`` (source, date) name, if there are any: a fixed file leaves quarantine, a bad one leaves the staged rows."""
+    path = f"{root}/{name}" if name else root
+    if not exists(spark, path):
+        return
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(conf)
+    for r in keys.select("source", F.col("date").cast("string").alias("date")).distinct().toLocalIterator():
+        for found in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}{'' if name else '/settle_month=*'}/{source}={r.source}/{date}={r.date}")) or []:
+            fs.delete(found.getPath(), True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+def load_landing(spark: SparkSession, landing: str, root: str, fmt: Format = STANDARD, contract: dict[str, dict] = CONTRACT, force: tuple[str | None, str | None] | None = None) -> DataFrame:
+    """Stages new and changed files below ``root`` and returns what was done: (file, sha256, rows, status, target, load).
+
+    A file that the manifest has with the same hash is skipped; ``force`` (from, to) takes files of these dates again. Good files are staged and leave
+    quarantine, bad ones are quarantined as a whole and their older good version leaves the staged rows. The manifest gets one line for each file.
+    """
+    manifest = spark.read.schema(MANIFEST).json(f"{root}/manifest") if exists(spark, f"{root}/manifest") else spark.createDataFrame([], MANIFEST)
+    found = dated(file_hashes(spark, landing))
+    fresh = new_files(found, manifest)
+    todo = (fresh if force is None else fresh.unionByName(in_range(found, *force)).distinct()).persist()
+    if todo.isEmpty():
+        todo.unpersist()
+        return manifest.limit(0)
+    names = F.broadcast(todo.select("file")) if todo.count() <= MOST_FILES else todo.select("file")
+    rows = read_files(spark, landing, fmt).join(names, "file", "left_semi").persist()
+    good, bad, reasons = split_good(rows, contract)
+    keys = lambda df: df.select("source", "date").distinct().persist()
+    fine, faulty = keys(good), keys(bad)
+    cleared(spark, f"{root}/staged", "", faulty, "file_psp", "file_date")
+    for name in ("rows", "reasons"):
+        cleared(spark, f"{root}/quarantine", name, fine, "source", "date")
+    if not good.isEmpty():
+        write_staged(good, f"{root}/staged")
+    if not bad.isEmpty():
+        write_quarantine(bad, reasons, f"{root}/quarantine")
+    load = uuid.uuid4().hex
+    manifest_lines(todo, rows, reasons).withColumn("load", F.lit(load)).write.mode("append").json(f"{root}/manifest")
+    for held in (todo, rows, fine, faulty):  # the same folders are read anew the next time
+        held.unpersist()
+    return spark.read.schema(MANIFEST).json(f"{root}/manifest").where(F.col("load") == load)
+
+
+#: Files that are looked up by a broadcast list; beyond that by a shuffled join.
+MOST_FILES = 100_000
+MANIFEST = "file string, sha256 string, rows bigint, status string, target string, load string"
+
+
+def manifest_lines(files: DataFrame, rows: DataFrame, reasons: DataFrame) -> DataFrame:
     n = rows.groupBy("file").agg(F.count("*").alias("rows"))
     bad = reasons.select("file", F.lit(True).alias("bad")).distinct()
-    files.join(n, "file", "left").join(bad, "file", "left").select("file", "sha256", "rows", F.when(F.col("bad"), "quarantined").otherwise("staged").alias("status")).write.mode("append").json(path)
+    status = F.when(F.col("bad"), "quarantined").otherwise("staged")
+    return files.join(n, "file", "left").join(bad, "file", "left").select("file", "sha256", F.coalesce("rows", F.lit(0)).alias("rows"), status.alias("status"), F.when(F.col("bad"), "quarantine").otherwise("staged").alias("target"))
+
+
+def ingest_report(rows: DataFrame, manifest: DataFrame, sources: list[str], most_days: int = 2, fail: bool = True) -> DataFrame:
+    """(nth, check_name, status, detail) in fixed order: freshness, volume, columns, quarantine, and all together; as of the latest file date.
+
+    ``rows`` are those of ``read_files``, ``manifest`` the latest line of each file. With ``fail`` a failed check is an error.
+    """
+    spark, files = rows.sparkSession, file_inventory(rows).persist()
+    as_of = str(files.agg(F.max("date")).first()[0])
+    fresh = quality.freshness(files.withColumnRenamed("source", "psp"), sources, as_of, most_days)
+    worst = lambda df: quality.overall(df).first()[0] or "PASS"
+    flags = quality.volume_flags(files.groupBy("source", F.col("date").cast("date").alias("day")).agg(F.sum("rows").alias("n")), "source")
+    volume = quality.volume_check(flags, "source")
+    drift = quality.schema_drift(files.select(F.col("source").alias("psp"), "columns"), list(CONTRACT))
+    held = quality.quarantine_check(manifest)
+    lines = [
+        ("freshness", worst(fresh), ", ".join(sorted(r.psp for r in fresh.where("status = 'FAIL'").collect()))), ("volume", worst(volume), ", ".join(sorted(r.source for r in volume.where("status = 'WARN'").collect()))),
+        ("columns", "PASS" if drift.isEmpty() else "WARN", ", ".join(sorted(r.psp for r in drift.collect()))), ("quarantine", (q := held.first()).status, str(q.n_files)),
+    ]
+    said = [x[1] for x in lines]
+    total = next(x for x in ("FAIL", "WARN", "PASS") if x in said)
+    out = spark.createDataFrame([(i, *x) for i, x in enumerate([*lines, ("overall", total, as_of)], 1)], "nth int, check_name string, status string, detail string")
+    if fail and total == "FAIL":
+        raise ValueError(f"ingest checks failed: {[x for x in lines if x[1] == 'FAIL']}")
+    return out
+
+
+def replay_range(spark: SparkSession, landing: str, root: str, date_from: str, date_to: str, as_of: str, build, prev_fact: DataFrame, fmt: Format = STANDARD) -> DataFrame:
+    """Loads the files of a range again and brings the fact up to date from ``date_from`` on; ``build`` makes fact rows of staged rows."""
+    load_landing(spark, landing, root, fmt, force=(date_from, date_to))
+    staged = stage_transactions(read_staged(spark, f"{root}/staged"))
+    return incremental.incremental_fact(staged, prev_fact, build, incremental.replay_lookback(date_from, as_of))
+
+
+def append_manifest(files: DataFrame, rows: DataFrame, reasons: DataFrame, path: str) -> None:
+    manifest_lines(files, rows, reasons).write.mode("append").json(path)
