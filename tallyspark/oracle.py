@@ -101,7 +101,7 @@ SQL = {
     "event_matches": "SELECT c.event_id AS click_id, p.event_id AS purchase_id FROM events c JOIN events p ON c.user_id = p.user_id AND c.event_type = 'click' AND p.event_type = 'purchase' AND p.ts BETWEEN c.ts AND c.ts + INTERVAL 2 HOUR",
     "daily_volume_flags": "WITH d AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2), b AS (SELECT min(day) AS a, max(day) AS z FROM d), g AS (SELECT t.event_type, CAST(unnest(generate_series(a, z, INTERVAL 1 DAY)) AS DATE) AS day FROM (SELECT DISTINCT event_type FROM d) t, b), v AS (SELECT g.event_type, g.day, coalesce(n, 0) AS n FROM g LEFT JOIN d USING (event_type, day)), w AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY day) AS i, list_sort(list(n) OVER (PARTITION BY event_type ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)) AS l FROM v) SELECT event_type, day, n, CASE WHEN len(l) = 7 THEN l[4] END AS usual, i > 15 AND l[4] > 0 AND abs(n / l[4] - 1) > 0.5 AS flagged FROM w",
     "pii_documents": "SELECT source, count(*) AS n, count(*) FILTER (regexp_matches(text, '[A-Za-z0-9._]+@[a-z0-9.]+')) AS n_email FROM documents GROUP BY 1",
-    "table_row_counts": " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in ("orders", "lineitem", "customer", "events", "documents")),
+    "table_row_counts": " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()),
     "stream_events": f"WITH {LEDGER} SELECT topic, count(*) AS n, CAST(sum(amount) AS BIGINT) AS amount FROM (SELECT 'auths' AS topic, a AS amount FROM led UNION ALL SELECT 'settlements', settled_amount FROM led WHERE status = 'settled') GROUP BY 1",
     "quality_metrics": with_("SELECT count(*) AS n, count(DISTINCT transaction_id) AS n_ids, count(*) FILTER (status = 'settled') AS n_settled, count(*) FILTER (status = 'pending') AS n_pending, count(*) FILTER (status = 'failed') AS n_failed, count(*) FILTER (is_cross_border) AS n_cross_border, count(*) FILTER (is_meaningful) AS n_flagged, count(DISTINCT psp) AS n_psps, count(DISTINCT auth_date) AS n_days, " + R("median(settle_lag_days)", 4) + " AS median_lag, " + R("median(amount_usd)", 4) + " AS median_usd FROM fact"),
     "table_checks": with_("SELECT * FROM (SELECT 'transaction_id unique' AS check_name, count(*) - count(DISTINCT transaction_id) AS n_bad FROM fact UNION ALL SELECT 'psp accepted', count(*) FILTER (psp NOT IN ('PSP_A', 'PSP_B', 'PSP_C', 'PSP_D', 'PSP_E')) FROM fact UNION ALL SELECT 'settled complete', count(*) FILTER (status = 'settled' AND (settled_amount IS NULL OR category IS NULL)) FROM fact UNION ALL SELECT 'settle after auth', count(*) FILTER (settle_ts < auth_ts) FROM fact UNION ALL SELECT 'category null unless settled', count(*) FILTER (status <> 'settled' AND category IS NOT NULL) FROM fact)"),
@@ -174,4 +174,5 @@ SQL |= {
     "spec_metrics": with_("SELECT * FROM spec", SPEC),
     "validation_gate": with_(f"SELECT check_name, CASE WHEN coalesce(v BETWEEN lo AND hi, false) THEN 'PASS' WHEN soft THEN 'WARN' ELSE 'FAIL' END AS status, {R('v', 4)} AS realized FROM ({' UNION ALL '.join(GATES)})", SPEC),
     "assertions": with_(" UNION ALL ".join(f"SELECT '{k}' AS check_name, CAST(({v}) AS BIGINT) AS n_bad" for k, v in ASSERTED.items())),
+    "pii_scan": " UNION ALL ".join(f"SELECT '{t}' AS name, '{c}' AS \"column\", count(*) FILTER (h > 0) AS n_rows, {big('sum(h)', 'n_values')} FROM (SELECT len(regexp_extract_all(coalesce({c}, ''), '[A-Za-z0-9._]+@[a-z0-9.]+')) AS h FROM {t})" for t, c in (("documents", "text"), ("documents", "source"), ("conversations", "text"), ("conversations", "role"))),
 }

@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns as X
 from .operators import alerts, findings, incremental, marts, quality, questions, stats
+from .plans import publish
 from .plans.fact import build_fact, projected_fact
 from .sources import ledger
 from .streaming import match
 
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 Query = Callable[[SparkSession, str], DataFrame]
 FACT_COLUMNS = "transaction_id psp country currency status category residual residual_pct residual_usd settled_usd expected_settled direction rounding_flag fee_repeats why_flagged likely_cause auth_week week_start week_end week_month auth_weekday is_weekend amount_tier is_over_300 lag_bucket settle_lag_days is_meaningful".split()
 
@@ -59,8 +60,13 @@ def pii_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def table_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ("orders", "lineitem", "customer", "events", "documents")
-    return reduce(DataFrame.unionByName, (table(spark, sf_dir, n).agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n in names))
+    return publish.table_row_counts({n: table(spark, sf_dir, n) for n in TABLES})
+
+
+def pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mail addresses in the text columns of documents and conversations."""
+    scan = lambda name, columns: quality.pii_scan(table(spark, sf_dir, name), columns, "[A-Za-z0-9._]+@[a-z0-9.]+").withColumn("name", F.lit(name))
+    return scan("documents", ["text", "source"]).unionByName(scan("conversations", ["text", "role"]))
 
 
 def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,6 +177,7 @@ QUERIES: dict[str, Query] = {
     "event_matches": event_matches,
     "daily_volume_flags": daily_volume_flags,
     "pii_documents": pii_documents,
+    "pii_scan": pii_scan,
     "table_row_counts": table_row_counts,
     "stream_events": stream_events,
     "stream_parity": stream_parity,

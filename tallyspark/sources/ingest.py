@@ -42,13 +42,11 @@ def decode(raw: DataFrame, fmt: Format) -> DataFrame:
 
 
 def land(df: DataFrame, root: str, fmt: Format = STANDARD) -> None:
-    """Files by psp and report date (settle date, else auth date), ordered by id."""
-    pattern = fmt.timestamps or "yyyy-MM-dd'T'HH:mm:ss"
-    text = {c: F.date_format(c, pattern) if c in TIMES else F.col(c).cast("string") for c in LEDGER.names}
+    """Files in the partner's format by psp and report date (settle date, else auth date), ordered by id."""
     date = F.coalesce(F.to_date("settle_ts"), F.to_date("auth_ts"))
-    out = df.select(*(text[c].alias(fmt.names.get(c, c)) for c in LEDGER.names), F.col("psp").alias("source"), date.alias("date"))
+    theirs = encode(df.select(*LEDGER.names, F.col("psp").alias("source"), date.alias("date")), fmt)
     id_name = fmt.names.get("transaction_id", "transaction_id")
-    out.repartition("source", "date").sortWithinPartitions("source", "date", id_name).write.mode("append").partitionBy("source", "date").option("header", True).option("sep", fmt.sep).csv(root)
+    theirs.repartition("source", "date").sortWithinPartitions("source", "date", id_name).write.mode("append").partitionBy("source", "date").option("header", True).option("sep", fmt.sep).csv(root)
 
 
 def file_hashes(spark: SparkSession, root: str) -> DataFrame:
