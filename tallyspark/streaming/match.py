@@ -58,8 +58,8 @@ def match_settlements(auths: DataFrame, settlements: DataFrame, days: int = 15,
 
 
 def categorised(matched: DataFrame, fx: DataFrame, exponents: DataFrame) -> DataFrame:
-    """Matches with rates, expected amount, residual and category, by the same columns as the batch fact."""
-    rows = matched.withColumn("status", F.lit("settled")).join(F.broadcast(exponents), "currency")
+    """Matches with rates, expected amount, residual and category, by the same columns as the batch fact; rows without a settlement (outer matches) are pending and have none of these."""
+    rows = matched.withColumn("status", F.when(F.col("settle_ts").isNotNull(), "settled").otherwise("pending")).join(F.broadcast(exponents), "currency")
     out = with_money(join_fx(rows, fx))
     return out.select("transaction_id", "merchant_id", "psp", "country", "currency", "is_cross_border", "authorized_amount", "settled_amount", "auth_ts", "settle_ts", "expected_settled", "residual", "residual_pct", "residual_usd", "category")
 

@@ -46,3 +46,12 @@ def test_stream_matches_like_the_batch(spark, tmp_path):
     assert got.count() == batch.count()
     assert {r.category: r.rate for r in match.compare_stream_batch(got, batch).collect()}["ALL"] == 1.0
     assert spark.read.json(str(tmp_path / "large")).select("key").distinct().count() == batch.where("category = 'large'").count()
+
+
+def test_outer_matches_without_settlement_are_pending(spark):
+    rows = ledger.projected_ledger(spark, SF)
+    events = match.to_events(rows)
+    auths, settlements = (match.parsed(events.where(F.col("topic") == t), k) for t, k in (("auths", match.AUTHS), ("settlements", match.SETTLEMENTS)))
+    out = match.categorised(match.match_settlements(auths, settlements, how="leftOuter"), ledger.projected_fx(spark), ledger.reference_tables(spark)["exponents"])
+    open_ = out.where("settle_ts is null")
+    assert open_.count() == rows.where("status = 'pending'").count() and open_.where("category is not null").isEmpty() and out.where("category is null and settle_ts is not null").isEmpty()
