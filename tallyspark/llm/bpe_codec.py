@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe_vocab as B
-from .common import batches, slices, table, texts_of
+from .common import batches, give_back, slices, table, texts_of
 
 
 #: Words that a worker remembers in each of two generations, beside those of the batch at hand, their letters, and borders that it remembers; bytes of texts that are coded together.
@@ -134,6 +134,7 @@ class Codec:
         """Drops what is remembered of texts, so that an idle worker holds the vocabulary only."""
         self.words, self.led = Recent(), Recent()
         self.border.clear()
+        give_back()
 
     def learn(self, chunks: set[str], words: set[str]) -> None:
         """Puts what isn't known yet into one trie and remembers the ids; afterwards all given ones are known."""

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts vary from one word to megabytes, so that Arrow batches are kept to few rows and bounded bytes.
-BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 1024, 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,8 +60,21 @@ def slices(items: list, weights: list[int], most: int) -> Iterator[tuple[int, in
         yield start, len(items)
 
 
+@cache
+def _trim():
+    """The C library's call that gives free pages back, where it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def give_back() -> None:
+    """Gives memory that is free in this worker back to the system: workers live through many tasks, and an allocator keeps what it has had at most."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
-    """The texts of a batch; null is the empty text."""
+    """The texts of a batch; null is the empty text. What the batch before has left free is given back first."""
+    give_back()
     return [x or "" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
 

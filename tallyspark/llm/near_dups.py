@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from .common import batches, keep, slices, table, texts_of
+from .common import batches, give_back, keep, slices, table, texts_of
 from .components import components
 from .words import spaced_words
 
@@ -98,6 +98,7 @@ def digest(shingles: np.ndarray) -> bytes:
 @F.arrow_udf(BinaryType())
 def node_of(texts: pa.Array) -> pa.Array:
     """The digest of a text's shingle set, empty without words."""
+    give_back()
     sets = (shingle_set(t or "") for t in texts.to_pylist())
     return pa.array([digest(s) if len(s) else b"" for s in sets], pa.binary())
 
@@ -144,6 +145,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead, lead_set = None, np.zeros(0, np.uint64)
         for batch in rows:
+            give_back()
             a, b = [], []
             leads, nodes, shingles = (batch.column(batch.schema.get_field_index(c)) for c in ("lead", "node", "shingles"))
             for i in range(batch.num_rows):
@@ -232,6 +234,8 @@ def links_within(members: DataFrame, sets: DataFrame, percent: int = PERCENT) ->
     dealt = placed.join(sets, "node")
 
     def run(group: pa.Table) -> pa.Table:
+        if group.nbytes > BLOCK_BYTES // 4:  # small groups leave little
+            give_back()
         group = group.sort_by("node")
         one_block = group.column("low")[0] == group.column("high")[0]
         left = group.column("is_left").to_pylist()

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe_codec import with_columns
-from .common import batches, bucket, keep, table, texts_of
+from .common import batches, bucket, give_back, keep, table, texts_of
 from .words import DIGITS, LOWER, UPPER, alnum_words
 
 #: Default of the labelled rows of each class that the fit takes at most (those of the lowest hash of their id), and opponents of each row.
@@ -51,6 +51,7 @@ def measures(text: str) -> list[float]:
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
 def measured(texts: pa.Array) -> pa.Array:
     """The measures of each text; null counts as empty."""
+    give_back()
     return lists([measures(t or "") for t in texts.to_pylist()])
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from .automata import Format
 from .bpe_codec import with_columns
-from .common import batches, keep, table, texts_of
+from .common import batches, give_back, keep, table, texts_of
 
 #: The base patterns and their order.
 KINDS = ("assign", "access", "hex", "format")
@@ -183,6 +183,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", text: str = "text") -> DataF
 
     @F.arrow_udf(T.StringType())
     def masked(texts: pa.Array) -> pa.Array:
+        give_back()
         return pa.array([None if t is None else without(t, held.value.spans(t)[1], mark) for t in texts.to_pylist()], pa.string())
 
     return docs.withColumn(text, masked(text))
