@@ -1,6 +1,6 @@
 """Centroid clustering over a VA-file: vectors compressed to cells of a few bits a dimension, full vectors fetched only where cells can't decide.
 
-Vectors become integers, so that sums, means and distances are exact. The index holds, for each vector, the cell of each of its components (four
+Vectors become integers, so that sums, means and distances are exact. The index holds, for each vector, the cell of each of its components (six
 bits), its squared length, and the vector itself, which is another column. For each centroid, dimension and cell a table has the least and the
 greatest that a component in that cell adds to  |c|^2 - 2 x.c;  summed up over the dimensions and with |x|^2 they are an interval that holds the
 distance. Where the interval of one centroid lies below all others that centroid is the nearest; otherwise the full vector is fetched and its
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import batches, keep, table
 
-#: Cells of a dimension (four bits), vectors of the lowest hash whose quantiles cut them, greatest component (so that distances fit 64 bits), vectors looked at together.
-CELLS, SAMPLE, GREATEST, STEP = 16, 4096, 1 << 26, 4096
+#: Cells of a dimension (six bits), vectors of the lowest hash whose quantiles make half of the cuts, greatest component (so that distances fit 64 bits), vectors looked at together.
+CELLS, SAMPLE, GREATEST, STEP = 64, 4096, 1 << 26, 4096
 RESULT = "vec_id bigint, cluster int, distance bigint, cluster_inertia bigint, inertia bigint, centroid_sha256 string"
 
 
@@ -60,31 +60,38 @@ def extent(vectors: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r.low for r in rows]), np.array([r.high for r in rows])
 
 
+def cuts_of(cuts: set[int], low: int, high: int) -> list[int]:
+    """CELLS - 1 cuts of the integers from ``low`` to ``high``: the given ones, and halves of the widest cells as long as cells hold more than one integer."""
+    edges = sorted({low, high + 1, *(c for c in cuts if low < c <= high)})
+    while len(edges) <= CELLS:
+        wide, at = max((b - a, a) for a, b in zip(edges, edges[1:], strict=False))
+        if wide < 2:
+            break
+        edges = sorted([*edges, at + wide // 2])
+    return edges[1:-1] + [high + 1] * (CELLS + 1 - len(edges))
+
+
 class Cells:
     """For each dimension the integers at which cells begin, and the least and greatest integer of each cell."""
 
     def __init__(self, sample: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
-        self.cuts = np.sort(np.quantile(sample, np.arange(1, CELLS) / CELLS, axis=0, method="nearest"), axis=0).T.astype(np.int64)
+        quantiles = np.quantile(sample, np.arange(1, CELLS // 2) / (CELLS // 2), axis=0, method="nearest").astype(np.int64)
+        self.cuts = np.array([cuts_of(set(q.tolist()), int(a), int(b)) for q, a, b in zip(quantiles.T, low, high, strict=True)])
         self.low = np.concatenate([low[:, None], np.maximum(self.cuts, low[:, None])], axis=1)
         self.high = np.concatenate([np.minimum(self.cuts - 1, high[:, None]), high[:, None]], axis=1)
 
     def encode(self, x: np.ndarray) -> np.ndarray:
-        """Two cells a byte; a last dimension without a partner has cell 0 beside it."""
-        cell = np.stack([np.searchsorted(c, x[:, i], "right") for i, c in enumerate(self.cuts)], axis=1)
-        cell = np.pad(cell, ((0, 0), (0, cell.shape[1] % 2))).astype(np.uint8)
-        return cell[:, ::2] << 4 | cell[:, 1::2]
+        """The cells of each vector, a byte each."""
+        return np.stack([np.searchsorted(c, x[:, i], "right") for i, c in enumerate(self.cuts)], axis=1).astype(np.uint8)
 
 
 class Tables:
-    """What each byte of cells adds, at least and at most, to the distance from each centroid."""
+    """What each cell of each dimension adds, at least and at most, to the distance from each centroid."""
 
     def __init__(self, cells: Cells, centroids: np.ndarray) -> None:
         self.centroids = centroids
         ends = np.stack([-2 * cells.low[:, :, None] * centroids.T[:, None], -2 * cells.high[:, :, None] * centroids.T[:, None]])
-        sides = [ends.min(axis=0), ends.max(axis=0)]
-        odd = len(centroids[0]) % 2
-        sides = [np.concatenate([s, np.zeros((odd, CELLS, len(centroids)), np.int64)]) for s in sides]
-        self.least, self.most = (np.ascontiguousarray((s[::2, :, None] + s[1::2, None]).reshape(-1, CELLS * CELLS, len(centroids))) for s in sides)
+        self.least, self.most = ends.min(axis=0), ends.max(axis=0)
         self.own = (centroids**2).sum(axis=1)
 
     def intervals(self, codes: np.ndarray, norm: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
