@@ -213,26 +213,44 @@ def with_status(alerts: DataFrame, closed: DataFrame | None = None) -> DataFrame
 
 
 def annotate(alerts: DataFrame, state: DataFrame) -> DataFrame:
-    """Adds muted and acked from a small state table (rule, segment, mute_until, acked_week, as week indexes)."""
-    s = F.broadcast(state)
-    out = alerts.join(s, ["rule", "segment"], "left")
-    return out.withColumns({"muted": F.coalesce(F.col("week_idx") <= F.col("mute_until"), F.lit(False)), "acked": F.coalesce(F.col("acked_week") >= F.col("open_since"), F.lit(False))}).drop("mute_until", "acked_week")
+    """Adds muted and acked from a state table (merchant_id, rule, segment, mute_until, acked_week, as week indexes); of several rows of a key the latest weeks hold.
+
+    A mute holds up to its week and for alerts that could be told only; an acknowledgement for the streak in which it was given, or an earlier one that it outlasts.
+    """
+    key = ["merchant_id", "rule", "segment"]
+    one = state.groupBy(*key).agg(F.max("mute_until").alias("_mute"), F.max("acked_week").alias("_ack"))
+    same = reduce(Column.__and__, (F.col(f"a.{c}").eqNullSafe(F.col(f"s.{c}")) for c in key))
+    out = alerts.drop("muted", "acked").alias("a").join(one.alias("s"), same, "left").select("a.*", "_mute", "_ack")
+    muted = (F.col("status") != "INSUFFICIENT") & (F.col("week_idx") <= F.col("_mute"))
+    return out.withColumns({"muted": F.coalesce(muted, F.lit(False)), "acked": F.coalesce(F.col("_ack") >= F.col("open_since"), F.lit(False))}).drop("_mute", "_ack")
+
+
+def standing_mutes(alerts: DataFrame, after: int = 4, weeks: int = 2) -> DataFrame:
+    """The state that follows from a rule of operation: what has been open for ``after`` weeks is acknowledged then and muted for ``weeks`` weeks."""
+    old = alerts.where(F.col("status").isin("NEW", "ONGOING") & (F.col("week_idx") - F.col("open_since") >= after))
+    first = F.min("week_idx")
+    return old.groupBy("merchant_id", "rule", "segment").agg((first + weeks - 1).alias("mute_until"), first.alias("acked_week"))
 
 
 def notification_plan(alerts: DataFrame) -> DataFrame:
     """What to send and where: a trigger once in each streak as soon as it isn't muted, and a resolve when it ends (unless muted).
 
-    ``alerts`` come from ``evaluate`` and ``annotate``; without a column muted none is. Severities without a channel aren't sent.
+    ``alerts`` come from ``evaluate`` and ``annotate``; without a column muted none is. A streak is a run of weeks in which a key is open, however open_since moves when a PSP-wide alert
+    continues narrower ones; a NEW alert is always sent. Severities without a channel aren't sent.
     """
+    key = ["merchant_id", "rule", "segment"]
     muted = F.coalesce(F.col("muted"), F.lit(False)) if "muted" in alerts.columns else F.lit(False)
     channels = F.create_map(*(x for k, v in CHANNELS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))[F.col("severity")]
-    rows = alerts.withColumn("channels", channels).where(F.col("channels").isNotNull() & (F.col("status") != "INSUFFICIENT") & ~muted)
-    streak = Window.partitionBy("merchant_id", "rule", "segment", "open_since", F.col("status") == "RESOLVED").orderBy("week_idx")
-    rows = rows.withColumn("_nth", F.row_number().over(streak))
+    is_open = F.col("status").isin("NEW", "ONGOING")
+    nth = F.row_number().over(Window.partitionBy(*key, is_open).orderBy("week_idx"))
+    rows = alerts.withColumns({"channels": channels, "_island": F.when(is_open, F.col("week_idx") - nth)})
+    rows = rows.where(F.col("channels").isNotNull() & (F.col("status") != "INSUFFICIENT") & ~muted)
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*key, "_island", F.col("status") == "RESOLVED").orderBy("week_idx")))
     rows = rows.where((F.col("status").isin("RESOLVED", "NEW")) | (F.col("_nth") == 1))
     action = F.when(F.col("status") == "RESOLVED", "resolve").otherwise("trigger")
-    more = [c for c in ("owner", "message", "period") if c in rows.columns]
-    return rows.select("merchant_id", "rule", "segment", "severity", "week_idx", "status", "open_since", action.alias("action"), "channels", F.concat_ws("|", "rule", "segment", F.col("week_idx").cast("string")).alias("dedupe_key"), *more)
+    more = [c for c in ("owner", "message") if c in rows.columns]
+    dedupe = F.concat_ws("|", *key, period())
+    return rows.select(*key, "severity", "week_idx", period().alias("period"), "status", "open_since", action.alias("action"), "channels", dedupe.alias("dedupe_key"), *more)
 
 
 def slack_text(plan: DataFrame) -> DataFrame:
@@ -242,18 +260,32 @@ def slack_text(plan: DataFrame) -> DataFrame:
     return rows.groupBy("merchant_id", "week_idx").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("severity", "rule", "segment", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
 
 
-def history_upsert(alerts: DataFrame, plan: DataFrame, path: str) -> None:
-    """Writes one line for each alert of the given weeks below ``path``; lines that these weeks had before are replaced, other weeks stay."""
-    sent = plan.select("merchant_id", "rule", "segment", "week_idx", "status", F.col("action").alias("sent"))
-    lines = alerts.join(sent, ["merchant_id", "rule", "segment", "week_idx", "status"], "left")
+def history_upsert(alerts: DataFrame, plan: DataFrame, path: str, weeks: list[int] | None = None) -> None:
+    """Writes one line for each alert of the given weeks (of all merchants) below ``path``; lines that these weeks had before are replaced, other weeks stay.
+
+    ``weeks`` are those that were evaluated (if not given, those that ``alerts`` has): a week without any alert loses its old lines as well, and alerts of other weeks aren't written.
+    All weeks change together when the write is done; one that breaks off changes nothing.
+    """
+    key = ["merchant_id", "rule", "segment", "week_idx", "status"]
+    lines = alerts if weeks is None else alerts.where(F.col("week_idx").isin(weeks))
+    sent = plan.select(*key, F.col("action").alias("sent"))
     muted = F.coalesce(F.col("muted"), F.lit(False)) if "muted" in alerts.columns else F.lit(False)
-    out = lines.select("merchant_id", "rule", "segment", "severity", "status", "open_since", muted.alias("muted"), "sent", F.col("week_idx").alias("week"))
+    out = lines.join(sent, key, "left").select("merchant_id", "rule", "segment", "severity", "status", "open_since", muted.alias("muted"), "sent", F.col("week_idx").alias("week"))
+    if weeks:
+        # an empty line stands for a week without alerts, so that its part is replaced like the others
+        spine = alerts.sparkSession.createDataFrame([(w,) for w in sorted(set(weeks))], "week int")
+        out = spine.join(out, "week", "left").select(out.columns)
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("week").parquet(path)
 
 
+def history(spark, path: str) -> DataFrame:
+    """All lines of the history."""
+    return spark.read.parquet(path).where(F.col("rule").isNotNull())
+
+
 def history_before(spark, path: str, week: int) -> DataFrame:
     """Lines of earlier weeks only, in order."""
-    return spark.read.parquet(path).where(F.col("week") < week).orderBy("week", "rule", "segment")
+    return history(spark, path).where(F.col("week") < week).orderBy("week", "rule", "segment")
 
 
 def open_alerts(alerts: DataFrame) -> DataFrame:

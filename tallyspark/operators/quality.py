@@ -182,7 +182,7 @@ def parse_typed(c: str, kind: str) -> tuple[Column, Column]:
 def contract_check(rows: DataFrame, contract: dict[str, dict], file: str = "file", line: str = "line") -> DataFrame:
     """(file, column, problem, n, lines): faults of text rows by file; lines are the first five. A file with any fault is bad as a whole.
 
-    contract: column -> {type, nullable, enum, min, max}. Missing columns and banned ones (whatever their case) are reported with n null.
+    contract: column -> {type, nullable, enum, min, max, same_as}. Missing columns and banned ones (whatever their case) are reported with n null.
     """
     found = {c.lower(): c for c in rows.columns}
     faults = []
@@ -199,6 +199,8 @@ def contract_check(rows: DataFrame, contract: dict[str, dict], file: str = "file
             tests["min"] = typed < rule["min"]
         if "max" in rule:
             tests["max"] = typed > rule["max"]
+        if rule.get("same_as") in rows.columns:  # such as the source that a file's folder names
+            tests["same_as"] = F.nullif(F.trim(F.col(name)), F.lit("")) != F.col(rule["same_as"])
         faults += [F.when(F.coalesce(t, F.lit(False)), F.struct(F.lit(name).alias("column"), F.lit(k).alias("problem"))) for k, t in tests.items()]
     each = rows.select(file, line, F.explode(F.filter(F.array(*faults), lambda x: x.isNotNull())).alias("f")).select(file, line, "f.*")
     # only the least five lines of a group are carried, however many there are
@@ -216,18 +218,22 @@ def redact(df: DataFrame) -> DataFrame:
     return df.drop(*(c for c in df.columns if c.lower() in BANNED_FIELDS))
 
 
-def densified(daily: DataFrame, by: str, day: str = "day", n: str = "n") -> DataFrame:
-    """Every day of the whole range for every key; missing days count zero."""
-    ends = daily.agg(F.min(day).alias("a"), F.max(day).alias("z"))
-    spine = daily.select(by).distinct().crossJoin(F.broadcast(ends)).select(by, F.explode(F.sequence("a", "z")).alias(day))
+def densified(daily: DataFrame, by: str, day: str = "day", n: str = "n", upto: str | None = None) -> DataFrame:
+    """Every day for every key, missing days count zero: of the whole table's range, or with ``upto`` from the key's own first day up to that one."""
+    if upto is None:
+        ends = daily.agg(F.min(day).alias("a"), F.max(day).alias("z"))
+        spine = daily.select(by).distinct().crossJoin(F.broadcast(ends)).select(by, F.explode(F.sequence("a", "z")).alias(day))
+    else:
+        firsts = daily.where(F.col(day) <= F.lit(upto).cast("date")).groupBy(by).agg(F.min(day).alias("a"))
+        spine = firsts.select(by, F.explode(F.sequence("a", F.lit(upto).cast("date"))).alias(day))
     return spine.join(daily, [by, day], "left").na.fill(0, [n])
 
 
-def volume_flags(daily: DataFrame, by: str, day: str = "day", n: str = "n", window: int = 7, warm_up: int = 15, off: float = 0.5) -> DataFrame:
-    """Days whose volume is off the median of the seven days before; the first days aren't checked."""
+def volume_flags(daily: DataFrame, by: str, day: str = "day", n: str = "n", window: int = 7, warm_up: int = 15, off: float = 0.5, upto: str | None = None) -> DataFrame:
+    """Days whose volume is off the median of the seven days before; the first days aren't checked. For ``upto`` see ``densified``."""
     order = Window.partitionBy(by).orderBy(day)
     held = F.array_sort(F.collect_list(n).over(order.rowsBetween(-window, -1)))
-    out = densified(daily, by, day, n).withColumns({"_l": held, "_i": F.row_number().over(order)})
+    out = densified(daily, by, day, n, upto).withColumns({"_l": held, "_i": F.row_number().over(order)})
     usual = F.when(F.size("_l") == window, F.try_element_at("_l", F.lit(window // 2 + 1)))
     out = out.withColumn("usual", usual)
     flagged = (F.col("_i") > warm_up) & (F.col("usual") > 0) & (F.abs(F.try_divide(n, "usual") - 1) > off)

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 from math import erfc, exp, isfinite, lgamma, sqrt
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -146,38 +147,71 @@ def lag_tests(fct: DataFrame, late_days: float = 7.0) -> DataFrame:
     return shares.where("n > 0 and peer_n > 0").join(tests.select("merchant_id", "country", "u", "p"), ["merchant_id", "country"])
 
 
+#: The model: two factors with their interaction, two factors, two flags.
+CROSSED, FACTORS, FLAGS = ("psp", "country"), ("amount_tier", "lag_bucket"), ("is_cross_border", "is_weekend")
+GLM = "merchant_id string, term string, odds_ratio double, ci_low double, ci_high double, p double, dropped array<string>"
+
+
+def glm_design(cells: pd.DataFrame) -> tuple[list[str], np.ndarray]:
+    """Names of the terms and their columns: an intercept, each factor's levels but the first, their products for the crossed ones, the flags."""
+    coded: dict[str, dict[str, np.ndarray]] = {}
+    for f in (*CROSSED, *FACTORS):
+        levels = sorted(set(cells[f]))
+        coded[f] = {f"C({f})[T.{x}]": (cells[f] == x).to_numpy(float) for x in levels[1:]}
+    a, b = (coded[f] for f in CROSSED)
+    columns = {"Intercept": np.ones(len(cells))} | a | b | coded[FACTORS[0]] | coded[FACTORS[1]] | {f"{x}:{y}": u * v for x, u in a.items() for y, v in b.items()} | {f: cells[f].to_numpy(float) for f in FLAGS}
+    return list(columns), np.column_stack(list(columns.values()))
+
+
+def logistic(x: np.ndarray, k: np.ndarray, n: np.ndarray, most: int = 100, close: float = 1e-8) -> tuple[np.ndarray, np.ndarray] | None:
+    """Coefficients and standard errors of k of n by iteratively reweighted least squares; None if it doesn't settle or every row is predicted perfectly.
+
+    Columns that hang together share the effect (the solution of least norm); the errors are those of the generalised inverse.
+    """
+    y = k / n
+    mu, before = (y * n + 0.5) / (n + 1), np.inf
+    for _ in range(most):
+        weight = np.maximum(n * mu * (1 - mu), 1e-300)
+        linear = np.log(mu / (1 - mu)) + n * (y - mu) / weight
+        inverse = np.linalg.pinv(x.T @ (x * weight[:, None]), hermitian=True)
+        beta = inverse @ (x.T @ (weight * linear))
+        mu = np.clip(1 / (1 + np.exp(-np.clip(x @ beta, -700, 700))), 1e-12, 1 - 1e-12)
+        deviance = -2 * float((k * np.log(mu) + (n - k) * np.log(1 - mu)).sum())
+        if abs(y - mu).max() < 1e-10:
+            return None
+        if abs(deviance - before) < close:
+            weight = n * mu * (1 - mu)
+            return beta, np.sqrt(np.maximum(np.diag(np.linalg.pinv(x.T @ (x * weight[:, None]), hermitian=True)), 0.0))
+        before = deviance
+    return None
+
+
+def fit_cells(cells: pd.DataFrame, min_cell: int) -> pd.DataFrame:
+    """Odds ratios of one merchant's counted cells. If the fit fails, the rows of psp x country cells with under ``min_cell`` rows are dropped and it is made once more; no rows if that fails as well."""
+    cells = cells.dropna(subset=[*CROSSED, *FACTORS, *FLAGS])
+    sizes = cells.groupby([*CROSSED])["n"].transform("sum")
+    small = cells[sizes < min_cell]
+    dropped = sorted({f"{p}|{c}" for p, c in zip(small["psp"], small["country"], strict=True)})
+    for rows, gone in ((cells, []), (cells[sizes >= min_cell], dropped)):
+        if len(rows):
+            names, x = glm_design(rows)
+            found = logistic(x, rows["k"].to_numpy(float), rows["n"].to_numpy(float))
+            if found is not None:
+                beta, error = found
+                with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+                    z = np.abs(beta) / error
+                    odds, low, high = np.exp(beta), np.exp(beta - X.Z95 * error), np.exp(beta + X.Z95 * error)
+                p = [erfc(v / sqrt(2)) if isfinite(v) else float("nan") if np.isnan(v) else 0.0 for v in z]
+                return pd.DataFrame({"merchant_id": cells["merchant_id"].iloc[0], "term": names, "odds_ratio": odds, "ci_low": low, "ci_high": high, "p": p, "dropped": [gone] * len(names)})
+    return pd.DataFrame(columns=[c.split()[0] for c in GLM.split(", ")])
+
+
 def fit_glm(fct: DataFrame, min_cell: int = 200) -> DataFrame:
-    """Odds ratios of being flagged, by merchant: tier, border, weekend, lag bucket, and psp x country (those with enough rows), fitted to grouped cells.
+    """``GLM``: odds ratios of being flagged, of all merchants at once: psp, country, both together, tier, lag bucket, border, weekend.
 
-    If the fit fails or has no finite errors it is repeated without psp x country.
+    Rows are counted by the values of the terms; a merchant's cells (a few thousand at most, whatever its rows) meet in one task, which fits them (see ``fit_cells``).
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GeneralizedLinearRegression
-
-    keys = ["psp", "country", "amount_tier", "is_cross_border", "is_weekend", "lag_bucket"]
-    cells = marts.settled(fct).groupBy("merchant_id", *keys).agg(F.count("*").cast("double").alias("n"), F.count_if("is_meaningful").alias("k")).persist()  # at most a few thousand rows for each merchant
-    fixed = {f"tier={x}": F.col("amount_tier") == x for x in ("50-200", "200+")} | {"cross_border": F.col("is_cross_border"), "weekend": F.col("is_weekend")}
-    fixed |= {f"lag={x}": F.coalesce(F.col("lag_bucket") == x, F.lit(False)) for x in ("2-3", "4-5", "6-7", "8+")}
-
-    def fit(rows: DataFrame, dummies: dict[str, Column]) -> list[tuple[str, float, float, float, float]]:
-        names = [f"x{i}" for i in range(len(dummies))]
-        made = rows.select("n", (F.col("k") / F.col("n")).alias("y"), *(c.cast("double").alias(n) for n, c in zip(names, dummies.values(), strict=True)))
-        model = GeneralizedLinearRegression(family="binomial", labelCol="y", weightCol="n", regParam=0.0).fit(VectorAssembler(inputCols=names, outputCol="features").transform(made))
-        errors, z = model.summary.coefficientStandardErrors, X.Z95
-        out = [(d, exp(float(b)), exp(float(b) - z * e), exp(float(b) + z * e), float(p)) for d, b, e, p in zip(dummies, model.coefficients, errors, model.summary.pValues, strict=False)]
-        if not all(isfinite(x) for row in out for x in row[1:]):
-            raise ArithmeticError("the fit has no finite errors")
-        return out
-
-    found = []
-    for merchant in [r[0] for r in cells.select("merchant_id").distinct().orderBy("merchant_id").collect()]:
-        own = cells.where(F.col("merchant_id").eqNullSafe(F.lit(merchant)))
-        sizes = own.groupBy("psp", "country").agg(F.sum("n").alias("m")).where(F.col("m") >= min_cell).orderBy("psp", "country").collect()  # one row for each psp and country
-        large = {f"psp_country={r.psp}|{r.country}": (F.col("psp") == r.psp) & (F.col("country") == r.country) for r in sizes[1:]}
-        try:
-            terms = fit(own, fixed | large)
-        except Exception:  # a singular system comes as an error of the solver
-            terms = fit(own, fixed)
-        found += [(merchant, *t) for t in terms]
-    cells.unpersist()
-    return fct.sparkSession.createDataFrame(found, "merchant_id string, term string, odds_ratio double, ci_low double, ci_high double, p double")
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)).cast("int").alias(c)
+    rows = marts.settled(fct).select("merchant_id", *CROSSED, *FACTORS, *map(flag, FLAGS), F.coalesce("is_meaningful", F.lit(False)).alias("hit"))
+    cells = rows.groupBy("merchant_id", *CROSSED, *FACTORS, *FLAGS).agg(F.count("*").alias("n"), F.count_if("hit").alias("k"))
+    return cells.groupBy("merchant_id").applyInPandas(lambda group: fit_cells(group, min_cell), GLM)

@@ -109,6 +109,12 @@ def all_alerts(f: DataFrame) -> DataFrame:
     return alerts.evaluate(alerts.alert_frame(f), alerts.last_closed(f))
 
 
+def notifications(f: DataFrame) -> DataFrame:
+    """What is sent when alerts that have stood for four weeks are muted for two."""
+    told = all_alerts(f)
+    return alerts.notification_plan(alerts.annotate(told, alerts.standing_mutes(told)))
+
+
 def drop_merchant(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
     return lambda fct: f(fct).drop("merchant_id")
 
@@ -148,7 +154,7 @@ QUERIES: dict[str, Query] = {
     "pending_aging": of_frame(lambda a: alerts.pending_aging_rule(a).select("segment", "severity", "n", "value")),
     "settle_lag": of_frame(lambda a: alerts.settle_lag_rule(a).select("week_idx", "segment", "n", "severity")),
     "alerts": of_fact(all_alerts),
-    "notifications": of_fact(lambda f: alerts.notification_plan(all_alerts(f))),
+    "notifications": of_fact(notifications),
     "money_lines": of_frame(lambda a: alerts.money_lines(a).drop("merchant_id")),
     "all_tests": of_fact(questions.all_tests),
     "test_counts": of_fact(lambda f: questions.all_tests(f).select("question", "segment_type", "segment_value", "n", "n_flagged", "peer_n", "peer_flagged").where("segment_value <> 'spearman'")),

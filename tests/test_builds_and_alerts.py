@@ -2,10 +2,13 @@
 
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyspark.functions import columns as X
 from tallyspark.operators import alerts, findings, marts, quality, questions, stats
 from tallyspark.plans import publish
 from tallyspark.plans.fact import build_fact, projected_fact
@@ -61,17 +64,18 @@ def test_landing_to_staged_and_back(spark, tmp_path):
     ingest.land(rows, landing)  # the fixed delivery
     assert {r.status for r in ingest.load_landing(spark, landing, root).collect()} == {"staged"}
     assert staged().exceptAll(rows).isEmpty() and rows.exceptAll(staged()).isEmpty()
-    with pytest.raises(Exception, match="PATH_NOT_FOUND|UNABLE_TO_INFER|path"):
-        assert spark.read.parquet(f"{root}/quarantine/rows").isEmpty()
-        raise Exception("path")
-    manifest = spark.read.schema(ingest.MANIFEST).json(f"{root}/manifest")
-    report = ingest.ingest_report(ingest.read_files(spark, landing), manifest.where("status = 'staged'"), [f"PSP_{x}" for x in "ABCDE"], most_days=400)
-    assert [r.check_name for r in report.orderBy("nth").collect()] == ["freshness", "volume", "columns", "quarantine", "overall"]
-    with pytest.raises(ValueError, match="freshness"):
-        ingest.ingest_report(ingest.read_files(spark, landing), manifest, ["PSP_X"])
+    assert not list((tmp_path / "lake" / "quarantine").rglob("*.parquet"))
+    state = ingest.latest(ingest.read_manifest(spark, root))
+    report = ingest.ingest_report(state, [f"PSP_{x}" for x in "ABCDE"], most_days=400)
+    assert [r.check_name for r in report.orderBy("nth").select("nth", "check_name").distinct().orderBy("nth").collect()] == ["freshness", "volume", "columns", "quarantine", "overall"]
+    assert {r.source for r in report.where("check_name = 'freshness'").collect()} == {f"PSP_{x}" for x in "ABCDE"}
+    with pytest.raises(ValueError, match="freshness PSP_X"):
+        ingest.ingest_report(state, ["PSP_X"])
     staged_fact = build_fact(ledger.stage_transactions(rows), ledger.projected_fx(spark), ledger.reference_tables(spark)).persist()
     build = lambda r: build_fact(r, ledger.projected_fx(spark), ledger.reference_tables(spark))
-    replayed = ingest.replay_range(spark, landing, root, "2026-04-01", "2026-07-31", "2026-07-31", build, staged_fact.limit(60))
+    with pytest.raises(ValueError, match="freshness"):  # nothing has come for days: no rebuild
+        ingest.replay_range(spark, landing, root, "2026-04-01", "2027-07-31", "2026-07-31", build, staged_fact.limit(60))
+    replayed = ingest.replay_range(spark, landing, root, "2026-04-01", "2026-07-31", "2026-07-31", build, staged_fact.limit(60), most_days=400)
     assert replayed.select("transaction_id", "category").exceptAll(staged_fact.select("transaction_id", "category")).isEmpty() and replayed.count() == staged_fact.count()
 
 
@@ -105,7 +109,7 @@ def test_states_of_alerts(spark, tmp_path):
         ("B|CO", 2): ("NEW", 2), ("B|ALL", 3): ("ONGOING", 2), ("B|ALL", 4): ("ONGOING", 3), ("B|ALL", 5): ("RESOLVED", 3), ("ALL", 5): ("INSUFFICIENT", None), ("C|AR", 7): ("NEW", 7),
     }
     told = alerts.described(alerts.with_status(df, closed).withColumn("details", F.lit(None).cast("string")))
-    state = spark.createDataFrame([("peer", "A|MX", 2, None)], "rule string, segment string, mute_until int, acked_week int")
+    state = spark.createDataFrame([("m", "peer", "A|MX", 1, None), ("m", "peer", "A|MX", 2, None), ("other", "peer", "A|MX", 9, None)], "merchant_id string, rule string, segment string, mute_until int, acked_week int")
     plan = alerts.notification_plan(alerts.annotate(told, state))
     sent = {(r.segment, r.week_idx): (r.action, r.channels, r.owner) for r in plan.collect()}
     assert sent[("A|MX", 3)] == ("trigger", ["outbox", "slack"], "PSP ops") and ("A|MX", 1) not in sent and sent[("A|MX", 4)][0] == "resolve" and ("ALL", 5) not in sent
@@ -118,6 +122,108 @@ def test_states_of_alerts(spark, tmp_path):
     assert alerts.open_alerts(told).count() == 8 and alerts.insufficient(told).count() == 1
 
 
+def test_one_trigger_a_streak_though_open_since_moves(spark):
+    rows = [alert(2, "B|CO", psp="B"), *(alert(w, "B|ALL", psp="B") for w in (3, 4, 5, 7)), *(("other", *alert(w, "B|ALL", psp="B")[1:]) for w in (4, 5))]
+    df = spark.createDataFrame(rows, "merchant_id string, rule string, severity string, week_idx int, segment string, psp string, country string, n bigint, value double, threshold double")
+    told = alerts.with_status(df, spark.createDataFrame([(8,)], "closed int"))
+    sent = sorted((r.merchant_id, r.segment, r.week_idx, r.action) for r in alerts.notification_plan(told).collect())
+    assert sent == [("m", "B|ALL", 3, "trigger"), ("m", "B|ALL", 6, "resolve"), ("m", "B|ALL", 7, "trigger"), ("m", "B|ALL", 8, "resolve"), ("m", "B|CO", 2, "trigger"), ("other", "B|ALL", 4, "trigger"), ("other", "B|ALL", 6, "resolve")]
+    assert {r.dedupe_key for r in alerts.notification_plan(told).where("week_idx = 4").collect()} == {"other|peer|B|ALL|1970-W06"}
+    state = spark.createDataFrame([("m", "peer", "B|ALL", 4, 3), ("m", "peer", "B|CO", None, 1)], "merchant_id string, rule string, segment string, mute_until int, acked_week int")
+    marked = alerts.annotate(told, state)
+    assert marked.count() == told.count()
+    sent = sorted((r.merchant_id, r.week_idx, r.action) for r in alerts.notification_plan(marked).where("segment = 'B|ALL'").collect())
+    assert sent == [("m", 5, "trigger"), ("m", 6, "resolve"), ("m", 7, "trigger"), ("m", 8, "resolve"), ("other", 4, "trigger"), ("other", 6, "resolve")]
+    assert {(r.segment, r.week_idx) for r in marked.where("acked").collect()} == {("B|ALL", w) for w in (3, 4, 5, 6)}
+
+
+def test_history_of_empty_weeks_and_broken_writes(spark, tmp_path):
+    rows = [alert(w, "A|MX", psp="A") for w in (1, 2, 3)]
+    df = spark.createDataFrame(rows, "merchant_id string, rule string, severity string, week_idx int, segment string, psp string, country string, n bigint, value double, threshold double")
+    told = alerts.with_status(df, spark.createDataFrame([(3,)], "closed int"))
+    plan, path = alerts.notification_plan(told), str(tmp_path / "history")
+    weeks = lambda: [r.week for r in alerts.history(spark, path).orderBy("week").collect()]
+    alerts.history_upsert(told, plan, path, [1, 2, 3, 4])
+    assert weeks() == [1, 2, 3] and [r.week for r in alerts.history_before(spark, path, 3).collect()] == [1, 2]
+    alerts.history_upsert(told.where("false"), plan, path, [2])
+    assert weeks() == [1, 3]
+    broken = told.withColumn("severity", F.when(F.col("week_idx") == 3, F.raise_error(F.lit("lost"))).otherwise(F.col("severity")))
+    with pytest.raises(Exception, match="lost"):
+        alerts.history_upsert(broken, plan, path, [1, 2, 3])
+    assert weeks() == [1, 3]
+    alerts.history_upsert(told, plan, path, [2])
+    assert weeks() == [1, 2, 3] and {r.week: r.sent for r in alerts.history(spark, path).collect()} == {1: "trigger", 2: None, 3: None}
+
+
+def newton(rows: list[dict], names: list[str]) -> np.ndarray:
+    """Plain logistic regression of single rows, by the terms' names."""
+
+    def value(row: dict, term: str) -> float:
+        out = 1.0
+        for part in term.split(":"):
+            if part == "Intercept":
+                continue
+            if part.startswith("C("):
+                factor, level = part[2:].split(")[T.")
+                out *= row[factor] == level[:-1]
+            else:
+                out *= row[part]
+        return float(out)
+
+    x = np.array([[value(r, t) for t in names] for r in rows])
+    y = np.array([float(r["is_meaningful"]) for r in rows])
+    beta = np.zeros(x.shape[1])
+    for _ in range(60):
+        mu = 1 / (1 + np.exp(-x @ beta))
+        beta = beta + np.linalg.lstsq(x.T @ (x * (mu * (1 - mu))[:, None]), x.T @ (y - mu), rcond=None)[0]
+    mu = 1 / (1 + np.exp(-x @ beta))
+    return beta, np.sqrt(np.diag(np.linalg.inv(x.T @ (x * (mu * (1 - mu))[:, None]))))
+
+
+def glm_rows(merchant: str, n: int, seed: int) -> list[dict]:
+    rng = np.random.default_rng(seed)
+    pick = lambda values: str(values[int(rng.integers(len(values)))])
+    rows = [{"merchant_id": merchant, "status": "settled", "psp": pick(["A", "B", "C"]), "country": pick(["MX", "CO"]), "amount_tier": pick(["0-50", "200+"]), "lag_bucket": pick(["0-1", "2-3", "8+"]), "is_cross_border": bool(rng.integers(2)), "is_weekend": bool(rng.integers(2))} for _ in range(n)]
+    for r in rows:
+        odds = -1 + (r["psp"] == "B") - 0.7 * (r["country"] == "MX") * (r["psp"] == "C") + 0.5 * r["is_weekend"] + 0.8 * (r["lag_bucket"] == "8+")
+        r["is_meaningful"] = bool(rng.random() < 1 / (1 + math.exp(-odds)))
+    return rows
+
+
+def test_regressions_of_all_merchants_equal_a_plain_fit(spark):
+    rows = {m: glm_rows(m, 1200, i) for i, m in enumerate(("one", "two"))}
+    small = [{**r, "merchant_id": "flat", "is_meaningful": False} for r in rows["one"][:50]]
+    kind = "merchant_id string, status string, psp string, country string, amount_tier string, lag_bucket string, is_cross_border boolean, is_weekend boolean, is_meaningful boolean"
+    df = spark.createDataFrame([tuple(r[c.split()[0]] for c in kind.split(", ")) for r in [*rows["one"], *rows["two"], *small]], kind)
+    got = stats.fit_glm(df).collect()
+    assert {r.merchant_id for r in got} == {"one", "two"}  # where nothing is flagged there is nothing to fit
+    for m in rows:
+        own = {r.term: r for r in got if r.merchant_id == m}
+        assert len(own) == 11 and "C(psp)[T.C]:C(country)[T.MX]" in own and all(r.dropped == [] for r in own.values())
+        beta, error = newton(rows[m], list(own))
+        for r, b, e in zip(own.values(), beta, error, strict=True):
+            assert math.isclose(math.log(r.odds_ratio), b, abs_tol=1e-6) and math.isclose(math.log(r.ci_high), b + X.Z95 * e, abs_tol=1e-5)
+            assert math.isclose(r.p, math.erfc(abs(b / e) / math.sqrt(2)), rel_tol=1e-4, abs_tol=1e-12)
+
+
+def test_a_failed_regression_drops_small_cells_once(monkeypatch):
+    cells = pd.DataFrame(glm_rows("one", 2000, 5))
+    cells.loc[cells.index[:1500], "psp"] = "A"
+    keys = ["merchant_id", *stats.CROSSED, *stats.FACTORS, *stats.FLAGS]
+    counted = cells.groupby(keys, as_index=False).agg(n=("is_meaningful", "size"), k=("is_meaningful", "sum"))
+    plain, calls = stats.logistic, []
+    monkeypatch.setattr(stats, "logistic", lambda *a: calls.append(a) or (None if len(calls) == 1 else plain(*a)))
+    again = stats.fit_cells(counted, 200)
+    sizes = counted.groupby(["psp", "country"])["n"].sum()
+    assert sorted(again["dropped"].iloc[0]) == sorted(f"{p}|{c}" for (p, c), n in sizes.items() if n < 200) != []
+    kept = cells[[sizes[(p, c)] >= 200 for p, c in zip(cells["psp"], cells["country"], strict=True)]]
+    x = {t: o for t, o in zip(again["term"], again["odds_ratio"], strict=True)}
+    names = [t for t in x if not t.startswith("C(psp)")]
+    assert np.allclose([math.log(x[t]) for t in names], newton(kept.to_dict("records"), names)[0], atol=1e-6)
+    monkeypatch.setattr(stats, "logistic", lambda *a: None)
+    assert stats.fit_cells(counted, 200).empty
+
+
 def test_alerts_stop_at_the_last_closed_week(spark):
     f = projected_fact(spark, SF)
     closed = alerts.last_closed(f).first().closed
