@@ -11,6 +11,7 @@ from pyspark.sql.types import DoubleType
 
 from ..config import DEFAULTS, Thresholds
 from ..functions import columns as X
+from ..plans.store import stored
 from . import marts, stats
 
 #: What every row of a test table has, beside merchant_id; what a test doesn't know is null.
@@ -57,56 +58,96 @@ def peers(mart: DataFrame, kind: str) -> DataFrame:
     return stats.compare_to_peers(rows, ["merchant_id", "segment_type"], group)
 
 
-def keyed(tests: DataFrame, causes: DataFrame, key: str) -> DataFrame:
-    """The row of the value 'true' becomes a candidate of that key, with its commonest cause."""
-    hit = F.col("segment_value") == "true"
-    top = causes.where("flag").select("merchant_id", F.col("top_cause").alias("_cause"))
-    return tests.join(F.broadcast(top), "merchant_id", "left").withColumns({"key": F.when(hit, key), "kind": F.when(hit, key), "likely_cause": F.when(hit, F.col("_cause"))})
+#: Segments of the mart that the tests compare.
+TESTED = ("country", "currency", "psp_country", "amount_tier", "is_weekend", "lag_bucket", "cross_border")
+
+
+def count_cube(fct: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
+    """(merchant_id, kind, a, b, cause, inside, n, n_flagged, loss, median_loss): every count behind the tests but those of the mart and the correlation, from one scan.
+
+    Each settled row goes to one cell of each kind: two groups (inside or not) of orders by items, by risk, by lag, of flags by lag, of fees by month, the causes of
+    PSPs, of flagged rows by psp and country, weekend and border, and the lags themselves by country.
+    """
+    hit, big = F.coalesce("is_meaningful", F.lit(False)), F.coalesce("is_over_300", F.lit(False))
+    yes, no = F.lit(True), F.lit(None).cast("string")
+    sure = lambda c: F.coalesce(c, F.lit(False))
+
+    def cell(kind: str, a: Column = no, b: Column = no, cause: Column = no, inside: Column = yes, flag: Column = yes) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), a.cast("string").alias("a"), b.cast("string").alias("b"), cause.alias("cause"), inside.alias("inside"), flag.alias("flag"))
+
+    cause, lag = F.col("likely_cause"), F.col("settle_lag_days")
+    cells = [
+        cell("partial_capture", inside=sure(F.col("item_count") >= 2), flag=hit), cell("fraud_hold", inside=sure(F.col("risk_score") >= t.high_risk_score), flag=hit),
+        cell("lag_late", F.col("country"), inside=big, flag=sure(lag > t.lag_outlier_days)), cell("lag_money", F.col("country"), inside=big, flag=hit),
+        cell("fee_drift", F.col("psp"), F.col("auth_month"), flag=sure(cause == "psp_fee")), cell("cause_psp", F.col("psp"), cause=cause),
+        F.when(hit, cell("causes", F.col("psp"), F.col("country"), cause)), F.when(hit, cell("weekend_causes", F.col("is_weekend"), cause=cause)), F.when(hit, cell("border_causes", F.col("is_cross_border"), cause=cause)),
+        F.when(lag.isNotNull(), cell("lag_value", F.col("country"), lag, inside=big)),
+    ]
+    rows = marts.settled(fct).select("merchant_id", F.col("residual_usd").alias("usd"), F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull())).alias("c"))
+    loss = F.when(F.col("c.flag") & ~F.col("c.kind").isin("causes", "weekend_causes", "border_causes", "lag_value"), -F.col("usd"))
+    return rows.groupBy("merchant_id", "c.kind", "c.a", "c.b", "c.cause", "c.inside").agg(F.count("*").alias("n"), F.count_if("c.flag").alias("n_flagged"), F.sum(loss).alias("loss"), F.count(loss).alias("n_loss"), F.median(loss).alias("median_loss"))
+
+
+def two_sides(cells: DataFrame, by: list[str]) -> DataFrame:
+    """Cells inside against those outside, by merchant and ``by``, tested; groups where either side is empty give no row."""
+    inside = F.col("inside")
+    side = lambda c, cond: F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0))
+    counts = cells.groupBy("merchant_id", *by).agg(
+        side("n", inside).alias("n"), side("n_flagged", inside).alias("n_flagged"), side("n", ~inside).alias("peer_n"), side("n_flagged", ~inside).alias("peer_flagged"),
+        F.coalesce(F.try_divide(F.sum(F.when(inside, F.col("loss"))), F.sum(F.when(inside, F.col("n_loss")))), F.lit(0.0)).alias("mean_loss_usd"), F.coalesce(F.max(F.when(inside, F.col("median_loss"))), F.lit(0.0)).alias("median_loss_usd"),
+    )
+    return tested(counts.where("n > 0 and peer_n > 0"))
 
 
-def geography(mart: DataFrame) -> DataFrame:
-    """Q1: countries and currencies."""
-    return shaped(peers(mart, "country").unionByName(peers(mart, "currency")), "Q1", metric="flag rate")
+def of_kind(cube: DataFrame, kind: str) -> DataFrame:
+    return cube.where(F.col("kind") == kind).drop("kind")
 
 
-def psp_country(mart: DataFrame, fct: DataFrame) -> DataFrame:
-    """Q2: a PSP against the other PSPs of the country."""
-    part = lambda i: F.split_part("segment_value", F.lit("|"), F.lit(i))
-    rows = peers(mart, "psp_country").withColumns({"psp": part(1), "country": part(2)})
-    top = marts.top_causes(fct, ["merchant_id", "psp", "country"])
-    rows = rows.join(top, ["merchant_id", "psp", "country"], "left")
-    return shaped(rows, "Q2", kind="peer", key=F.lower(F.concat_ws("_", "psp", "country", F.lit("peer"))), likely_cause=F.col("top_cause"), metric="flag rate")
+def commonest(cells: DataFrame, by: list[str]) -> DataFrame:
+    """The commonest cause by merchant and ``by``; ties go to the first name."""
+    first = Window.partitionBy("merchant_id", *by).orderBy(F.desc("n"), "cause")
+    return cells.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("merchant_id", *by, F.col("cause").alias("top_cause"))
 
 
-def size(mart: DataFrame, fct: DataFrame) -> DataFrame:
-    """Q3: amount tiers, and the rank correlation of the residual's size with the amount on rows that aren't exact."""
+def segments_tested(mart: DataFrame, cube: DataFrame) -> DataFrame:
+    """Q1 countries and currencies, Q2 a PSP against the others of the country, Q3 amount tiers, Q4 weekends and lag buckets, Q6 orders across a border: all segments of the mart in one plan."""
+    kind = F.col("segment_type")
+    group = F.when(kind == "psp_country", F.split_part("segment_value", F.lit("|"), F.lit(2)))
+    rows = stats.compare_to_peers(mart.where(kind.isin(*TESTED)), ["merchant_id", "segment_type"], group)
+    both, cell = kind == "psp_country", lambda i: F.when(kind == "psp_country", F.split_part("segment_value", F.lit("|"), F.lit(i)))
+    rows = rows.withColumns({"psp": cell(1), "country": cell(2)})
+    tops = commonest(of_kind(cube, "causes"), ["a", "b"]).select("merchant_id", F.concat_ws("|", "a", "b").alias("segment_value"), F.lit("psp_country").alias("segment_type"), "top_cause")
+    for name, causes in (("is_weekend", "weekend_causes"), ("cross_border", "border_causes")):
+        top = commonest(of_kind(cube, causes).where("a = 'true'"), [])
+        tops = tops.unionByName(top.select("merchant_id", F.lit("true").alias("segment_value"), F.lit(name).alias("segment_type"), "top_cause"))
+    rows = rows.join(tops, ["merchant_id", "segment_type", "segment_value"], "left")
+    hit = F.col("segment_value") == "true"
+    key = F.when(both, F.lower(F.concat_ws("_", "psp", "country", F.lit("peer")))).when(hit & (kind == "is_weekend"), "weekend").when(hit & (kind == "cross_border"), "cross_border")
+    what = F.when(both, "peer").when(key.isNotNull(), key)
+    number = F.when(kind.isin("country", "currency"), "Q1").when(both, "Q2").when(kind == "amount_tier", "Q3").when(kind.isin("is_weekend", "lag_bucket"), "Q4").otherwise("Q6")
+    return shaped(rows, "Q", key=key, kind=what, likely_cause=F.col("top_cause"), metric="flag rate").withColumn("question", number)
+
+
+def size(fct: DataFrame) -> DataFrame:
+    """Q3: the rank correlation of the residual's size with the amount on rows that aren't exact. Its counted rows are stored: ranks look at them several times."""
     odd = marts.settled(fct).where("category <> 'exact'").withColumn("size", F.abs("residual_pct"))
-    rho = stats.spearman(odd, "amount_usd", "size", ["merchant_id"])
-    one = shaped(rho, "Q3", segment_type="size_vs_magnitude", segment_value="spearman", n=F.col("n_rows"), metric="spearman rho", rate=F.col("rho"), p=correlation_p("rho", "n_rows"))
-    return shaped(peers(mart, "amount_tier"), "Q3", metric="flag rate").unionByName(one)
-
-
-def lags(fct: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    """By country: are orders over 300 USD late more often? p is that of the rank test of lags, money that of the flag rate."""
-    rows, big = marts.settled(fct), F.col("is_over_300")
-    by = ["merchant_id", "country"]
-    late = two_group(rows, big, F.col("settle_lag_days") > t.lag_outlier_days, by).drop("p", "excess_usd", "mean_loss_usd", "median_loss_usd")
-    money = two_group(rows, big, by=by).select(*by, "excess_usd", "mean_loss_usd", "median_loss_usd")
-    ranks = stats.mann_whitney(rows, "settle_lag_days", big, by).select(*by, "p")
-    out = late.join(money, by).join(ranks, by)
-    return shaped(out, "Q4", segment_type="lag_over_300", segment_value=F.concat("country", F.lit("|over_300")), key=F.concat(F.lower("country"), F.lit("_over_300_lag")), kind="lag", metric="late share", usd_note="delay, not loss")
+    rho = stats.spearman(odd, "amount_usd", "size", ["merchant_id"], once=True)
+    return shaped(rho, "Q3", segment_type="size_vs_magnitude", segment_value="spearman", n=F.col("n_rows"), metric="spearman rho", rate=F.col("rho"), p=correlation_p("rho", "n_rows"))
 
 
-def time(mart: DataFrame, fct: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    """Q4: weekends, lag buckets, lags of orders over 300 USD."""
-    weekend = keyed(peers(mart, "is_weekend"), marts.top_causes(fct.withColumn("flag", F.col("is_weekend")), ["merchant_id", "flag"]), "weekend")
-    parts = [shaped(weekend, "Q4", metric="flag rate"), shaped(peers(mart, "lag_bucket"), "Q4", metric="flag rate"), lags(fct, t)]
-    return reduce(DataFrame.unionByName, parts)
+def lags(cube: DataFrame) -> DataFrame:
+    """Q4, by country: are orders over 300 USD late more often? p is that of the rank test of lags, money that of the flag rate."""
+    late = two_sides(of_kind(cube, "lag_late"), ["a"]).drop("p", "excess_usd", "mean_loss_usd", "median_loss_usd")
+    money = two_sides(of_kind(cube, "lag_money"), ["a"]).select("merchant_id", "a", "excess_usd", "mean_loss_usd", "median_loss_usd")
+    counts = of_kind(cube, "lag_value").groupBy("merchant_id", "a", F.col("b").cast("double").alias("lag")).agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("k"), F.sum("n").alias("m"))
+    ranks = stats.mann_whitney_counts(counts, "lag", ["merchant_id", "a"]).select("merchant_id", "a", "p")
+    out = late.join(money, ["merchant_id", "a"]).join(ranks, ["merchant_id", "a"]).withColumnRenamed("a", "country")
+    return shaped(out, "Q4", segment_type="lag_over_300", segment_value=F.concat("country", F.lit("|over_300")), key=F.concat(F.lower("country"), F.lit("_over_300_lag")), kind="lag", metric="late share", usd_note="delay, not loss")
 
 
-def cause_psp(fct: DataFrame) -> DataFrame:
-    """Q5: the share of rows with a cause, one PSP against all others; catch-all causes are left out. Counted once by psp and cause."""
-    cells = marts.settled(fct).groupBy("merchant_id", "psp", "likely_cause").agg(F.count("*").alias("k"), F.sum(-F.col("residual_usd")).alias("loss"), F.median(-F.col("residual_usd")).alias("median_loss_usd"))
+def cause_psp(cube: DataFrame) -> DataFrame:
+    """Q5: the share of rows with a cause, one PSP against all others; catch-all causes are left out."""
+    cells = of_kind(cube, "cause_psp").select("merchant_id", F.col("a").alias("psp"), F.col("cause").alias("likely_cause"), F.col("n").alias("k"), "loss", F.col("median_loss").alias("median_loss_usd"))
     volume = cells.groupBy("merchant_id", "psp").agg(F.sum("k").alias("n"))
     causes = cells.where(F.col("likely_cause").isNotNull() & ~F.col("likely_cause").isin("tip", "unexplained")).select("merchant_id", "likely_cause").distinct()
     rows = volume.join(causes, "merchant_id").join(cells, ["merchant_id", "psp", "likely_cause"], "left").na.fill(0, ["k", "loss", "median_loss_usd"])
@@ -116,31 +157,34 @@ def cause_psp(fct: DataFrame) -> DataFrame:
     return shaped(tested(rows), "Q5", segment_type="cause_psp", segment_value=F.concat_ws("|", "psp", "likely_cause"), key=name, kind="cause_psp", metric=F.concat("likely_cause", F.lit(" share")))
 
 
-def fee_drift(fct: DataFrame) -> DataFrame:
-    """Share of psp_fee in the last month against the months before, by PSP."""
-    rows = marts.settled(fct)
-    last = rows.groupBy("merchant_id").agg(F.max("auth_month").alias("last_month"))
-    rows = rows.join(F.broadcast(last), "merchant_id")  # one row for each merchant
-    out = two_group(rows, F.col("auth_month") == F.col("last_month"), F.col("likely_cause") == "psp_fee", ["merchant_id", "psp", "last_month"])
+def drift_of_fees(cube: DataFrame) -> DataFrame:
+    """Share of psp_fee in the merchant's last month against the months before, by PSP."""
+    cells = of_kind(cube, "fee_drift").withColumn("last_month", F.max("b").over(Window.partitionBy("merchant_id")))  # a row for each psp and month
+    out = two_sides(cells.withColumn("inside", F.col("b") == F.col("last_month")), ["a", "last_month"]).withColumnRenamed("a", "psp")
     return shaped(out, "Q6", segment_type="fee_drift", segment_value=F.concat_ws("|", "psp", "last_month"), key=F.concat(F.lower("psp"), F.lit("_fee_drift")), kind="fee_drift", likely_cause="psp_fee", metric="psp_fee share, last month vs earlier")
 
 
-def other(mart: DataFrame, fct: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    """Q6: orders across a border, of several items, of high risk, and the drift of fees."""
-    border = keyed(peers(mart, "cross_border"), marts.top_causes(fct.withColumn("flag", F.col("is_cross_border")), ["merchant_id", "flag"]), "cross_border")
-    rows, risk = marts.settled(fct), t.high_risk_score
-    single = {
-        "partial_capture": ("item_count", "item_count >= 2", F.col("item_count") >= 2),
-        "fraud_hold": ("risk_score", f"risk_score >= {risk:g}", F.col("risk_score") >= risk),
-    }
-    parts = [shaped(two_group(rows, inside), "Q6", segment_type=kind, segment_value=value, key=key, kind=key, likely_cause=key, metric="flag rate") for key, (kind, value, inside) in single.items()]
-    return reduce(DataFrame.unionByName, [shaped(border, "Q6", metric="flag rate"), *parts, fee_drift(fct)])
+def fee_drift(fct: DataFrame) -> DataFrame:
+    return drift_of_fees(count_cube(fct))
+
+
+def several_items_and_risk(cube: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
+    """Q6: orders of several items, and of high risk, against the others."""
+    out = two_sides(cube.where(F.col("kind").isin("partial_capture", "fraud_hold")), ["kind"])
+    items = F.col("kind") == "partial_capture"
+    value = F.when(items, "item_count >= 2").otherwise(f"risk_score >= {t.high_risk_score:g}")
+    return shaped(out, "Q6", segment_type=F.when(items, "item_count").otherwise("risk_score"), segment_value=value, key=F.col("kind"), likely_cause=F.col("kind"), metric="flag rate")
 
 
 def all_tests(fct: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    """All test tables with q from one adjustment over every p-value of a merchant."""
-    mart = marts.segment_mart(fct)
-    parts = [geography(mart), psp_country(mart, fct), size(mart, fct), time(mart, fct, t), cause_psp(fct), other(mart, fct, t)]
+    """All test tables with q from one adjustment over every p-value of a merchant.
+
+    The fact is scanned three times: for the mart, for the cube of counts, and for the counted values of the correlation, which are stored (see ``store.stored``).
+    Mart and cube are some hundred rows a merchant, and some thousand lags.
+    """
+    mart = stored(marts.segment_mart(fct, {k: v for k, v in marts.SEGMENTS.items() if k in TESTED}))
+    cube = stored(count_cube(fct, t))
+    parts = [segments_tested(mart, cube), size(fct), lags(cube), cause_psp(cube), several_items_and_risk(cube, t), drift_of_fees(cube)]
     return stats.benjamini_hochberg(reduce(DataFrame.unionByName, parts), "p", ["merchant_id"], ["question", "segment_type", "segment_value"])
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import columns as X
+from ..plans.store import stored
 from . import marts
 
 
@@ -90,9 +91,10 @@ def tie_ranks(values: DataFrame, value: str, by: Sequence[str], ties: Column | N
     return inside.alias("d").join(F.broadcast(below.alias("b")), at).select(*(f"d.{c}" for c in (*by, value, "ties")), (F.col("_below") + F.col("_rank")).alias(rank))
 
 
-def spearman(df: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame:
-    """Rank correlation by group; null under 3 rows."""
+def spearman(df: DataFrame, x: str, y: str, by: Sequence[str], once: bool = False) -> DataFrame:
+    """Rank correlation by group; null under 3 rows. With ``once`` the counted rows are stored, so that ``df`` is read once."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(F.count("*").alias("n"))
+    rows = stored(rows) if once else rows
     for c, r in ((x, "rx"), (y, "ry")):
         rows = rows.join(tie_ranks(rows, c, by, F.col("n"), r).drop("ties"), [*by, c])
     s = lambda e: F.sum(F.col("n") * e)
@@ -109,7 +111,11 @@ def upper_tail(z: pd.Series) -> pd.Series:
 
 def mann_whitney(df: DataFrame, value: str, first: Column, by: Sequence[str]) -> DataFrame:
     """One-sided p that values of ``first`` rows are greater than of the others: normal approximation with ties and continuity; 1 if a side is empty."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count_if(first).alias("k"), F.count("*").alias("m"))
+    return mann_whitney_counts(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count_if(first).alias("k"), F.count("*").alias("m")), value, by)
+
+
+def mann_whitney_counts(counts: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    """The same of counted values: k of the m rows with a value are first ones."""
     ranks = counts.join(tie_ranks(counts, value, by, F.col("m")), [*by, value])
     t = F.col("ties").cast("double")
     s = ranks.groupBy(*by).agg(F.sum("k").alias("n1"), F.sum(F.col("ties") - F.col("k")).alias("n2"), F.sum(F.col("k") * F.col("rank")).alias("r1"), F.sum(t * t * t - t).alias("tied"))
