@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..config import BANNED_FIELDS, PSPS
+from ..config import BANNED_FIELDS, DEFAULTS, PSPS, Thresholds
 from ..functions import columns as X
 
 
@@ -114,13 +114,13 @@ def generic_checks(df: DataFrame, unique: Sequence[Sequence[str]] = (), not_null
     return reduce(DataFrame.unionByName, parts, spark.createDataFrame([], "check_name string, n_bad bigint"))
 
 
-def contract_faults(df: DataFrame, contract: StructType) -> list[str]:
-    """What differs from an enforced contract: names, types and order of columns."""
+def contract_faults(df: DataFrame, contract: StructType, ordered: bool = True) -> list[str]:
+    """What differs from an enforced contract: names, types and, if ``ordered``, the order of columns."""
     have, want = [(f.name, f.dataType) for f in df.schema], [(f.name, f.dataType) for f in contract]
     out = [f"missing {n}" for n, _ in want if n not in df.columns] + [f"unexpected {n}" for n, _ in have if n not in contract.names]
     kinds = dict(have)
     out += [f"{n} is {kinds[n].simpleString()}, not {t.simpleString()}" for n, t in want if n in kinds and kinds[n] != t]
-    return out or ([] if [n for n, _ in have] == contract.names else ["columns are in another order"])
+    return out or ([] if not ordered or [n for n, _ in have] == contract.names else ["columns are in another order"])
 
 
 def enforced(df: DataFrame, contract: StructType) -> DataFrame:
@@ -130,28 +130,33 @@ def enforced(df: DataFrame, contract: StructType) -> DataFrame:
     return df
 
 
-def assertions(fct: DataFrame, refs: dict[str, DataFrame], n_staged: int | None = None) -> DataFrame:
-    """(check_name, n_bad) of nine statements about a built fact and its marts; n_bad counts what contradicts them."""
+def assertions(fct: DataFrame, refs: dict[str, DataFrame], staged: DataFrame | None = None, outliers: DataFrame | None = None, t: Thresholds = DEFAULTS) -> DataFrame:
+    """(check_name, n_bad) of nine statements about a built fact and its marts; n_bad counts what contradicts them.
+
+    ``staged`` are the rows that the fact was built of (without them its rows are only held against themselves), ``outliers`` the built table, if it is stored.
+    """
     from . import marts
 
     pct, usd, c, s = F.abs("residual_pct"), F.col("abs_residual_usd"), F.col("category"), F.col("status") == "settled"
     bounds = ((c == "meaningful") & ((usd >= 20) | (pct > 5) | (pct <= 2))) | ((c == "large") & (usd < 20) & (pct <= 5)) | ((c == "exact") & (F.col("diff_local") != 0))
     complete = F.col("settle_ts").isNotNull() & F.col("settled_amount").isNotNull()
     count = lambda cond: F.count_if(F.coalesce(cond, F.lit(False)))
-    n_rows = F.lit(0).cast("bigint") if n_staged is None else F.abs(F.count("*") - n_staged)
-    one = fct.agg(count(bounds).alias("a0"), count(s & (F.col("settle_ts") < F.col("auth_ts"))).alias("a1"), count(s != complete).alias("a2"), count((F.col("fx_auth") <= 0) | (F.col("fx_settle") <= 0)).alias("a3"), n_rows.alias("a4"), count(s).alias("n"), F.sum(F.when(s, -F.col("residual_usd"))).alias("net"), F.sum(F.when(s & (c != "exact"), -F.col("residual_usd"))).alias("odd_net"), count(c == "large").alias("n_large"))
+    one = fct.agg(count(bounds).alias("a0"), count(s & (F.col("settle_ts") < F.col("auth_ts"))).alias("a1"), count(s != complete).alias("a2"), count((F.col("fx_auth") <= 0) | (F.col("fx_settle") <= 0)).alias("a3"), F.count("*").alias("n_fact"), count(s).alias("n"), F.sum(F.when(s, -F.col("residual_usd"))).alias("net"), F.sum(F.when(s & (c != "exact"), -F.col("residual_usd"))).alias("odd_net"))
     weekly = marts.psp_weekly(fct).agg(F.sum("n").alias("w_n"), F.sum("net_usd").alias("w_net"), count((F.col("n_flagged") > F.col("n")) | (F.col("n_large") > F.col("n_flagged"))).alias("w_bad"))
     causes = marts.cause_mart(fct).agg(F.sum("net_usd").alias("c_net"))
     kinds = marts.segment_rows(marts.settled(fct), marts.SEGMENTS, []).groupBy("segment_type").agg(F.count("*").alias("m")).agg(F.min("m").alias("s_min"), F.max("m").alias("s_max"))
-    outliers = marts.outliers(fct).agg(F.count("*").alias("o_n"), count(c != "large").alias("o_bad"))
+    built = (fct if staged is None else staged).agg(F.count("*").alias("n_staged"))
+    # what the category rule makes large, field by field
+    large = fct.where(s & (F.abs("diff_local") > t.rounding_minor_units) & ((usd >= t.large_usd) | (pct > t.large_pct))).select(marts.OUTLIER_COLUMNS)
+    off = compare_rows(marts.outliers(fct) if outliers is None else outliers, large, ["merchant_id", "transaction_id"]).agg(F.count("*").alias("o_bad"))
     ranges = range_overlaps(refs["fees"], "psp").select("valid_from").unionByName(range_overlaps(refs["vat"], "country").select("valid_from")).agg(F.count("*").alias("r"))
     whole = one
-    for part in (weekly, causes, kinds, outliers, ranges):
+    for part in (weekly, causes, kinds, off, built, ranges):
         whole = whole.crossJoin(F.broadcast(part))  # one row each
     near = lambda a, b, cents: (F.abs(F.col(a) - F.col(b)) > cents).cast("bigint")
     checks = {
-        "category boundaries": F.col("a0"), "causes reconcile and segments cover": near("odd_net", "c_net", 0.05) + (F.col("s_min") != F.col("n")).cast("bigint") + (F.col("s_max") != F.col("n")).cast("bigint"), "row count as staged": F.col("a4"), "rates above zero": F.col("a3"),
-        "outliers are the large rows": F.col("o_bad") + F.abs(F.col("o_n") - F.col("n_large")), "weeks reconcile": F.col("w_bad") + near("net", "w_net", 0.05) + (F.col("w_n") != F.col("n")).cast("bigint"), "dated ranges valid": F.col("r"), "settle after auth": F.col("a1"), "settled rows complete": F.col("a2"),
+        "category boundaries": F.col("a0"), "causes reconcile and segments cover": near("odd_net", "c_net", 0.05) + (F.col("s_min") != F.col("n")).cast("bigint") + (F.col("s_max") != F.col("n")).cast("bigint"), "row count as staged": F.abs(F.col("n_fact") - F.col("n_staged")), "rates above zero": F.col("a3"),
+        "outliers are the large rows": F.col("o_bad"), "weeks reconcile": F.col("w_bad") + near("net", "w_net", 0.05) + (F.col("w_n") != F.col("n")).cast("bigint"), "dated ranges valid": F.col("r"), "settle after auth": F.col("a1"), "settled rows complete": F.col("a2"),
     }
     return whole.select(F.explode(F.array(*(F.struct(F.lit(k).alias("check_name"), v.cast("bigint").alias("n_bad")) for k, v in checks.items()))).alias("x")).select("x.*")
 
@@ -164,6 +169,22 @@ def range_overlaps(dim: DataFrame, key: str) -> DataFrame:
     return rows.where((has_next & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("_next")))) | (F.col("valid_to") <= F.col("valid_from"))).drop("_next")
 
 
+def compare_rows(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, side, columns): rows of two tables with the same columns that differ. side: left or right where only that table has the key, both where fields differ,
+    which ``columns`` names. Nulls are equal to nulls, in keys as well; keys are unique in either table (see ``generic_checks``)."""
+    if set(a.columns) != set(b.columns):
+        raise ValueError(f"columns differ: {sorted(set(a.columns) ^ set(b.columns))}")
+    fields = [c for c in a.columns if c not in keys]
+    same = reduce(Column.__and__, (F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys))
+    both = a.withColumn("_left", F.lit(True)).alias("a").join(b.withColumn("_right", F.lit(True)).alias("b"), same, "full_outer")
+    here, there = F.col("_left").isNotNull(), F.col("_right").isNotNull()
+    off = F.array(*(F.when(here & there & ~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")), F.lit(c)) for c in fields)) if fields else F.array().cast("array<string>")
+    side = F.when(~there, "left").when(~here, "right").otherwise("both")
+    key = [F.when(here, F.col(f"a.{k}")).otherwise(F.col(f"b.{k}")).alias(k) for k in keys]
+    out = both.select(*key, side.alias("side"), F.filter(off, lambda x: x.isNotNull()).alias("columns"))
+    return out.where((F.col("side") != "both") | (F.size("columns") > 0))
+
+
 def table_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows that only one side has, counting repeats."""
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))

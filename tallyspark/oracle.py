@@ -150,12 +150,14 @@ GATES = [
         ("match exactly", "k_match", 0.60, 0.70), ("small", "k_small", 0.15, 0.20), ("meaningful", "k_meaningful", 0.10, 0.18), ("large", "k_large", 0.03, 0.05))),
     *(f"SELECT '{n}', {v}, {lo}::DOUBLE, {hi}::DOUBLE, \"rows\" < 10000 FROM spec" for n, v, lo, hi in (("P1 flag-rate gap", "100 * p1_gap", "2.5", "'inf'"), ("P2 median lag gap", "p2_gap_days", "2", "'inf'"), ("P3 weekend ratio", "p3_ratio", "1.2", "'inf'"), ("P4 rounding share", "p4_share", "0.9", "1"))),
 ]
+#: Key, first day and end of the dated fees and VAT rates.
+RANGES = ", ".join(f"('{k}', DATE '{a}', CAST({z} AS DATE))" for k, a, z in (("PSP_A", "2025-01-01", "NULL"), ("PSP_B", "2025-01-01", "NULL"), ("PSP_C", "2025-01-01", "'2026-06-01'"), ("PSP_C", "2026-06-01", "NULL"), ("PSP_D", "2025-01-01", "NULL"), ("PSP_E", "2025-01-01", "NULL"), ("AR", "2025-01-01", "NULL"), ("CL", "2025-01-01", "NULL"), ("CO", "2025-01-01", "NULL"), ("MX", "2025-01-01", "NULL")))
 ASSERTED = {
     "category boundaries": "SELECT count(*) FILTER ((category = 'meaningful' AND (abs_residual_usd >= 20 OR abs(residual_pct) > 5 OR abs(residual_pct) <= 2)) OR (category = 'large' AND abs_residual_usd < 20 AND abs(residual_pct) <= 5) OR (category = 'exact' AND diff_local <> 0)) FROM fact",
     "causes reconcile and segments cover": f"SELECT CAST(abs((SELECT sum(-residual_usd) FILTER (category <> 'exact') FROM s) - (SELECT sum(x) FROM (SELECT {R('sum(-residual_usd)', 2)} AS x FROM s WHERE category <> 'exact' GROUP BY likely_cause, psp, country, direction))) > 0.05 AS BIGINT)",
-    "row count as staged": "SELECT 0", "rates above zero": "SELECT count(*) FILTER (fx_auth <= 0 OR fx_settle <= 0) FROM fact", "outliers are the large rows": "SELECT 0",
+    "row count as staged": "SELECT abs((SELECT count(*) FROM fact) - (SELECT count(*) FROM led))", "rates above zero": "SELECT count(*) FILTER (fx_auth <= 0 OR fx_settle <= 0) FROM fact", "outliers are the large rows": "SELECT count(*) FILTER (coalesce(category = 'large', false) <> coalesce(status = 'settled' AND abs(diff_local) > 1 AND (abs_residual_usd >= 20 OR abs(residual_pct) > 5), false)) FROM fact",
     "weeks reconcile": f"SELECT CAST(abs((SELECT sum(-residual_usd) FROM s) - (SELECT sum(x) FROM (SELECT {R('sum(-residual_usd)', 2)} AS x FROM s GROUP BY psp, country, auth_week))) > 0.05 AS BIGINT)",
-    "dated ranges valid": "SELECT 0", "settle after auth": "SELECT count(*) FILTER (settle_ts < auth_ts) FROM s", "settled rows complete": "SELECT count(*) FILTER ((status = 'settled') <> (settle_ts IS NOT NULL AND settled_amount IS NOT NULL)) FROM fact",
+    "dated ranges valid": f"SELECT count(*) FROM (SELECT a, z, lead(a) OVER (PARTITION BY k ORDER BY a) AS later FROM (VALUES {RANGES}) AS r(k, a, z)) WHERE z <= a OR (later IS NOT NULL AND coalesce(z > later, true))", "settle after auth": "SELECT count(*) FILTER (settle_ts < auth_ts) FROM s", "settled rows complete": "SELECT count(*) FILTER ((status = 'settled') <> (settle_ts IS NOT NULL AND settled_amount IS NOT NULL)) FROM fact",
 }
 
 SQL |= {

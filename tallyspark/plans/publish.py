@@ -8,11 +8,23 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..operators import marts
+from ..operators import marts, quality
 from ..sources.ingest import exists
 
 VERSIONS = "nth bigint, version string"
+#: The columns of the stored fact, by type.
+FACT_COLUMNS = {
+    T.StringType(): "transaction_id merchant_id customer_id product_category country currency payer_currency psp status card_bin_country auth_weekday auth_week auth_month week_month amount_tier lag_bucket category direction why_flagged likely_cause",
+    T.BooleanType(): "is_cross_border tax_recalc is_weekend is_over_300 is_lag_outlier is_meaningful rounding_flag",
+    T.TimestampType(): "auth_ts settle_ts",
+    T.DateType(): "auth_date week_start week_end",
+    T.LongType(): "authorized_amount settled_amount expected_settled diff_local residual fee_repeats",
+    T.IntegerType(): "item_count exponent",
+    T.DoubleType(): "risk_score contract_fee_usd fx_auth fx_settle amount_usd fx_move_pct settle_lag_days residual_pct residual_usd settled_usd abs_residual_usd",
+}
+FACT_CONTRACT = T.StructType([T.StructField(c, kind) for kind, names in FACT_COLUMNS.items() for c in names.split()])
 
 
 def published_version(spark: SparkSession, root: str) -> tuple[int, str | None]:
@@ -23,9 +35,10 @@ def published_version(spark: SparkSession, root: str) -> tuple[int, str | None]:
     return (last.nth, last.version) if last else (0, None)
 
 
-def publish_build(spark: SparkSession, tables: dict[str, DataFrame], root: str, checks: Callable[[dict[str, DataFrame]], DataFrame]) -> str:
+def publish_build(spark: SparkSession, tables: dict[str, DataFrame], root: str, checks: Callable[[dict[str, DataFrame]], DataFrame], contracts: dict[str, T.StructType] | None = None) -> str:
     """Writes all tables below a new version of ``root``, runs ``checks`` on what was written, and makes the version current if no check counts anything bad.
 
+    ``contracts`` are the stored schemas that tables must have (if not given, the fact's ``FACT_CONTRACT``); a table that gains, loses or retypes a column isn't published.
     ``checks`` gives (check_name, n_bad) of the stored tables. A failed check is an error, and the last good version stays current. The pointer is one line that is
     appended, so that a reader sees the old version or the new one as a whole.
     """
@@ -34,6 +47,10 @@ def publish_build(spark: SparkSession, tables: dict[str, DataFrame], root: str,
     for name, df in tables.items():
         df.write.parquet(f"{root}/versions/{version}/{name}")
     stored = {name: spark.read.parquet(f"{root}/versions/{version}/{name}") for name in tables}
+    contracts = {"fact": FACT_CONTRACT} if contracts is None else contracts
+    faults = {name: quality.contract_faults(stored[name], c, ordered=False) for name, c in contracts.items() if name in stored}
+    if any(faults.values()):
+        raise ValueError(f"build {version} isn't published: {({k: v for k, v in faults.items() if v})}")
     bad = checks(stored).where("n_bad > 0").limit(20).collect()
     if bad:
         raise ValueError(f"build {version} isn't published: {[(r.check_name, r.n_bad) for r in bad]}")

@@ -170,7 +170,7 @@ QUERIES: dict[str, Query] = {
     "status_detail": of_fact(lambda f: marts.status_detail(f).select(*(F.array_join(c, ",").alias(c) for c in ("open_weeks", "provisional_weeks", "months", "full_months")))),
     "spec_metrics": of_fact(quality.spec_metrics),
     "validation_gate": of_fact(lambda f: quality.validation_gate(quality.spec_metrics(f)).select("check_name", "status", X.half_up("realized", 4).alias("realized"))),
-    "assertions": of_fact(lambda f: quality.assertions(f, ledger.reference_tables(f.sparkSession))),
+    "assertions": lambda spark, sf_dir: quality.assertions(projected_fact(spark, sf_dir), ledger.reference_tables(spark), ledger.projected_ledger(spark, sf_dir)),
     "cause_psp": of_fact(stats.cause_psp),
     "lag_tests": of_fact(stats.lag_tests),
     "spearman": of_fact(lambda f: stats.spearman(marts.settled(f).where("category <> 'exact'").withColumn("pct", F.abs("residual_pct")), "amount_usd", "pct", ["merchant_id"])),

@@ -26,12 +26,36 @@ def test_failed_checks_keep_the_last_good_build(spark, tmp_path):
     broken = tables | {"fact": tables["fact"].withColumn("diff_local", F.lit(1).cast("bigint"))}
     with pytest.raises(ValueError, match="category boundaries"):
         publish.publish_build(spark, broken, root, checks)
+    for wrong, what in ((lambda f: f.withColumn("note", F.lit(1)), "unexpected note"), (lambda f: f.drop("direction"), "missing direction"), (lambda f: f.withColumn("item_count", F.col("item_count").cast("bigint")), "item_count is bigint, not int")):
+        with pytest.raises(ValueError, match=what):
+            publish.publish_build(spark, tables | {"fact": wrong(tables["fact"])}, root, checks)
     assert publish.published_version(spark, root) == (1, first)
     assert publish.read_published(spark, root, "fact").count() == tables["fact"].count()
     assert {r.name: r.n for r in publish.table_row_counts(tables).collect()}["fact"] == tables["fact"].count()
     assert publish.publish_build(spark, tables, root, checks) != first and publish.published_version(spark, root)[0] == 2
 
 
+def test_tables_compared_row_by_row(spark):
+    kind = "k int, l string, x double, y string"
+    a = spark.createDataFrame([(1, "a", 1.0, None), (2, None, 2.0, "b"), (3, "c", None, "c"), (4, "d", 4.0, "d")], kind)
+    b = spark.createDataFrame([(1, "a", 1.0, None), (2, None, 2.5, None), (3, "c", 3.0, "c"), (5, "e", 5.0, "e")], kind).select("y", "x", "l", "k")
+    got = {(r.k, r.l): (r.side, r.columns) for r in quality.compare_rows(a, b, ["k", "l"]).collect()}
+    assert got == {(2, None): ("both", ["x", "y"]), (3, "c"): ("both", ["x"]), (4, "d"): ("left", []), (5, "e"): ("right", [])}
+    assert quality.compare_rows(a, a, ["k", "l"]).isEmpty() and quality.compare_rows(a.where("false"), a, ["k"]).count() == 4
+    with pytest.raises(ValueError, match="columns differ"):
+        quality.compare_rows(a, b.drop("y"), ["k"])
+
+
+def test_assertions_count_what_contradicts_them(spark):
+    f, refs, staged = projected_fact(spark, SF), ledger.reference_tables(spark), ledger.projected_ledger(spark, SF)
+    bad = lambda *x, **y: {r.check_name: r.n_bad for r in quality.assertions(*x, **y).collect() if r.n_bad}
+    assert bad(f, refs, staged) == {}
+    out = marts.outliers(f)
+    n = out.count()
+    changed = out.withColumn("likely_cause", F.when(F.col("psp") == "PSP_A", "other").otherwise(F.col("likely_cause")))
+    assert bad(f, refs, staged.limit(10), changed) == {"row count as staged": f.count() - 10, "outliers are the large rows": out.where("psp = 'PSP_A'").count()} and bad(f, refs, staged, out.limit(0)) == {"outliers are the large rows": n}
+
+
 def test_report_tables(spark, tmp_path):
     df = spark.createDataFrame([("b", 0.12345678, None), ("a", float("nan"), 1)], "k string, x double, n int")
     for kind in ("csv", "parquet", "jsonl"):
