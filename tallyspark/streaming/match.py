@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +17,9 @@ AUTHS = T.StructType([T.StructField(n, t) for n, t in (
 SETTLEMENTS = T.StructType([T.StructField(n, t) for n, t in (("transaction_id", T.StringType()), ("settled_amount", T.LongType()), ("settle_ts", T.TimestampType()))])
 
 
+RATES = "rate_date date, currency string, local_per_usd double"
+
+
 def to_events(ledger: DataFrame) -> DataFrame:
     """(topic, key, event_ts, value): an authorisation of each row and a settlement of each settled one; values are JSON."""
     failed = F.col("status") == "failed"
@@ -64,11 +69,29 @@ def categorised(matched: DataFrame, fx: DataFrame, exponents: DataFrame) -> Data
     return out.select("transaction_id", "merchant_id", "psp", "country", "currency", "is_cross_border", "authorized_amount", "settled_amount", "auth_ts", "settle_ts", "expected_settled", "residual", "residual_pct", "residual_usd", "category")
 
 
-def run_to_sinks(stream: DataFrame, matched_path: str, large_path: str, checkpoint: str, trigger: dict | None = None):
-    """One query, two sinks: all matches as Parquet, and the large ones as keyed JSON. Each batch replaces its own folder, so that a repeat changes nothing."""
+def read_bounded_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A small reference table from CSV, read leniently: values that can't be read are null, and rows without one of their values, such as a header row, drop out."""
+    return spark.read.schema(schema).option("mode", "PERMISSIVE").csv(path).dropna()
+
+
+def priced_from_csv(rates_path: str, exponents_path: str) -> Callable[[DataFrame], DataFrame]:
+    """``categorised`` with reference tables that are read anew at each call, so that each batch of a stream sees the tables as they are then."""
+
+    def price(batch: DataFrame) -> DataFrame:
+        spark = batch.sparkSession
+        return categorised(batch, read_bounded_csv(spark, rates_path, RATES), read_bounded_csv(spark, exponents_path, "currency string, exponent int"))
+
+    return price
+
+
+def run_to_sinks(stream: DataFrame, matched_path: str, large_path: str, checkpoint: str, trigger: dict | None = None, price: Callable[[DataFrame], DataFrame] | None = None):
+    """One query, two sinks: all matches as Parquet, and the large ones as keyed JSON. Each batch replaces its own folder, so that a repeat changes nothing.
+
+    ``stream`` is priced already, or ``price`` does it batch by batch (see ``priced_from_csv``).
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        held = batch.persist()
+        held = (batch if price is None else price(batch)).persist()
         held.write.mode("overwrite").parquet(f"{matched_path}/batch={number}")
         large = held.where("category = 'large'").select(F.col("transaction_id").alias("key"), F.to_json(F.struct("*")).alias("value"))
         large.write.mode("overwrite").json(f"{large_path}/batch={number}")
