@@ -295,6 +295,8 @@ def test_stacked_tests_and_actions(spark):
     assert "partial_capture" in kinds
     recommended = findings.recommend(found)
     assert {r.finding for r in findings.action_of_finding(recommended).collect()} <= {r.finding for r in found.collect()}
+    own = spark.createDataFrame([("reconcile", "Look into {psp}", "us", 1.0)], findings.CATALOGUE)
+    assert {(r.action, r.owner) for r in findings.recommend(found, catalogue=own).collect()} == {("Look into the PSP", "us")}
     named = spark.createDataFrame([("peer", "psp_fee"), ("peer", "tip"), ("cause_psp", "tip"), ("lag", None)], "kind string, cause string").select(findings.action_of(F.col("kind"), F.col("cause")).alias("a"))
     assert [r.a for r in named.collect()] == ["fee", "peer", None, "lag"]
     assert questions.headlines(f).count() == 5
