@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 
 from ..config import BANNED_FIELDS, DEFAULTS, PSPS, Thresholds
 from ..functions import columns as X
+from .quantiles import medians
 
 
 def table_checks(fct: DataFrame) -> DataFrame:
@@ -33,11 +34,15 @@ def failed(checks: DataFrame) -> bool:
 
 def quality_metrics(fct: DataFrame) -> DataFrame:
     count = lambda c, name: F.count_if(c).alias(name)
-    return fct.agg(
+    # ids alone are counted as distinct rows: PSPs and days are few, so that their sets are small
+    few = lambda c, name: F.size(F.collect_set(c)).cast("bigint").alias(name)
+    one = fct.agg(
         F.count("*").alias("n"), F.countDistinct("transaction_id").alias("n_ids"), *(count(F.col("status") == s, f"n_{s}") for s in ("settled", "pending", "failed")),
-        count(F.col("is_cross_border"), "n_cross_border"), count(F.col("is_meaningful"), "n_flagged"), F.countDistinct("psp").alias("n_psps"), F.countDistinct("auth_date").alias("n_days"),
-        X.half_up(F.median("settle_lag_days"), 4).alias("median_lag"), X.half_up(F.median("amount_usd"), 4).alias("median_usd"),
+        count(F.col("is_cross_border"), "n_cross_border"), count(F.col("is_meaningful"), "n_flagged"), few("psp", "n_psps"), few("auth_date", "n_days"),
     )
+    middle = medians(fct, {"median_lag": F.col("settle_lag_days"), "median_usd": F.col("amount_usd")})
+    # one row beside one row
+    return one.crossJoin(middle.select(*(X.half_up(c, 4).alias(c) for c in middle.columns)))
 
 
 #: The metric that a band is about, and its bounds as shares.
@@ -51,23 +56,27 @@ PATTERN_CHECKS = {"P1 flag-rate gap": ("p1_gap", 100, 2.5, None), "P2 median lag
 
 
 def spec_metrics(fct: DataFrame) -> DataFrame:
-    """One row of 19 metrics of the fact, in one pass. Lists are joined by commas."""
+    """One row of 19 metrics of the fact: one pass for counts, one for medians. Lists are joined by commas."""
     s = F.col("status") == "settled"
     count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
     share = lambda flag, where: F.try_divide(count(where & F.coalesce(F.col(flag), F.lit(False))), count(where))
-    lag = lambda where: F.median(F.when(where, F.col("settle_lag_days")))
+    lag = lambda where: F.when(where, F.col("settle_lag_days"))
+    few = lambda c, name: F.size(F.collect_set(c)).cast("bigint").alias(name)
     ar, co = s & (F.col("country") == "AR"), s & (F.col("country") == "CO")
     names = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     category = F.col("category")
-    return fct.agg(
-        F.count("*").alias("rows"), count(s).alias("settled"), F.countDistinct("auth_month").alias("months"), names("country").alias("countries"), names("currency").alias("currencies"), F.countDistinct("psp").alias("psps"),
-        count(F.col("status") == "failed").alias("failed"), count(F.col("status") == "pending").alias("pending"), lag(s).alias("median_lag"), count(s & F.col("is_lag_outlier")).alias("lag_outliers"),
+    one = fct.agg(
+        F.count("*").alias("rows"), count(s).alias("settled"), few("auth_month", "months"), names("country").alias("countries"), names("currency").alias("currencies"), few("psp", "psps"),
+        count(F.col("status") == "failed").alias("failed"), count(F.col("status") == "pending").alias("pending"), count(s & F.col("is_lag_outlier")).alias("lag_outliers"),
         count(F.col("customer_id").isNull() | F.col("product_category").isNull() | F.col("amount_tier").isNull() | F.col("is_cross_border").isNull()).alias("null_metadata"),
         count(s & category.isin("exact", "rounding")).alias("k_match"), count(s & (category == "fx_tolerance")).alias("k_small"), count(s & category.isin("meaningful", "large")).alias("k_meaningful"), count(s & (category == "large")).alias("k_large"),
-        (share("is_meaningful", ar & (F.col("psp") == "PSP_B")) - share("is_meaningful", ar & (F.col("psp") != "PSP_B"))).alias("p1_gap"), (lag(co & F.col("is_over_300")) - lag(co & ~F.col("is_over_300"))).alias("p2_gap_days"),
+        (share("is_meaningful", ar & (F.col("psp") == "PSP_B")) - share("is_meaningful", ar & (F.col("psp") != "PSP_B"))).alias("p1_gap"),
         F.try_divide(share("is_meaningful", s & F.col("is_weekend")), share("is_meaningful", s & ~F.col("is_weekend"))).alias("p3_ratio"),
         share("rounding_flag", s & (F.col("psp") == "PSP_D") & F.col("is_cross_border") & F.col("currency").isin("CLP", "COP")).alias("p4_share"),
     )
+    middle = medians(fct, {"median_lag": lag(s), "_over": lag(co & F.col("is_over_300")), "_under": lag(co & ~F.col("is_over_300"))})
+    # one row beside one row
+    return one.crossJoin(middle.select("median_lag", (F.col("_over") - F.col("_under")).alias("p2_gap_days")))
 
 
 def checked(name: str, value: Column, low: Column | float | None, high: Column | float | None, soft: bool = False) -> Column:

@@ -13,6 +13,7 @@ from ..config import DEFAULTS, Thresholds
 from ..functions import columns as X
 from ..plans.store import stored
 from . import marts, stats
+from .quantiles import with_quantiles
 
 #: What every row of a test table has, beside merchant_id; what a test doesn't know is null.
 COLUMNS = {
@@ -40,10 +41,10 @@ def group_counts(fct: DataFrame, inside: Column, flag: Column, by: list[str]) ->
     """Counts of flagged rows inside and outside a segment, and the loss of the flagged rows inside, in one aggregation."""
     flag, inside = F.coalesce(flag, F.lit(False)), F.coalesce(inside, F.lit(False))
     loss = F.when(inside & flag, -F.col("residual_usd"))
-    return fct.groupBy(*by).agg(
-        F.count_if(inside).alias("n"), F.count_if(inside & flag).alias("n_flagged"), F.count_if(~inside).alias("peer_n"), F.count_if(~inside & flag).alias("peer_flagged"),
-        F.coalesce(F.avg(loss), F.lit(0.0)).alias("mean_loss_usd"), F.coalesce(F.median(loss), F.lit(0.0)).alias("median_loss_usd"),
+    counts = fct.groupBy(*by).agg(
+        F.count_if(inside).alias("n"), F.count_if(inside & flag).alias("n_flagged"), F.count_if(~inside).alias("peer_n"), F.count_if(~inside & flag).alias("peer_flagged"), F.coalesce(F.avg(loss), F.lit(0.0)).alias("mean_loss_usd"),
     )
+    return with_quantiles(counts, fct.select(*by, loss.alias("loss")), "loss", by, {"median_loss_usd": 0.5}).na.fill(0.0, ["median_loss_usd"])
 
 
 def two_group(fct: DataFrame, inside: Column, flag: Column | None = None, by: list[str] | None = None) -> DataFrame:
@@ -85,7 +86,13 @@ def count_cube(fct: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
     ]
     rows = marts.settled(fct).select("merchant_id", F.col("residual_usd").alias("usd"), F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull())).alias("c"))
     loss = F.when(F.col("c.flag") & ~F.col("c.kind").isin("causes", "weekend_causes", "border_causes", "lag_value"), -F.col("usd"))
-    return rows.groupBy("merchant_id", "c.kind", "c.a", "c.b", "c.cause", "c.inside").agg(F.count("*").alias("n"), F.count_if("c.flag").alias("n_flagged"), F.sum(loss).alias("loss"), F.count(loss).alias("n_loss"), F.median(loss).alias("median_loss"))
+    keys = ["merchant_id", "kind", "a", "b", "cause", "inside"]
+    rows = rows.select("merchant_id", *(f"c.{k}" for k in keys[1:]), "c.flag", loss.alias("loss"))
+    # distinct losses with their counts, stored: cells and medians are both taken from them, so that the fact is read once
+    counted = stored(rows.groupBy(*keys, "loss").agg(F.count("*").alias("n"), F.count_if("flag").alias("n_flagged")))
+    has = F.col("loss").isNotNull()
+    cells = counted.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("n_flagged").alias("n_flagged"), F.sum(F.col("loss") * F.col("n")).alias("loss"), F.sum(F.when(has, F.col("n")).otherwise(0)).alias("n_loss"))
+    return with_quantiles(cells, counted, "loss", keys, {"median_loss": 0.5}, "n")
 
 
 def two_sides(cells: DataFrame, by: list[str]) -> DataFrame:
@@ -236,7 +243,8 @@ def rate_frame(df: DataFrame, by: list[str], flag: str = "is_meaningful", loss:
     """Rows, flagged rows, and mean and median loss over the flagged ones (0 if there are none), for any keys."""
     hit = F.coalesce(F.col(flag), F.lit(False))
     lost = F.when(hit, -F.col(loss))
-    return df.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(hit).alias("n_flagged"), F.coalesce(F.avg(lost), F.lit(0.0)).alias("mean_loss_usd"), F.coalesce(F.median(lost), F.lit(0.0)).alias("median_loss_usd"))
+    counts = df.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(hit).alias("n_flagged"), F.coalesce(F.avg(lost), F.lit(0.0)).alias("mean_loss_usd"))
+    return with_quantiles(counts, df.select(*by, lost.alias("lost")), "lost", by, {"median_loss_usd": 0.5}).na.fill(0.0, ["median_loss_usd"])
 
 
 def truth_scores(predicted: DataFrame, truth: DataFrame) -> DataFrame:

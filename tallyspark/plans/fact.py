@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,11 +30,30 @@ def join_fx(df: DataFrame, fx: DataFrame) -> DataFrame:
     return out.join(rate("fx_settle"), (F.col("currency") == F.col("_c")) & (F.col("settle_ts").cast("date") == F.col("_d")), "left").drop("_c", "_d")
 
 
+def with_exponent(df: DataFrame, exponents: DataFrame) -> DataFrame:
+    """The exponent of each row's currency, from a short list; an unknown currency stops the build, as its amounts have no meaning."""
+    unknown = F.raise_error(F.concat(F.lit("unknown currency "), F.coalesce("currency", F.lit("null")))).cast("int")
+    # a filter, since a column would only be looked at on rows that later look-ups keep
+    return df.join(F.broadcast(exponents), "currency", "left").where(F.coalesce("exponent", unknown) >= 0)
+
+
+def lookup_losses(staged: DataFrame, fx: DataFrame, refs: dict[str, DataFrame]) -> DataFrame:
+    """(lookup, n_rows, n_lost): staged rows for which a look-up that the fact requires has nothing, by look-up. Such rows have no place in the fact (an unknown currency is an error there)."""
+    day = F.col("auth_ts").cast("date")
+    ids = staged.select("transaction_id", "currency", "country", "psp", "auth_ts")
+    dated = lambda dim, key: join_valid_on(ids, dim.select(key, "valid_from", "valid_to"), key, day)
+    rated = ids.join(F.broadcast(fx.select(F.col("currency").alias("_c"), F.col("rate_date").alias("_d"))), (F.col("currency") == F.col("_c")) & (day == F.col("_d")))
+    found = {"exponent": ids.join(F.broadcast(refs["exponents"]), "currency"), "vat": dated(refs["vat"], "country"), "fee": dated(refs["fees"], "psp"), "rate of the auth day": rated}
+    counts = [rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("lookup"), "n") for name, rows in found.items()]
+    # one row with the number of all rows
+    out = reduce(DataFrame.unionByName, counts).crossJoin(F.broadcast(ids.agg(F.count("*").alias("n_rows"))))
+    return out.select("lookup", "n_rows", (F.col("n_rows") - F.col("n")).alias("n_lost"))
+
+
 def enriched(staged: DataFrame, fx: DataFrame, refs: dict[str, DataFrame]) -> DataFrame:
     """All look-ups, the amount in USD, the move of the rate, the lag, calendar and tiers."""
     day = F.col("auth_ts").cast("date")
-    out = staged.join(F.broadcast(refs["exponents"]), "currency")
-    out = join_valid_on(out, refs["vat"].drop("vat_pct"), "country", day)
+    out = join_valid_on(with_exponent(staged, refs["exponents"]), refs["vat"].drop("vat_pct"), "country", day)
     out = join_fx(join_valid_on(out, refs["fees"], "psp", day), fx)
     out = out.withColumns({
         "amount_usd": X.to_usd("authorized_amount", "exponent", "fx_auth"),
@@ -59,12 +80,16 @@ def with_money(df: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
 def with_fee_repeats(df: DataFrame) -> DataFrame:
     """How many non-exact rows share a row's psp, currency and residual; null on exact and unsettled rows.
 
-    Counted by key and joined back, since a window would put a frequent residual into one task; keys that occur once need no row.
+    Counted by key and joined back, since a window would put a frequent residual into one task; keys that occur once need no row. Exact and unsettled rows have no
+    partner: most rows share a residual of 0 or none, so their part of the key is spread by id.
     """
     key = ["psp", "currency", "residual"]
-    odd = F.col("category") != "exact"
-    often = df.where(odd).groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1")
-    return df.join(often, key, "left").withColumn("fee_repeats", F.when(odd, F.coalesce("_n", F.lit(1).cast("bigint")))).drop("_n")
+    odd = F.coalesce(F.col("category") != "exact", F.lit(False))
+    often = df.where(odd).groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").withColumns({"_key": F.xxhash64(*key), "_odd": F.lit(True)})
+    rows = df.withColumns({"_odd": odd, "_key": F.when(odd, F.xxhash64(*key)).otherwise(F.xxhash64("transaction_id"))})
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}")) for c in key]
+    out = rows.alias("r").join(often.alias("o"), (F.col("r._key") == F.col("o._key")) & (F.col("r._odd") == F.col("o._odd")) & reduce(Column.__and__, same), "left")
+    return out.select("r.*", "o._n").withColumn("fee_repeats", F.when(odd, F.coalesce("_n", F.lit(1).cast("bigint")))).drop("_n", "_key", "_odd")
 
 
 def build_fact(staged: DataFrame, fx: DataFrame, refs: dict[str, DataFrame], t: Thresholds = DEFAULTS) -> DataFrame:
