@@ -109,6 +109,27 @@ def week_start(ts: C) -> Column:
     return F.date_trunc("week", col(ts)).cast("date")
 
 
+def monday_of(week: C) -> Column:
+    """The Monday of a label YYYY-Www: week 1 is the one with the 4th of January."""
+    year, number = F.substring(col(week), 1, 4).cast("int"), F.substring(col(week), 7, 2).cast("int")
+    return F.date_add(week_start(F.make_date(year, F.lit(1), F.lit(4))), (number - 1) * 7)
+
+
+def prev_week(week: C) -> Column:
+    """The label of the week before, also across a year's end."""
+    return iso_week(F.date_sub(monday_of(week), 7))
+
+
+def trailing_weeks(week: C, k: int) -> Column:
+    """The labels of the ``k`` weeks that end with ``week``, the oldest first."""
+    return F.array(*(iso_week(F.date_sub(monday_of(week), 7 * back)) for back in range(k - 1, -1, -1)))
+
+
+def leak_share_pct(under_usd: C, settled_usd: C) -> Column:
+    """What arrived too little, as a percentage of what was settled; 0 where nothing was."""
+    return F.when(col(settled_usd) != 0, 100.0 * col(under_usd) / col(settled_usd)).otherwise(0.0)
+
+
 def calendar(ts: str) -> dict[str, Column]:
     """Calendar columns of a timestamp; a week belongs to the month of its Thursday."""
     monday = week_start(ts)

@@ -67,6 +67,16 @@ PEERS = "sum(n) OVER w - n AS peer_n, sum(n_flagged) OVER w - n_flagged AS peer_
 SQL = {
     "ledger_totals": f"WITH {LEDGER} SELECT country, status, count(*) AS n, CAST(sum(a) AS BIGINT) AS authorized, CAST(sum(settled_amount) AS BIGINT) AS settled FROM led GROUP BY ALL",
     "fact": with_("SELECT transaction_id, psp, country, currency, status, category, residual, residual_pct, residual_usd, settled_usd, expected_settled, direction, rounding_flag, fee_repeats, why_flagged, likely_cause, auth_week, week_start, week_end, week_month, auth_weekday, is_weekend, amount_tier, is_over_300, lag_bucket, settle_lag_days, is_meaningful FROM fact"),
+    "money_cents": with_(
+        "SELECT currency, CAST(sum(a) AS BIGINT) AS authorized_cents, CAST(sum(s) AS BIGINT) AS settled_cents, count(*) FILTER (s <> CAST(round(settled_usd * 100) AS BIGINT)) AS n_off FROM (SELECT *, (200 * authorized_amount::HUGEINT * 1000000 + unit) // (2 * unit) AS a, sign(settled_amount) * ((200 * abs(settled_amount)::HUGEINT * 1000000 + unit) // (2 * unit)) AS s"
+        " FROM (SELECT *, CAST(round(fx_auth * 1000000) AS HUGEINT) * CAST(pow(10, exponent) AS HUGEINT) AS unit FROM fact)) GROUP BY currency"
+    ),
+    "lookup_losses": f"WITH {LEDGER}, looked AS (SELECT unnest(['exponent', 'vat', 'fee', 'rate of the auth day']) AS lookup, unnest([currency IN ('ARS', 'CLP', 'COP', 'MXN', 'USD'), country IN ('AR', 'CL', 'CO', 'MX'), psp IN ('PSP_A', 'PSP_B', 'PSP_C', 'PSP_D', 'PSP_E'), auth_s // 86400 < 110 AND currency IN ('ARS', 'CLP', 'COP', 'MXN')]) AS found FROM led) SELECT lookup, count(*) AS n_rows, count(*) FILTER (NOT found) AS n_lost FROM looked GROUP BY lookup",
+    "weekly_leaks": with_(
+        f"SELECT auth_week, strftime(week_start - INTERVAL 7 DAY, '%G-W%V') AS prev_week, {R('coalesce(100 * under / nullif(usd, 0), 0)', 4)} AS leak_pct, {R('coalesce(100 * under_1 / nullif(usd_1, 0), 0)', 4)} AS prev_leak_pct, {R('coalesce(100 * under_4 / nullif(usd_4, 0), 0)', 4)} AS trailing_leak_pct FROM wk2",
+        "wk AS (SELECT auth_week, week_start, sum(greatest(-residual_usd, 0)) AS under, sum(settled_usd) AS usd FROM s GROUP BY ALL)",
+        "wk2 AS (SELECT *, sum(under) OVER last AS under_1, sum(usd) OVER last AS usd_1, sum(under) OVER four AS under_4, sum(usd) OVER four AS usd_4 FROM wk WINDOW last AS (ORDER BY week_start RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 7 DAY PRECEDING), four AS (ORDER BY week_start RANGE BETWEEN INTERVAL 21 DAY PRECEDING AND CURRENT ROW))",
+    ),
     "psp_weekly": with_(f"SELECT merchant_id, psp, country, auth_week, week_start, week_end, week_month, {AGGS}, count(*) FILTER (is_meaningful) / count(*) AS rate, count(*) < 30 AS low_sample, week_end >= (SELECT CAST(as_of AS DATE) - 15 FROM clock) AS is_provisional, psp || '|' || country || '|' || auth_week AS psp_week_key FROM s GROUP BY merchant_id, psp, country, auth_week, week_start, week_end, week_month"),
     "segment_mart": with_("SELECT * FROM mart2", SEGMENT),
     "segment_rates": with_(f"SELECT *, peer_flagged / nullif(peer_n, 0) AS peer_rate, {R(WILSON, 9)} AS ci_low, n < 50 AS low_sample FROM (SELECT segment_key, n, n_flagged, rate, {PEERS} FROM mart2 WINDOW w AS (PARTITION BY merchant_id, segment_type, CASE WHEN segment_type = 'psp_country' THEN split_part(segment_value, '|', 2) END))".replace("sum(n) OVER w - n", "CAST(sum(n) OVER w - n AS BIGINT)").replace("sum(n_flagged) OVER w - n_flagged", "CAST(sum(n_flagged) OVER w - n_flagged AS BIGINT)"), SEGMENT),

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns as X
+from .functions import money
 from .operators import alerts, findings, incremental, marts, quality, questions, stats
-from .plans import publish
+from .plans import fact, publish
 from .plans.fact import build_fact, projected_fact
 from .sources import ledger
 from .streaming import match
@@ -115,6 +116,13 @@ def notifications(f: DataFrame) -> DataFrame:
     return alerts.notification_plan(alerts.annotate(told, alerts.standing_mutes(told)))
 
 
+def money_cents(f: DataFrame) -> DataFrame:
+    """Exact US cents authorised and settled by currency, and on how many settled rows the fact's rounded double is another cent."""
+    cents = lambda c: money.usd_cents(c, "exponent", "fx_auth")
+    rows = f.select("currency", cents("authorized_amount").alias("a"), cents("settled_amount").alias("s"), X.half_up(F.col("settled_usd") * 100).cast("bigint").alias("d"))
+    return rows.groupBy("currency").agg(F.sum("a").alias("authorized_cents"), F.sum("s").alias("settled_cents"), F.count_if(F.col("s") != F.col("d")).alias("n_off"))
+
+
 def drop_merchant(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
     return lambda fct: f(fct).drop("merchant_id")
 
@@ -122,6 +130,8 @@ def drop_merchant(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame],
 QUERIES: dict[str, Query] = {
     "ledger_totals": ledger_totals,
     "fact": of_fact(lambda f: f.select(FACT_COLUMNS)),
+    "money_cents": of_fact(money_cents),
+    "lookup_losses": lambda spark, sf_dir: fact.lookup_losses(ledger.stage_transactions(ledger.projected_ledger(spark, sf_dir)), ledger.projected_fx(spark), ledger.reference_tables(spark)),
     "psp_weekly": of_fact(marts.psp_weekly),
     "segment_mart": of_fact(marts.segment_mart),
     "segment_rates": of_fact(segment_rates),
@@ -135,6 +145,7 @@ QUERIES: dict[str, Query] = {
     "kpis": of_fact(lambda f: marts.kpis(f).select("auth_week", "n", "n_flagged", "n_large", "net_usd", "d_rate_pts", "d_net_usd", "d_n_large")),
     "weekly_trend": of_fact(drop_merchant(marts.weekly_trend)),
     "worst_week": of_fact(lambda f: marts.worst_week(marts.psp_weekly(f)).drop("merchant_id", "rate")),
+    "weekly_leaks": of_fact(drop_merchant(marts.weekly_leaks)),
     "lag_by_country_tier": of_fact(drop_merchant(marts.lag_by_country_tier)),
     "category_mix": of_fact(drop_merchant(marts.category_mix)),
     "pending": of_fact(drop_merchant(marts.pending)),

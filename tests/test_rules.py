@@ -39,6 +39,12 @@ def test_masks_and_weeks(spark):
     assert str(row[4]) == "2026-12-20" and row[5] == "2026-12"
 
 
+def test_weeks_before_and_leaked_shares(spark):
+    row = spark.sql("select '2026-W01' a, '2027-W01' b, '2026-W25' c, cast(null as string) d").select(X.monday_of("a"), X.prev_week("a"), X.prev_week("b"), X.trailing_weeks("c", 3), X.trailing_weeks("b", 2), X.prev_week("d")).first()
+    assert str(row[0]) == "2025-12-29" and tuple(row)[1:] == ("2025-W52", "2026-W53", ["2026-W23", "2026-W24", "2026-W25"], ["2026-W53", "2027-W01"], None)
+    assert tuple(spark.range(1).select(X.leak_share_pct(F.lit(3.0), F.lit(150.0)), X.leak_share_pct(F.lit(3.0), F.lit(0.0)), X.leak_share_pct(F.lit(3.0), F.lit(None).cast("double"))).first()) == (2.0, 0.0, 0.0)
+
+
 def test_unknown_currency_is_an_error(spark):
     with pytest.raises(Exception, match="unknown currency"):
         spark.sql("select 'XXX' c").select(X.exponent_of("c", {"MXN": 2})).collect()
