@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that a group's distinct values are dealt to, and portions in which they meet the cuts.
-RANGES, PORTIONS = 64, 16
+#: Ranges of values for each unit of the logarithm: one range spans 1.6 percent of a value (of one more than it, for small ones).
+STEPS = 64
 
 
 def same(left: str, right: str, keys: Sequence[str]) -> Column:
@@ -21,17 +21,16 @@ def exact_quantiles(rows: DataFrame, value: str, by: Sequence[str], wanted: dict
     """``by`` and one column for each name in ``wanted``: the quantile at that share, interpolated as ``percentile`` does. Nulls don't count; groups without values give no row.
     ``ties`` names a column that says how often a row counts (once, if not given).
 
-    Distinct values are counted first, dealt to ranges by approximate cuts, and only those ranges that hold a wanted place are put in order, found by running
-    totals of the ranges' sizes. A task thus sorts a part of a group's distinct values, however many rows repeat them; the cuts only decide how even the ranges are.
+    Distinct values are counted first and dealt to ranges by their logarithm, which keeps their order; only those ranges that hold a wanted place are put in order, found
+    by running totals of the ranges' sizes. A task thus sorts the distinct values of one range, however many rows repeat them, and may spill; where all values of a
+    group lie within 1.6 percent of each other, that is all of its distinct values. NaN is greater than all numbers.
     """
     by = list(by)
+    x = F.col("_v").cast("double")
+    of = F.when(F.isnan(x), F.lit(2**63 - 1)).otherwise(F.floor(F.signum(x) * F.log1p(F.abs(x)) * STEPS))
     n = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg((F.sum(ties) if ties else F.count("*")).alias("_n"))
-    cuts = n.groupBy(*by).agg(F.percentile_approx("_v", [i / RANGES for i in range(1, RANGES)], 10_000).alias("_cuts"))
-    # cuts go to all portions, so that a large group's values don't meet in one task; no hint, as the number of groups isn't known
-    portion = F.pmod(F.xxhash64("_v"), F.lit(PORTIONS)).cast("int")
-    cuts = cuts.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(PORTIONS - 1))))
-    dealt = n.withColumn("_p", portion).alias("n").join(cuts.alias("c"), same("n", "c", [*by, "_p"])).select("n.*", F.size(F.filter("_cuts", lambda x: x < F.col("_v"))).alias("_r")).drop("_p")
-    # at most RANGES rows a group
+    dealt = n.withColumn("_r", of)
+    # at most some 90,000 rows a group, as doubles have no more ranges
     group, ahead = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("_r")
     sizes = dealt.groupBy(*by, "_r").agg(F.sum("_n").alias("_size"))
     sizes = sizes.select(*by, "_r", "_size", (F.sum("_size").over(ahead) - F.col("_size")).alias("_below"), (F.sum("_size").over(group) - 1).alias("_last"))
