@@ -23,7 +23,7 @@ from .common import batches, keep, slices, table, texts_of
 from .words import alnum_words
 
 #: Tokens in a shard (a longer document is a shard of its own), phrases in a block, postings looked at together.
-SHARD_TOKENS, BLOCK_PHRASES, STEP = 1 << 20, 1 << 16, 1 << 21
+SHARD_TOKENS, BLOCK_PHRASES, STEP = 1 << 16, 1 << 16, 1 << 19
 #: Words in a window of a benchmark item.
 WINDOW = 10
 INDEX_SCHEMA = "shard string, doc_id array<bigint>, n_words array<int>, words binary, starts binary, positions binary"
