@@ -1,9 +1,11 @@
 """Approximate nearest neighbours by inner product, with score-aware anisotropic quantisation.
 
-Every component of a vector is coded by one of 16 centres of its own, four bits; two codes make a byte. Codes and centres are fitted to the
-loss  ``PARALLEL`` * |residual along the vector|^2 + |residual across it|^2,  since it is the part along the vector that distorts large inner
-products. A query turns into tables of its products with all pairs of centres, in 8 bits; a scan adds, for each row, the table entries that
-its bytes name. The best ``RERANKED`` rows are then ranked by exact products of the original vectors.
+What is coded is what a vector lies beside the nearest of up to 256 places, turned by a fixed rotation and divided by its own length: so neither tight
+clusters, nor long vectors, nor a few large components take all the fineness of the codes. Every component is coded by one of 16 centres of its own, four bits;
+two codes make a byte. Codes and centres are fitted to the loss  ``PARALLEL`` * |residual along the vector|^2 + |residual across it|^2,  since it is the
+part along the vector that distorts large inner products. A query turns into tables of its products with all pairs of centres, in 16 bits; a scan adds, for
+each row, the table entries that its bytes name, its place's own product, and what the codes lack in the place's direction, which is held as a number:
+among the members of a tight cluster of vectors of one length it outweighs all else. The best ``RERANKED`` rows are then ranked by exact products of the original vectors.
 
 At scale: codes are an eighth of single-precision vectors, and it is only they that travel to the queries. Queries are dealt to chunks, and a task takes a
 chunk past all blocks of codes (past some of them while there are fewer chunks than cores), with a running list of the best rows of each query. So
@@ -23,6 +25,8 @@ from .common import batches, keep, table
 
 #: Rows of the lowest hash on which centres are fitted (fewer of long vectors, so that they hold SAMPLE * 64 components at most), weight of the parallel residual, centres of a code.
 SAMPLE, PARALLEL, CENTRES = 8192, 4.0, 16
+#: Places that vectors are coded beside, at most, rows of the sample for each of them, and bytes of a coded row that hold its place, its length and what its codes lack along its place.
+PLACES, ROWS_A_PLACE, HEAD = 256, 16, 9
 #: Rows in a block, queries in a chunk on average, rows that a task gives back for each query to be ranked exactly.
 BLOCK_ROWS, CHUNK_QUERIES, RERANKED = 8192, 192, 100
 #: Partitions of a scan, at most.
@@ -38,21 +42,69 @@ def usable(df: DataFrame, vector: str = "embedding") -> DataFrame:
     return rows.where(F.size(v) == (common.n if common else 0)).select(F.col("vec_id").cast("bigint").alias("vec_id"), v.cast("array<double>").alias("vector"))
 
 
+def places_among(x: np.ndarray, rounds: int = 8) -> np.ndarray:
+    """Means of the rows nearest to each other (Lloyd's rounds); the first ones are drawn far apart."""
+    draw = np.random.default_rng(4)
+    found, gap = [x.mean(axis=0)], ((x - x.mean(axis=0)) ** 2).sum(axis=1)
+    while len(found) < min(PLACES, max(1, len(x) // ROWS_A_PLACE)) and gap.any():
+        found.append(x[draw.choice(len(x), p=gap / gap.sum())])
+        gap = np.minimum(gap, ((x - found[-1]) ** 2).sum(axis=1))
+    found = np.array(found)
+    for _ in range(rounds):
+        nearest = ((found**2).sum(axis=1) - 2 * x @ found.T).argmin(axis=1)
+        n = np.bincount(nearest, minlength=len(found))
+        sums = np.zeros_like(found)
+        np.add.at(sums, nearest, x)
+        found[n > 0] = sums[n > 0] / n[n > 0, None]
+    return found
+
+
 class Quantiser:
-    """Centres of each component, fitted to a sample."""
+    """Places, and centres of each component of what lies beside them, fitted to a sample."""
 
     def __init__(self, sample: np.ndarray, rounds: int = 6) -> None:
-        self.dim = sample.shape[1]
-        places = (np.arange(CENTRES) + 0.5) / CENTRES
-        self.centres = np.quantile(sample, places, axis=0).T.copy()
-        code = self.encode(sample, sweeps=0)
+        self.dim = 1 << max(0, sample.shape[1] - 1).bit_length()
+        self.signs = np.random.default_rng(3).choice([-1.0, 1.0], sample.shape[1])
+        self.places = places_among(sample)
+        turned = self.turned(self.places)
+        self.directions = turned / np.maximum(np.linalg.norm(turned, axis=1, keepdims=True), 1e-300)
+        x, unit = self.beside(sample)[2:]
+        shares = (np.arange(CENTRES) + 0.5) / CENTRES
+        self.centres = np.quantile(x, shares, axis=0).T.copy()
+        code = self.encode(x, unit, sweeps=0)
         for _ in range(rounds):
-            self.refit(sample, code)
-            code = self.encode(sample)
-
-    def encode(self, x: np.ndarray, sweeps: int = 2) -> np.ndarray:
+            self.refit(x, unit, code)
+            code = self.encode(x, unit)
+
+    def turned(self, x: np.ndarray) -> np.ndarray:
+        """Rows turned by fixed signs and a Hadamard transform, padded to a power of two; products of rows stay. Equal rows stay equal, as no sum depends on other rows."""
+        out = np.zeros((len(x), self.dim))
+        out[:, : x.shape[1]] = x * self.signs
+        step = 1
+        while step < self.dim:
+            pairs = out.reshape(len(x), -1, 2, step)
+            out = np.stack([pairs[:, :, 0] + pairs[:, :, 1], pairs[:, :, 0] - pairs[:, :, 1]], axis=2).reshape(len(x), -1)
+            step *= 2
+        return out / np.sqrt(self.dim)
+
+    def beside(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The nearest place of each row, the length of the rest, the rest turned and of length 1, and the row's own direction, turned."""
+        nearest = ((self.places**2).sum(axis=1) - 2 * np.einsum("nd,pd->np", x, self.places)).argmin(axis=1)
+        rest = self.turned(x - self.places[nearest])
+        length = np.sqrt((rest**2).sum(axis=1)).astype("<f4").astype(np.float64)
+        own = self.turned(x)
+        return nearest, length, rest / np.maximum(length, 1e-300)[:, None], own / np.maximum(np.sqrt((own**2).sum(axis=1)), 1e-300)[:, None]
+
+    def coded(self, x: np.ndarray) -> np.ndarray:
+        """One row of bytes for each vector: place, length, what the codes lack along the place, codes."""
+        nearest, length, rest, unit = self.beside(x)
+        code = self.encode(rest, unit)
+        lacks = ((rest - self.decoded(code)) * self.directions[nearest]).sum(axis=1) * length
+        numbers = np.stack([length, lacks], axis=1).astype("<f4").view(np.uint8).reshape(-1, HEAD - 1)
+        return np.concatenate([nearest[:, None].astype(np.uint8), numbers, self.packed(code)], axis=1)
+
+    def encode(self, x: np.ndarray, unit: np.ndarray, sweeps: int = 2) -> np.ndarray:
         """Codes that minimise the anisotropic loss, one after the other with the rest held."""
-        unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
         code = np.abs(x[:, :, None] - self.centres[None]).argmin(axis=2)
         along = ((x - self.decoded(code)) * unit).sum(axis=1)
         for _ in range(sweeps):
@@ -67,9 +119,8 @@ class Quantiser:
     def decoded(self, code: np.ndarray) -> np.ndarray:
         return self.centres[np.arange(self.dim), code]
 
-    def refit(self, x: np.ndarray, code: np.ndarray) -> None:
+    def refit(self, x: np.ndarray, unit: np.ndarray, code: np.ndarray) -> None:
         """Centres that minimise the loss for given codes, one component after the other; a centre without rows stays."""
-        unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
         along = ((x - self.decoded(code)) * unit).sum(axis=1)
         for m in range(self.dim):
             u, c = unit[:, m], code[:, m]
@@ -85,37 +136,51 @@ class Quantiser:
         code = np.pad(code, ((0, 0), (0, code.shape[1] % 2))).astype(np.uint8)
         return code[:, ::2] << 4 | code[:, 1::2]
 
-    def tables(self, q: np.ndarray) -> np.ndarray:
-        """For each byte and each of its values what it adds for every query: bytes x 256 x queries, as whole steps of the query's own scale."""
+    def tables(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each byte and each of its values what it adds for every query: bytes x 256 x queries, as whole steps of the query's own scale; what the sum starts from, and the step."""
+        q = self.turned(q)
         parts = np.einsum("qm,mk->mkq", q, self.centres)
         parts = np.concatenate([parts, np.zeros((self.dim % 2, CENTRES, len(q)))])
         pairs = (parts[::2, :, None] + parts[1::2, None]).reshape(-1, CENTRES * CENTRES, len(q))
-        pairs -= pairs.min(axis=1, keepdims=True)
-        most = min(255, 65_000 // len(pairs))  # sums fit 16 bits
+        low = pairs.min(axis=1, keepdims=True)
+        pairs -= low
+        most = min(65_535, (1 << 32) // len(pairs) - 1)  # sums fit 32 bits
         step = np.maximum(pairs.max(axis=(0, 1)), 1e-300) / most
-        return np.rint(pairs / step).astype(np.uint8)
+        return np.rint(pairs / step).astype(np.uint16), low.sum(axis=(0, 1)).astype(np.float32), step.astype(np.float32)
+
+    def products(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Products of all places with the queries, less the greatest one of each query (those that matter are near 0, where single precision is fine), and of the places' directions."""
+        p = self.places @ q.T
+        return (p - p.max(axis=0)).astype(np.float32), (self.directions @ self.turned(q).T).astype(np.float32)
 
 
 class Scan:
     """The running best rows of each query of a chunk."""
 
     def __init__(self, quantiser: Quantiser, ids: np.ndarray, vectors: np.ndarray, most: int) -> None:
-        self.ids, self.most, self.tables = ids, most, quantiser.tables(vectors)
-        self.query, self.score, self.found = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.least = np.zeros(len(ids), np.uint16)  # the score of the last of ``most`` rows; 1 is the lowest of a row
+        self.ids, self.most, (self.tables, self.low, self.step), (self.products, self.along) = ids, most, quantiser.tables(vectors), quantiser.products(vectors)
+        self.query, self.score, self.found = np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.int64)
+        self.least = np.full(len(ids), -np.inf, np.float32)  # the score of the last of ``most`` rows
 
     def look(self, ids: np.ndarray, codes: np.ndarray) -> None:
-        total = np.ones((len(ids), len(self.ids)), np.uint16)
+        steps = np.zeros((len(ids), len(self.ids)), np.uint32)
         for m, byte_table in enumerate(self.tables):
-            total += byte_table.take(codes[:, m], axis=0)
+            steps += byte_table.take(codes[:, HEAD + m], axis=0)
+        numbers = np.ascontiguousarray(codes[:, 1:HEAD]).view("<f4")
+        total = steps.astype(np.float32)
+        total *= self.step
+        total += self.low
+        total *= numbers[:, :1]
+        total += self.along.take(codes[:, 0], axis=0) * numbers[:, 1:]
+        total += self.products.take(codes[:, 0], axis=0)
         at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
         own = np.flatnonzero(self.ids[at] == ids)
-        total[own, at[own]] = 0
-        if len(ids) > self.most and not self.least.all():  # no row below the block's own best can be among the best
+        total[own, at[own]] = -np.inf
+        if len(ids) > self.most and np.isneginf(self.least).any():  # no row below the block's own best can be among the best
             self.least = np.maximum(self.least, np.partition(total, len(ids) - self.most, axis=0)[len(ids) - self.most])
-        row, query = np.nonzero(total >= np.maximum(self.least, 1))
+        row, query = np.nonzero((total >= self.least) & (total > -np.inf))
         query, score, found = np.concatenate([self.query, query]), np.concatenate([self.score, total[row, query]]), np.concatenate([self.found, ids[row]])
-        order = np.lexsort((found, -score.astype(np.int64), query))
+        order = np.lexsort((found, -score, query))
         query, score, found = query[order], score[order], found[order]
         n = np.bincount(query, minlength=len(self.ids))
         ends = np.cumsum(n)
@@ -180,7 +245,7 @@ def build_index(vectors: DataFrame, quantiser) -> DataFrame:
             if batch.num_rows:
                 i, x = rows_of(batch)
                 ids.append(i)
-                codes.append(q.packed(q.encode(x)))
+                codes.append(q.coded(x))
                 held += len(i)
                 if held >= BLOCK_ROWS:
                     yield block(np.concatenate(ids), np.concatenate(codes))

@@ -62,3 +62,21 @@ def test_repeated_rows_and_ids(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (7, [3.0, 0.0]), (7, [3.0, 0.0]), (8, [2.0, 1.0])], "vec_id bigint, embedding array<double>")
     assert lists(ann.nearest(df, df.where("vec_id = 0"))) == {0: [(7, 3.0), (7, 3.0), (8, 2.0)]}
     assert ann.nearest(df, df.where("false")).isEmpty()
+
+
+def test_recall_on_clusters_long_and_sparse_rows():
+    """Codes of whole vectors found 0.33 to 0.88 of the nearest here."""
+    draw = np.random.default_rng(12)
+    n, d = 6000, 64
+    tight = draw.normal(size=(20, d))[draw.integers(0, 20, n)] + 0.001 * draw.normal(size=(n, d))
+    lengths = draw.normal(size=(n, d)) * np.exp(2 * draw.normal(size=(n, 1)))
+    sparse = np.where(draw.random((n, d)) < 0.04, draw.uniform(0.1, 1, (n, d)), 0)
+    sparse[:, 0] += 0.01
+    ids = np.arange(n)
+    for x in (tight / np.linalg.norm(tight, axis=1, keepdims=True), lengths, sparse, draw.standard_t(1.2, size=(n, d))):
+        quantiser = ann.Quantiser(x[:4096])
+        scan = ann.Scan(quantiser, ids[::20], x[::20], ann.RERANKED)
+        scan.look(ids, quantiser.coded(x))
+        want = true_lists(x, ids, ids[::20].tolist(), 20)
+        found = [set(scan.found[scan.query == j].tolist()) for j in range(len(scan.ids))]
+        assert np.mean([len(found[j] & {i for i, _ in want[q]}) / 20 for j, q in enumerate(scan.ids.tolist())]) >= 0.98
