@@ -79,10 +79,13 @@ def tie_ranks(values: DataFrame, value: str, by: Sequence[str], ties: Column | N
 
     Values are dealt to ranges by approximate quantiles; ranks are counted within a range and moved by what lies below it, so that no task sorts a whole group.
     """
-    n = values.where(F.col(value).isNotNull()).groupBy(*by, value).agg((F.count("*") if ties is None else F.sum(ties)).alias("ties"))
+    n = stored(values.where(F.col(value).isNotNull()).groupBy(*by, value).agg((F.count("*") if ties is None else F.sum(ties)).alias("ties")))
     cuts = n.groupBy(*by).agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 10_000).alias("_cuts"))
     same = reduce(Column.__and__, (F.col(f"n.{c}").eqNullSafe(F.col(f"c.{c}")) for c in by), F.lit(True))
-    dealt = n.alias("n").join(F.broadcast(cuts.alias("c")), same).select("n.*", F.size(F.filter("_cuts", lambda x: x < F.col(f"n.{value}"))).alias("_range"))
+    # how many cuts lie below, by halving: they ascend
+    halves = F.array(*(F.lit(RANGES >> i) for i in range(1, RANGES.bit_length())))
+    place = F.aggregate(halves, F.lit(0), lambda at, step: at + F.when(F.get("_cuts", at + step - 1) < F.col(f"n.{value}"), step).otherwise(0))
+    dealt = n.alias("n").join(F.broadcast(cuts.alias("c")), same).select("n.*", place.alias("_range"))
     sizes = dealt.groupBy(*by, "_range").agg(F.sum("ties").alias("_size"))
     below = sizes.select(*by, "_range", (F.sum("_size").over(Window.partitionBy(*by).orderBy("_range")) - F.col("_size")).alias("_below"))  # at most RANGES rows a group
     up_to = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -91,7 +94,7 @@ def tie_ranks(values: DataFrame, value: str, by: Sequence[str], ties: Column | N
     return inside.alias("d").join(F.broadcast(below.alias("b")), at).select(*(f"d.{c}" for c in (*by, value, "ties")), (F.col("_below") + F.col("_rank")).alias(rank))
 
 
-def spearman(df: DataFrame, x: str, y: str, by: Sequence[str], once: bool = False) -> DataFrame:
+def spearman(df: DataFrame, x: str, y: str, by: Sequence[str], once: bool = True) -> DataFrame:
     """Rank correlation by group; null under 3 rows. With ``once`` the counted rows are stored, so that ``df`` is read once."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(F.count("*").alias("n"))
     rows = stored(rows) if once else rows

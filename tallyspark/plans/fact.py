@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Thresholds
 from ..functions import columns as X
 from ..sources import ledger
+from .store import is_there, stored
 
 
 def join_valid_on(df: DataFrame, dim: DataFrame, key: str, day: Column) -> DataFrame:
@@ -80,20 +81,20 @@ def with_money(df: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
 def with_fee_repeats(df: DataFrame) -> DataFrame:
     """How many non-exact rows share a row's psp, currency and residual; null on exact and unsettled rows.
 
-    Counted by key and joined back, since a window would put a frequent residual into one task; keys that occur once need no row. Exact and unsettled rows have no
-    partner: most rows share a residual of 0 or none, so their part of the key is spread by id.
+    Counted by key and joined back, since a window would put a frequent residual into one task; keys that occur once need no row. Exact and unsettled rows, which are
+    most, have no partner and take no part in the join.
     """
     key = ["psp", "currency", "residual"]
     odd = F.coalesce(F.col("category") != "exact", F.lit(False))
-    often = df.where(odd).groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").withColumns({"_key": F.xxhash64(*key), "_odd": F.lit(True)})
-    rows = df.withColumns({"_odd": odd, "_key": F.when(odd, F.xxhash64(*key)).otherwise(F.xxhash64("transaction_id"))})
+    often = df.where(odd).groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1")
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}")) for c in key]
-    out = rows.alias("r").join(often.alias("o"), (F.col("r._key") == F.col("o._key")) & (F.col("r._odd") == F.col("o._odd")) & reduce(Column.__and__, same), "left")
-    return out.select("r.*", "o._n").withColumn("fee_repeats", F.when(odd, F.coalesce("_n", F.lit(1).cast("bigint")))).drop("_n", "_key", "_odd")
+    out = df.where(odd).alias("r").join(often.alias("o"), reduce(Column.__and__, same), "left").select("r.*", F.coalesce("o._n", F.lit(1).cast("bigint")).alias("fee_repeats"))
+    return out.unionByName(df.where(~odd).withColumn("fee_repeats", F.lit(None).cast("bigint")))
 
 
-def build_fact(staged: DataFrame, fx: DataFrame, refs: dict[str, DataFrame], t: Thresholds = DEFAULTS) -> DataFrame:
-    out = with_money(enriched(staged, fx, refs), t)
+def build_fact(staged: DataFrame, fx: DataFrame, refs: dict[str, DataFrame], t: Thresholds = DEFAULTS, hold: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """``hold`` may write the rows with their money down: counting repeats reads them twice."""
+    out = hold(with_money(enriched(staged, fx, refs), t))
     out = out.withColumns({
         "is_lag_outlier": F.col("settle_lag_days") > t.lag_outlier_days,
         "is_meaningful": F.coalesce(F.col("category").isin("meaningful", "large"), F.lit(False)),
@@ -108,10 +109,10 @@ _held: dict[tuple[str, str], DataFrame] = {}
 
 
 def projected_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fact of the driver's tables, held in executors' memory and disk: a barrier, as later filters would else be pushed through every formula."""
+    """The fact of the driver's tables, written down once: a barrier, as later filters would else be pushed through every formula, of which each query reads only its columns."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _held:
+    if key not in _held or not is_there(_held[key]):
         # the staged ledger is a barrier too: its formulas would else be repeated in every layer of the fact
-        staged = ledger.stage_transactions(ledger.projected_ledger(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
-        _held[key] = build_fact(staged, ledger.projected_fx(spark), ledger.reference_tables(spark))
-    return _held[key].persist(StorageLevel.MEMORY_AND_DISK)
+        staged = stored(ledger.stage_transactions(ledger.projected_ledger(spark, sf_dir)))
+        _held[key] = stored(build_fact(staged, ledger.projected_fx(spark), ledger.reference_tables(spark), hold=stored))
+    return _held[key]

@@ -23,3 +23,10 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{root.rstrip('/')}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def is_there(df: DataFrame) -> bool:
+    """Whether a stored table's folder hasn't been cleared."""
+    files = df.inputFiles()
+    path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]) if files else None
+    return path is not None and path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).exists(path)
