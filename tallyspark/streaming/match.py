@@ -25,9 +25,9 @@ def to_events(ledger: DataFrame) -> DataFrame:
     failed = F.col("status") == "failed"
     auth = F.to_json(F.struct(*(F.col(c) for c in AUTHS.names[:-1]), F.when(failed, "failed").otherwise("authorized").alias("auth_status")))
     settlement = F.to_json(F.struct(*(F.col(c) for c in SETTLEMENTS.names)))
-    event = lambda topic, ts, value, on: F.when(on, F.struct(F.lit(topic).alias("topic"), F.col("transaction_id").alias("key"), F.col(ts).alias("event_ts"), value.alias("value")))
-    both = F.array(event("auths", "auth_ts", auth, F.lit(True)), event("settlements", "settle_ts", settlement, F.col("status") == "settled"))
-    return ledger.select(F.explode(F.filter(both, lambda x: x.isNotNull())).alias("e")).select("e.*")
+    event = lambda rows, topic, ts, value: rows.select(F.lit(topic).alias("topic"), F.col("transaction_id").alias("key"), F.col(ts).alias("event_ts"), value.alias("value"))
+    # who reads one topic makes no values of the other
+    return event(ledger, "auths", "auth_ts", auth).unionByName(event(ledger.where("status = 'settled'"), "settlements", "settle_ts", settlement))
 
 
 def event_order() -> list[Column]:
