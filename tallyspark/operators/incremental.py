@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as X
+from ..plans.store import stored
 
 
 def restated_rows(new: DataFrame, prev: DataFrame, days: int = 15) -> DataFrame:
@@ -38,8 +39,8 @@ def replay_lookback(date_from: str, as_of: str) -> int:
 def incremental_fact(new_staged: DataFrame, prev_fact: DataFrame, build, days: int = 15) -> DataFrame:
     """``build`` (staged rows -> fact rows) applied to what changed and what shares its keys, in place of the old rows.
 
-    Both builds are held before they are filtered: filters on formulas of formulas would be expanded without end.
+    Both builds are written down before they are filtered: filters on formulas of formulas would be expanded without end.
     """
-    touched = build(restated_rows(new_staged, prev_fact, days)).select("transaction_id", "psp", "currency", "residual").persist()
-    scope = scope_closure(touched, prev_fact).persist()
-    return delete_insert(prev_fact, build(new_staged.join(scope, "transaction_id", "left_semi")).persist())
+    touched = stored(build(restated_rows(new_staged, prev_fact, days)).select("transaction_id", "psp", "currency", "residual"))
+    scope = stored(scope_closure(touched, prev_fact))
+    return delete_insert(prev_fact, stored(build(new_staged.join(scope, "transaction_id", "left_semi"))))
