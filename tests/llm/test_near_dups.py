@@ -74,3 +74,9 @@ def test_links_across_two_lists():
             a, b = sorted((root[i], root[j]))
             root = [a if r == b else r for r in root]
         assert pairs and all(root[i] == root[j] for i, j in pairs)
+
+
+def test_each_text_is_hashed_once_by_one_worker_a_task(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = near_dups.deduplicated(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
